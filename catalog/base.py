@@ -28,7 +28,7 @@ WITH named AS (
   SELECT
   {_MAPPED},
   ts AS event_timestamp, CAST(ts AS DATE) AS event_date,
-  epoch_ms(ts) + k * 10 AS outer_timestamp_ms,
+  epoch_us(ts) // 1000 + k * 10 AS outer_timestamp_ms,
   event_id AS n, k, user_id AS uid,
   CASE WHEN shown = 'user_prompt' THEN k % 3 <> 2 END AS prompt_redacted
   FROM named

@@ -6,6 +6,7 @@ Everything stays a built-in expression, so it runs inside the JVM.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,21 +52,15 @@ def document_root(wrapped: Column, text: Column) -> Column:
     return F.when(complete, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
-def starts_object(text: Column) -> Column:
-    """Whether a valid JSON text holds an object."""
-    return F.substring(F.ltrim(text, F.lit(" \t\r\n")), 1, 1) == F.lit("{")
+def fields_of(
+    document: Column, texts: Iterable[str], values: Iterable[str] = ()
+) -> Column:
+    """Members of a JSON object as one struct, in one pass; NULL if it is not an object.
 
-
-def member(document: Column, *keys: str, as_type: str = "string") -> Column:
-    """A nested value by its literal keys (which may contain dots)."""
-    path = "$" + "".join(f'["{key}"]' for key in keys)
-    return F.try_variant_get(document, path, as_type)
-
-
-def object_text(document: Column) -> Column:
-    """JSON text of a document section; anything but an object counts as empty."""
-    text = F.to_json(document)
-    return F.when(F.substring(text, 1, 1) == "{", text).otherwise(F.lit("{}"))
+    ``texts`` are read as text, ``values`` stay JSON values. Keys may contain dots.
+    """
+    wanted = [f"`{key}`: string" for key in texts] + [f"`{key}`: variant" for key in values]
+    return F.try_variant_get(document, "$", f"struct<{', '.join(wanted)}>")
 
 
 def json_text(value: Column) -> Column:

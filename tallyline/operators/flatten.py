@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.parsing import (
     document_root,
+    fields_of,
     json_text,
-    member,
-    object_text,
-    starts_object,
     whole_document,
 )
 from tallyline.schemas import (
@@ -27,6 +25,12 @@ from tallyline.schemas import (
     SCOPE_FIELDS,
 )
 
+# Members kept as JSON values because their own type matters.
+BATCH_PARTS = ("subscriptionFilters", "logEvents")
+EVENT_PARTS = ("message",)
+EVENT_TEXTS = {name: key for name, key in EVENT_FIELDS.items() if key not in EVENT_PARTS}
+SECTIONS = {"scope": SCOPE_FIELDS, "attributes": ATTRIBUTE_FIELDS, "resource": RESOURCE_FIELDS}
+
 # Reasons a row is malformed.
 LINE_UNREADABLE = "Top-level JSON parse failed: not one valid JSON document"
 LINE_NOT_OBJECT = "Top-level JSON value is not an object."
@@ -38,17 +42,21 @@ MESSAGE_NOT_OBJECT = "Nested message JSON value is not an object."
 
 
 def parse_batch_lines(lines: DataFrame) -> DataFrame:
-    """Add ``batch`` (the parsed line) and ``line_error`` to (source_file, line_number, value).
+    """Add ``batch`` (the parsed line's fields), ``log_events`` and ``line_error`` to lines
+    of (source_file, line_number, value).
 
     A list of events is an array also when it is empty; anything else is an error.
     """
     wrapped = lines.withColumn("_wrapped", whole_document(F.col("value")))
-    parsed = wrapped.withColumn("batch", document_root(F.col("_wrapped"), F.col("value")))
-    listed = parsed.withColumn("log_events", member(F.col("batch"), "logEvents", as_type="array<variant>"))
+    parsed = wrapped.withColumn("_root", document_root(F.col("_wrapped"), F.col("value")))
+    opened = parsed.withColumn("batch", fields_of(F.col("_root"), BATCH_FIELDS.values(), BATCH_PARTS))
+    listed = opened.withColumn(
+        "log_events", F.try_variant_get("batch.logEvents", "$", "array<variant>")
+    )
     return listed.withColumn(
         "line_error",
-        F.when(F.col("batch").isNull(), LINE_UNREADABLE)
-        .when(~starts_object(F.col("value")), LINE_NOT_OBJECT)
+        F.when(F.col("_root").isNull(), LINE_UNREADABLE)
+        .when(F.col("batch").isNull(), LINE_NOT_OBJECT)
         .when(F.col("log_events").isNull(), NO_EVENT_LIST),
     ).drop("_wrapped")
 
@@ -58,10 +66,8 @@ def batch_context() -> list[Column]:
     return [
         F.col("source_file"),
         F.col("line_number"),
-        *[member(F.col("batch"), key).alias(name) for name, key in BATCH_FIELDS.items()],
-        json_text(member(F.col("batch"), "subscriptionFilters", as_type="variant")).alias(
-            "subscription_filters"
-        ),
+        *[F.col("batch")[key].alias(name) for name, key in BATCH_FIELDS.items()],
+        json_text(F.col("batch")["subscriptionFilters"]).alias("subscription_filters"),
     ]
 
 
@@ -71,74 +77,90 @@ def explode_log_events(batches: DataFrame) -> DataFrame:
     The line's text travels on only for unreadable lines.
     """
     no_element = F.array(F.lit(None).cast("variant"))
-    raw = F.when(F.col("batch").isNull() | ~starts_object(F.col("value")), F.col("value")).when(
-        F.col("line_error").isNotNull(), F.to_json("batch")
+    raw = F.when(F.col("batch").isNull(), F.col("value")).when(
+        F.col("line_error").isNotNull(), F.to_json("_root")
     )
     one_or_more = F.when(F.col("line_error").isNotNull(), no_element).otherwise(F.col("log_events"))
     return batches.select(
-        *batch_context(), "line_error", raw.alias("_raw_line"), one_or_more.alias("_items")
-    ).select("*", F.posexplode("_items").alias("_index", "item")).drop("_items")
+        *batch_context(),
+        "line_error",
+        raw.alias("_raw_line"),
+        F.posexplode(one_or_more).alias("_index", "item"),
+    )
 
 
 def flatten_log_events(items: DataFrame) -> DataFrame:
     """Read the element and the JSON document in its message."""
     context = [c for c in items.columns if c not in ("_index", "item", "_raw_line", "line_error")]
     line_ok = F.col("line_error").isNull()
-    opened = items.withColumn(
-        "_message", F.when(line_ok, member(F.col("item"), "message", as_type="variant"))
-    )
-    # A missing message has no type; only then is the element itself looked at.
-    typed = opened.withColumn("_message_type", F.schema_of_variant("_message"))
-    texts = typed.withColumn(
+    opened = items.withColumn("event", fields_of(F.col("item"), EVENT_TEXTS.values(), EVENT_PARTS))
+    message = F.col("event.message")
+    texts = opened.withColumn(
         "_text",
-        F.when(F.col("_message_type") == "STRING", F.try_variant_get("_message", "$", "string")),
+        F.when(F.schema_of_variant(message) == "STRING", F.try_variant_get(message, "$", "string")),
     )
     wrapped = texts.withColumn("_wrapped", whole_document(F.col("_text")))
-    parsed = wrapped.withColumn("_parsed", document_root(F.col("_wrapped"), F.col("_text")))
-    is_item = F.col("_message_type").isNotNull() | F.schema_of_variant("item").startswith("OBJECT")
-    judged = parsed.withColumn(
-        "parse_error",
+    parsed = wrapped.withColumn("_root", document_root(F.col("_wrapped"), F.col("_text")))
+    read = parsed.withColumn("document", fields_of(F.col("_root"), ["body"], SECTIONS))
+    error = (
         F.when(~line_ok, F.col("line_error"))
-        .when(~F.coalesce(is_item, F.lit(False)), ITEM_NOT_OBJECT)
+        .when(F.col("event").isNull(), ITEM_NOT_OBJECT)
         .when(F.col("_text").isNull(), MESSAGE_NOT_TEXT)
-        .when(F.col("_parsed").isNull(), MESSAGE_UNREADABLE)
-        .when(~starts_object(F.col("_text")), MESSAGE_NOT_OBJECT),
+        .when(F.col("_root").isNull(), MESSAGE_UNREADABLE)
+        .when(F.col("document").isNull(), MESSAGE_NOT_OBJECT)
     )
-    event = {name: member(F.col("item"), key) for name, key in EVENT_FIELDS.items()}
-    event["raw_message"] = (
+    raw = (
         F.when(~line_ok, F.col("_raw_line"))
-        .when(F.col("parse_error") == ITEM_NOT_OBJECT, F.to_json("item"))
-        .otherwise(event["raw_message"])
+        .when(F.col("event").isNull(), F.to_json("item"))
+        .otherwise(F.try_variant_get(message, "$", "string"))
+    )
+    sections = {name: F.col("document")[name] for name in SECTIONS}
+    # Exploding a one-row list fixes the parsed parts as columns of their own. Without it
+    # the optimizer would copy the parsing into every later filter on an event's fields.
+    fixed = F.inline(
+        F.array(
+            F.struct(
+                F.when(line_ok, F.col("_index")).alias("event_index"),
+                *[F.col("event")[key].alias(name) for name, key in EVENT_TEXTS.items()],
+                raw.alias("raw_message"),
+                F.col("document")["body"].alias("body"),
+                *[
+                    fields_of(sections[name], keys.values()).alias(name)
+                    for name, keys in SECTIONS.items()
+                ],
+                F.col("_text").alias("raw_message_json"),
+                error.alias("parse_error"),
+            )
+        )
     )
-    readable = judged.withColumn("_document", F.when(F.col("parse_error").isNull(), F.col("_parsed")))
-    return readable.select(
+    kept = {
+        "attributes_json": section_text("attributes"),
+        "resource_json": section_text("resource"),
+        "raw_message_json": F.col("raw_message_json"),
+    }
+    return read.select(*context, fixed).select(
         *context,
-        F.when(line_ok, F.col("_index")).alias("event_index"),
-        *[value.alias(name) for name, value in event.items()],
-        *message_fields(F.col("_document")),
+        "event_index",
+        *EVENT_TEXTS,
+        "raw_message",
+        "body",
+        *[
+            F.col(section)[key].alias(name)
+            for section, keys in SECTIONS.items()
+            for name, key in keys.items()
+        ],
+        *[
+            F.when(F.col("parse_error").isNull(), text).alias(name) for name, text in kept.items()
+        ],
         F.col("parse_error").isNotNull().alias("is_malformed"),
         "parse_error",
     )
 
 
-def message_fields(document: Column) -> list[Column]:
-    """Columns of one parsed message; a section that is not an object has no fields."""
-    sections = {"scope": SCOPE_FIELDS, "attributes": ATTRIBUTE_FIELDS, "resource": RESOURCE_FIELDS}
-    fields = [
-        member(document, section, key).alias(name)
-        for section, names in sections.items()
-        for name, key in names.items()
-    ]
-    kept = {
-        "attributes_json": object_text(member(document, "attributes", as_type="variant")),
-        "resource_json": object_text(member(document, "resource", as_type="variant")),
-        "raw_message_json": F.to_json(document),
-    }
-    return [
-        member(document, "body").alias("body"),
-        *fields,
-        *[F.when(document.isNotNull(), text).alias(name) for name, text in kept.items()],
-    ]
+def section_text(section: str) -> Column:
+    """JSON text of a message section; anything but an object counts as empty."""
+    text = F.get_json_object("raw_message_json", f"$.{section}")
+    return F.when(F.col(section).isNotNull(), text).otherwise(F.lit("{}"))
 
 
 def flatten_batches(lines: DataFrame) -> DataFrame:
