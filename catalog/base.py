@@ -46,12 +46,16 @@ TOKENS_SQL = (
 
 
 def comparable(frame: DataFrame) -> DataFrame:
-    """Doubles rounded and timestamps without a zone, as the SQL side returns them."""
+    """Doubles rounded and timestamps without a zone, as the SQL side returns them.
+
+    Sums of doubles differ in their last bits. Rounding to 9 digits first removes that
+    noise, so that values half way between two 6-digit numbers go the same way.
+    """
     columns = []
     for field in frame.schema:
         column = F.col(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            column = F.round(column, 6)
+            column = F.round(F.round(column, 9), 6)
         elif isinstance(field.dataType, T.TimestampType):
             column = column.cast("timestamp_ntz")
         columns.append(column.alias(field.name))

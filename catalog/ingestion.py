@@ -253,7 +253,7 @@ _CLEAN_SQL = (
     SOURCE_SQL
     + f"""SELECT event_id, event_timestamp, event_date, event_name, outer_timestamp_ms, session_id,
     terminal_type, user_email, user_id, prompt, {_whole_sql("prompt_length")}, prompt_redacted, model,
-    round(cost_usd, 6) AS cost_usd, {_whole_sql("duration_ms")}, {_whole_sql("input_tokens")}, output_tokens,
+    round(round(cost_usd, 9), 6) AS cost_usd, {_whole_sql("duration_ms")}, {_whole_sql("input_tokens")}, output_tokens,
     cache_creation_tokens, cache_read_tokens, decision, source, tool_name, decision_source, decision_type,
     {_SUCCESS_SQL}, tool_result_size_bytes, status_code, error, attempt, 'arm64' AS host_arch,
     resource_user_practice, CAST(NULL AS STRING) AS resource_user_email, 2024 AS year,
@@ -340,7 +340,7 @@ register(
     "to_numeric",
     _numbers,
     """SELECT l_orderkey, l_linenumber,
-    CASE WHEN l_orderkey % 6 IN (2, 3, 4) THEN NULL ELSE round(l_extendedprice, 6) END AS price,
+    CASE WHEN l_orderkey % 6 IN (2, 3, 4) THEN NULL ELSE round(round(l_extendedprice, 9), 6) END AS price,
     CAST(l_quantity AS BIGINT) AS quantity FROM lineitem""",
 )
 register(

@@ -38,12 +38,12 @@ report(
 report(
     "total_cost",
     lambda t, e: kpis.total_cost(t),
-    "SELECT round(coalesce(sum(cost_usd), 0), 6) AS total_cost_usd FROM t WHERE event_name = 'api_request'",
+    "SELECT round(round(coalesce(sum(cost_usd), 0), 9), 6) AS total_cost_usd FROM t WHERE event_name = 'api_request'",
 )
 report(
     "average_session_duration",
     lambda t, e: kpis.average_session_duration(t),
-    """SELECT round(coalesce(avg(ms), 0), 6) AS average_session_duration_ms FROM (
+    """SELECT round(round(coalesce(avg(ms), 0), 9), 6) AS average_session_duration_ms FROM (
     SELECT date_diff('millisecond', min(event_timestamp), max(event_timestamp)) AS ms
     FROM t WHERE session_id IS NOT NULL GROUP BY session_id)""",
 )
@@ -52,13 +52,13 @@ report(
     lambda t, e: kpis.success_rate(t),
     """SELECT count(*) AS tool_result_count,
     CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS successful_tool_results,
-    round(CASE WHEN count(*) = 0 THEN 0 ELSE sum(CASE WHEN success THEN 1 ELSE 0 END)::DOUBLE / count(*) END, 6) AS success_rate
+    round(round(CASE WHEN count(*) = 0 THEN 0 ELSE sum(CASE WHEN success THEN 1 ELSE 0 END)::DOUBLE / count(*) END, 9), 6) AS success_rate
     FROM t WHERE event_name = 'tool_result'""",
 )
 report(
     "average_tokens_per_request",
     lambda t, e: kpis.average_tokens_per_request(t),
-    f"""SELECT count(*) AS api_request_count, round(coalesce(avg({TOKENS_SQL}), 0), 6) AS average_tokens_per_request
+    f"""SELECT count(*) AS api_request_count, round(round(coalesce(avg({TOKENS_SQL}), 0), 9), 6) AS average_tokens_per_request
     FROM t WHERE event_name = 'api_request'""",
 )
 
@@ -68,9 +68,9 @@ def _kpi_sql(where: str) -> tuple[str, str]:
     return (
         f"""SELECT count(DISTINCT user_email) AS total_users, count(DISTINCT session_id) AS total_sessions,
         count(*) AS total_events,
-        round(coalesce(sum(CASE WHEN event_name = 'api_request' THEN cost_usd END), 0), 6) AS total_cost_usd,
+        round(round(coalesce(sum(CASE WHEN event_name = 'api_request' THEN cost_usd END), 0), 9), 6) AS total_cost_usd,
         CAST(coalesce(sum(CASE WHEN event_name = 'api_request' THEN {TOKENS_SQL} END), 0) AS BIGINT) AS total_tokens,
-        (SELECT round(coalesce(avg(ms), 0), 6) FROM (
+        (SELECT round(round(coalesce(avg(ms), 0), 9), 6) FROM (
            SELECT date_diff('millisecond', min(event_timestamp), max(event_timestamp)) AS ms
            FROM f WHERE session_id IS NOT NULL GROUP BY session_id)) AS average_session_duration_ms
         FROM f""",
@@ -120,8 +120,8 @@ for _case, (_filters, _where) in DIRECT_CASES.items():
     report(
         f"requests_per_model{_case}",
         lambda t, e, f=_filters: models.requests_per_model(t, e, f),
-        f"""SELECT t.model AS model, count(*) AS request_count, round(coalesce(sum(t.cost_usd), 0), 6) AS cost_usd,
-        round(coalesce(avg(t.duration_ms), 0), 6) AS average_duration_ms
+        f"""SELECT t.model AS model, count(*) AS request_count, round(round(coalesce(sum(t.cost_usd), 0), 9), 6) AS cost_usd,
+        round(round(coalesce(avg(t.duration_ms), 0), 9), 6) AS average_duration_ms
         FROM {JOINED} WHERE t.event_name = 'api_request' AND {_where} AND t.model IS NOT NULL GROUP BY t.model""",
     )
     report(
@@ -138,9 +138,9 @@ for _case, (_filters, _where) in DIRECT_CASES.items():
         f"cost_per_practice{_case}",
         lambda t, e, f=_filters: models.cost_per_practice(t, e, f),
         f"""SELECT coalesce(e.practice, t.resource_user_practice, 'Unknown') AS practice, count(*) AS request_count,
-        count(DISTINCT t.user_email) AS active_users, round(coalesce(sum(t.cost_usd), 0), 6) AS cost_usd,
-        round(CASE WHEN count(DISTINCT t.user_email) = 0 THEN 0
-              ELSE coalesce(sum(t.cost_usd), 0) / count(DISTINCT t.user_email) END, 6) AS cost_per_active_user
+        count(DISTINCT t.user_email) AS active_users, round(round(coalesce(sum(t.cost_usd), 0), 9), 6) AS cost_usd,
+        round(round(CASE WHEN count(DISTINCT t.user_email) = 0 THEN 0
+              ELSE coalesce(sum(t.cost_usd), 0) / count(DISTINCT t.user_email) END, 9), 6) AS cost_per_active_user
         FROM {JOINED} WHERE t.event_name = 'api_request' AND {_where}
         GROUP BY coalesce(e.practice, t.resource_user_practice, 'Unknown')""",
     )
@@ -154,7 +154,7 @@ for _case, (_filters, _where) in DIRECT_CASES.items():
 report(
     "average_tokens_per_model_request",
     lambda t, e: models.average_tokens_per_model_request(t),
-    f"""SELECT model, count(*) AS request_count, round(coalesce(avg({TOKENS_SQL}), 0), 6) AS average_tokens_per_request
+    f"""SELECT model, count(*) AS request_count, round(round(coalesce(avg({TOKENS_SQL}), 0), 9), 6) AS average_tokens_per_request
     FROM t WHERE event_name = 'api_request' AND model IS NOT NULL GROUP BY model""",
 )
 
@@ -163,7 +163,7 @@ report(
 report(
     "daily_cost",
     lambda t, e: trends.daily_cost(t),
-    "SELECT event_date, round(coalesce(sum(cost_usd), 0), 6) AS cost_usd FROM t WHERE event_name = 'api_request' GROUP BY event_date",
+    "SELECT event_date, round(round(coalesce(sum(cost_usd), 0), 9), 6) AS cost_usd FROM t WHERE event_name = 'api_request' GROUP BY event_date",
 )
 report(
     "daily_active_users",
@@ -174,7 +174,7 @@ report(
     "daily_success_rate",
     lambda t, e: trends.daily_success_rate(t),
     """SELECT event_date, count(*) AS tool_result_count,
-    round(sum(CASE WHEN success THEN 1 ELSE 0 END)::DOUBLE / count(*), 6) AS success_rate
+    round(round(sum(CASE WHEN success THEN 1 ELSE 0 END)::DOUBLE / count(*), 9), 6) AS success_rate
     FROM t WHERE event_name = 'tool_result' GROUP BY event_date""",
 )
 
@@ -188,7 +188,7 @@ def _activity_sql(where: str, extra: str = "", tail: str = "") -> str:
     CAST(sum(CASE WHEN t.event_name = 'user_prompt' THEN 1 ELSE 0 END) AS BIGINT) AS prompt_count,
     CAST(sum(CASE WHEN t.event_name = 'api_request' THEN 1 ELSE 0 END) AS BIGINT) AS api_request_count,
     {extra}
-    round(coalesce(sum(CASE WHEN t.event_name = 'api_request' THEN t.cost_usd END), 0), 6) AS cost_usd
+    round(round(coalesce(sum(CASE WHEN t.event_name = 'api_request' THEN t.cost_usd END), 0), 9), 6) AS cost_usd
     FROM {JOINED} WHERE {where} AND t.user_email IS NOT NULL
     GROUP BY {_PERSON} ORDER BY event_count DESC, t.user_email {tail}"""
 
@@ -204,8 +204,8 @@ for _case, (_filters, _where) in FILTER_CASES.items():
         lambda t, e, f=_filters: users.top_used_tools(t, e, f, limit=5),
         f"""SELECT t.tool_name AS tool_name, count(*) AS tool_result_count,
         CAST(sum(CASE WHEN t.success THEN 1 ELSE 0 END) AS BIGINT) AS successful_tool_results,
-        round(sum(CASE WHEN t.success THEN 1 ELSE 0 END)::DOUBLE / count(*), 6) AS success_rate,
-        round(coalesce(avg(t.duration_ms), 0), 6) AS average_duration_ms
+        round(round(sum(CASE WHEN t.success THEN 1 ELSE 0 END)::DOUBLE / count(*), 9), 6) AS success_rate,
+        round(round(coalesce(avg(t.duration_ms), 0), 9), 6) AS average_duration_ms
         FROM {JOINED} WHERE t.event_name = 'tool_result' AND {_where} AND t.tool_name IS NOT NULL
         GROUP BY t.tool_name ORDER BY tool_result_count DESC, t.tool_name LIMIT 5""",
     )

@@ -15,7 +15,7 @@ from tallyline.sources import tables
 from tallyline.sources.sample import sample_employees, sample_events, table
 
 _SHOWN = ["event_id", "event_timestamp", "event_name", "user_email", "cost_usd", "success"]
-_SHOWN_SQL = "event_id, event_timestamp, event_name, user_email, round(cost_usd, 6) AS cost_usd, success"
+_SHOWN_SQL = "event_id, event_timestamp, event_name, user_email, round(round(cost_usd, 9), 6) AS cost_usd, success"
 _PERSON = ["full_name", "practice", "level", "location"]
 
 # --- scans ---
@@ -87,7 +87,7 @@ def _aligned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ALIGNED_SQL = """SELECT l_orderkey || '-' || l_linenumber AS event_id, CAST(l_shipdate AS TIMESTAMP) AS event_timestamp,
-    CAST(l_quantity + 0.5 AS BIGINT) AS duration_ms, round(l_extendedprice, 6) AS cost_usd,
+    CAST(l_quantity + 0.5 AS BIGINT) AS duration_ms, round(round(l_extendedprice, 9), 6) AS cost_usd,
     '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || '}' AS attributes_json,
     CAST(NULL AS STRING) AS model, CAST(NULL AS INTEGER) AS year FROM lineitem"""
 register("align_to_schema", _aligned, _ALIGNED_SQL)
