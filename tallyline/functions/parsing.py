@@ -18,8 +18,13 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Strict JSON without a limit on the length of strings; NaN and Infinity are read.
+JSON_OPTIONS = {"allowSingleQuotes": "false", "maxStringLen": str(2**31 - 1)}
+# Largest document Spark can hold as a JSON value.
+DOCUMENT_BYTES = 128 * 1024 * 1024
+
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
-NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER_TEXT = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 DATED_TEXT = r"^\d{4}-\d{2}-\d{2}"
 
 
@@ -34,16 +39,14 @@ def clean_text(value: Column) -> Column:
 
 
 def whole_document(text: Column) -> Column:
-    """Wrap a JSON text so that ``document_root`` can tell whether it was read to its end.
+    """Parse a JSON text so that ``document_root`` can tell whether it was read to its end.
 
-    ``try_parse_json`` stops after the first value and ignores what follows, so
-    ``{"a":1} x`` would pass. Here the text becomes the first element of an array
-    and its own hash the second: a text with anything after the first value either
-    fails to parse or hides the hash.
+    Parsing stops after the first value and ignores what follows, so ``{"a":1} x`` would
+    pass. Here the text becomes the first element of an array and its own hash the second:
+    a text with anything after the first value either fails to parse or hides the hash.
     """
-    return F.try_parse_json(
-        F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]"))
-    )
+    wrapped = F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]"))
+    return F.from_json(wrapped, "variant", JSON_OPTIONS)
 
 
 def document_root(wrapped: Column, text: Column) -> Column:

@@ -74,7 +74,7 @@ def drop_malformed(frame: DataFrame) -> DataFrame:
 
 def drop_missing_required(frame: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Drop rows with NULL in one of the columns that are there."""
-    there = [c for c in columns if c in frame.columns]
+    there = _there(frame, columns)
     return frame.dropna(subset=there) if there else frame
 
 
@@ -98,21 +98,20 @@ def convert_numbers(frame: DataFrame) -> DataFrame:
     """Numbers from text; what is not a number becomes NULL."""
     whole = {
         name: to_whole_number(F.col(name), EVENT_SCHEMA[name].dataType.simpleString())
-        for name in WHOLE_NUMBER_COLUMNS
-        if name in frame.columns
+        for name in _there(frame, WHOLE_NUMBER_COLUMNS)
     }
-    decimal = {c: to_decimal_number(F.col(c)) for c in DECIMAL_COLUMNS if c in frame.columns}
+    decimal = {c: to_decimal_number(F.col(c)) for c in _there(frame, DECIMAL_COLUMNS)}
     return frame.withColumns({**whole, **decimal})
 
 
 def convert_flags(frame: DataFrame, columns: Iterable[str] = ("success",)) -> DataFrame:
-    return frame.withColumns({c: to_flag(F.col(c)) for c in columns if c in frame.columns})
+    return frame.withColumns({c: to_flag(F.col(c)) for c in _there(frame, columns)})
 
 
 def clean_strings(frame: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Strip text columns and turn blanks into NULL."""
     return frame.withColumns(
-        {c: clean_text(F.col(c).cast("string")) for c in columns if c in frame.columns}
+        {c: clean_text(F.col(c).cast("string")) for c in _there(frame, columns)}
     )
 
 
@@ -123,6 +122,12 @@ def flag_prompt_redacted(frame: DataFrame) -> DataFrame:
     return frame.withColumn("prompt_redacted", F.col("prompt") == REDACTED_PROMPT)
 
 
+def _there(frame: DataFrame, columns: Iterable[str]) -> list[str]:
+    """The given columns that the frame has."""
+    known = set(frame.columns)
+    return [c for c in columns if c in known]
+
+
 def first_per_key(frame: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
     """The first row of each key in the given order.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.parsing import (
+    DOCUMENT_BYTES,
     document_root,
     fields_of,
     json_text,
@@ -33,6 +34,7 @@ SECTIONS = {"scope": SCOPE_FIELDS, "attributes": ATTRIBUTE_FIELDS, "resource": R
 
 # Reasons a row is malformed.
 LINE_UNREADABLE = "Top-level JSON parse failed: not one valid JSON document"
+LINE_TOO_LARGE = "Top-level JSON document is larger than 128 MiB."
 LINE_NOT_OBJECT = "Top-level JSON value is not an object."
 NO_EVENT_LIST = "Top-level logEvents field is missing or not a list."
 ITEM_NOT_OBJECT = "logEvents item is not an object."
@@ -47,7 +49,8 @@ def parse_batch_lines(lines: DataFrame) -> DataFrame:
 
     A list of events is an array also when it is empty; anything else is an error.
     """
-    wrapped = lines.withColumn("_wrapped", whole_document(F.col("value")))
+    small_enough = F.when(F.octet_length("value") < DOCUMENT_BYTES, F.col("value"))
+    wrapped = lines.withColumn("_wrapped", whole_document(small_enough))
     parsed = wrapped.withColumn("_root", document_root(F.col("_wrapped"), F.col("value")))
     opened = parsed.withColumn("batch", fields_of(F.col("_root"), BATCH_FIELDS.values(), BATCH_PARTS))
     listed = opened.withColumn(
@@ -55,7 +58,8 @@ def parse_batch_lines(lines: DataFrame) -> DataFrame:
     )
     return listed.withColumn(
         "line_error",
-        F.when(F.col("_root").isNull(), LINE_UNREADABLE)
+        F.when(F.octet_length("value") >= DOCUMENT_BYTES, LINE_TOO_LARGE)
+        .when(F.col("_root").isNull(), LINE_UNREADABLE)
         .when(F.col("batch").isNull(), LINE_NOT_OBJECT)
         .when(F.col("log_events").isNull(), NO_EVENT_LIST),
     ).drop("_wrapped")

@@ -67,18 +67,19 @@ def load_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 def align_to_schema(frame: DataFrame, schema: T.StructType) -> DataFrame:
     """Every column of the schema, in order and typed; others are dropped, absent ones NULL."""
-    return frame.select(*[_aligned(frame, field).alias(field.name) for field in schema])
+    types = {field.name: field.dataType for field in frame.schema}
+    return frame.select(*[_aligned(types.get(field.name), field).alias(field.name) for field in schema])
 
 
-def _aligned(frame: DataFrame, field: T.StructField) -> Column:
-    if field.name not in frame.columns:
+def _aligned(actual: T.DataType | None, field: T.StructField) -> Column:
+    if actual is None:
         return F.lit(None).cast(field.dataType)
-    column, actual = F.col(field.name), frame.schema[field.name].dataType
+    column = F.col(field.name)
     if field.name in JSON_COLUMNS:
         return serialize_json(column, actual)
     if isinstance(field.dataType, T.IntegralType) and isinstance(actual, (T.DoubleType, T.FloatType)):
         column = F.rint(column)
-    return column.cast(field.dataType)
+    return column if actual == field.dataType else column.cast(field.dataType)
 
 
 def serialize_json(column: Column, actual: T.DataType) -> Column:
@@ -143,15 +144,16 @@ def publish(load: StagedLoad, *, replace: bool = True, on_duplicate: str = "erro
 
 def _require_constraints(staged: DataFrame, table: str) -> int:
     """Number of rows, after the NOT NULL rules and the day rule hold."""
-    profile = profile_values(staged, NOT_NULL[table])
+    wrong = {}
+    if table == TELEMETRY_EVENTS:
+        # Reports skip days by event_date, so it may not contradict the timestamp.
+        wrong["day"] = F.col("event_date") != F.to_date("event_timestamp")
+    profile = profile_values(staged, NOT_NULL[table], wrong=wrong)
     broken = ", ".join(f"{c}={n}" for c, n in profile["nulls"].items() if n)
     if broken:
         raise ConstraintError(f"{table} has NULL in NOT NULL columns: {broken}")
-    if table == TELEMETRY_EVENTS:
-        # Reports skip days by event_date, so it may not contradict the timestamp.
-        wrong = staged.filter(F.col("event_date") != F.to_date("event_timestamp"))
-        if not wrong.isEmpty():
-            raise ConstraintError(f"{table}.event_date differs from the day of event_timestamp")
+    if profile["wrong"].get("day"):
+        raise ConstraintError(f"{table}.event_date differs from the day of event_timestamp")
     return profile["rows"]
 
 
@@ -160,12 +162,20 @@ def _require_unique(staged: DataFrame, stored: DataFrame | None, table: str) ->
     key = KEY[table]
     doubled = duplicate_keys(staged, key).select(key)
     if stored is not None:
-        doubled = doubled.unionByName(staged.select(key).join(stored.select(key), key, "left_semi"))
+        doubled = doubled.unionByName(_known_keys(staged, stored, key))
     example = doubled.first()
     if example is not None:
         raise ConstraintError(f"{table}.{key} is not unique, for example {example[0]!r}")
 
 
+def _known_keys(staged: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Keys of the load that the table has already.
+
+    The load is the side Spark may broadcast, so a small load only scans the stored keys.
+    """
+    return stored.select(key).join(staged.select(key), key, "left_semi")
+
+
 def _first_only(staged: DataFrame, stored: DataFrame | None, key: str) -> DataFrame | None:
     """The load without repeated keys, or None if there are none.
 
@@ -180,7 +190,7 @@ def _first_only(staged: DataFrame, stored: DataFrame | None, key: str) -> DataFr
         .filter("_copies > 1")
         .select(key, "_first")
     )
-    known = staged.select(key).join(stored.select(key), key, "left_semi") if stored is not None else None
+    known = _known_keys(staged, stored, key) if stored is not None else None
     if repeats.isEmpty() and (known is None or known.isEmpty()):
         return None
     columns = staged.columns
@@ -190,7 +200,7 @@ def _first_only(staged: DataFrame, stored: DataFrame | None, key: str) -> DataFr
     # Copies at the same place (re-read files) are equal rows; one of them stays.
     same_place = first.filter(F.col("_first").isNotNull()).dropDuplicates([key])
     first = first.filter(F.col("_first").isNull()).unionByName(same_place).select(*columns)
-    return first if stored is None else first.join(stored.select(key), key, "left_anti").select(*columns)
+    return first if known is None else first.join(known, key, "left_anti").select(*columns)
 
 
 def _read_loads(spark: SparkSession, root: str, table: str, loads: list[str]) -> DataFrame:
@@ -219,6 +229,20 @@ def published_loads(spark: SparkSession, root: str, table: str) -> list[str]:
     return text.split()
 
 
+def remove_unlisted_loads(spark: SparkSession, root: str, table: str) -> int:
+    """Delete folders of replaced loads; call it when no reader uses the old rows any more."""
+    listed = set(published_loads(spark, root, table))
+    path, fs = _hadoop(spark, f"{root}/{table}")
+    old = [
+        status.getPath()
+        for status in (fs.listStatus(path) if fs.exists(path) else [])
+        if status.getPath().getName().startswith("load=") and status.getPath().getName() not in listed
+    ]
+    for folder in old:
+        fs.delete(folder, True)
+    return len(old)
+
+
 def _list_loads(spark: SparkSession, root: str, table: str, loads: list[str]) -> None:
     """Replace the list of folders by renaming a complete new list over it."""
     path, fs = _hadoop(spark, f"{root}/{table}/{_LIST}")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,11 +70,19 @@ def _validate(
         validate_unique_key(profile["rows"], profile["keys"], key, dataset)
 
 
-def profile_values(frame: DataFrame, required: Sequence[str], key: str | None = None) -> dict:
-    """Row count, NULLs per required column and distinct keys, in one job."""
+def profile_values(
+    frame: DataFrame,
+    required: Sequence[str],
+    key: str | None = None,
+    wrong: Mapping[str, Column] | None = None,
+) -> dict:
+    """Rows, NULLs per required column, distinct keys and rows meeting each condition of
+    ``wrong``, in one job."""
     there = [c for c in required if c in frame.columns]
+    wrong = wrong or {}
     counts = [F.count(F.lit(1)).alias("rows")]
     counts += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{c}") for c in there]
+    counts += [F.count(F.when(test, 1)).alias(f"wrong_{name}") for name, test in wrong.items()]
     if key is not None and key in frame.columns:
         counts.append(F.countDistinct(key).alias("keys"))
     row = frame.agg(*counts).first()
@@ -82,6 +90,7 @@ def profile_values(frame: DataFrame, required: Sequence[str], key: str | None =
         "rows": row["rows"],
         "nulls": {c: row[f"null_{c}"] for c in there},
         "keys": row["keys"] if "keys" in row else None,
+        "wrong": {name: row[f"wrong_{name}"] for name in wrong},
     }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.operators.flatten import flatten_batches
-from tallyline.session import checkpoint_folder
+from tallyline.session import checkpoint_folder, prepare
 
 # Broadcast the per-split line offsets up to this many splits (about 20 MB of
 # paths and numbers); beyond it Spark picks the join.
@@ -20,7 +20,7 @@ def read_telemetry_batches(spark: SparkSession, path: str | list[str]) -> DataFr
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every text line with its file and its line number: (source_file, line_number, value)."""
-    return number_lines(with_position(spark.read.text(path)))
+    return number_lines(with_position(prepare(spark).read.text(path)))
 
 
 def with_position(text: DataFrame) -> DataFrame:

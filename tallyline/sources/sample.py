@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.operators.storage import align_to_schema
 from tallyline.schemas import EVENT_SCHEMA
 
 # Sample event type -> event name.
@@ -55,34 +54,50 @@ EXPRESSIONS = {
 }
 
 
+# Columns of the sample tables the mapping reads, so that no job has to infer them.
+# Times are stored without a zone; read as UTC, conditions on them reach the scan.
+SAMPLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.read
+    if name in SAMPLE_SCHEMAS:
+        reader = reader.schema(SAMPLE_SCHEMAS[name])
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def _named_events(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.create_map(*[F.lit(x) for pair in EVENT_NAMES.items() for x in pair])
+    cases = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in EVENT_NAMES.items())
     return table(spark, folder, "events").select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         "user_id",
         "value",
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
-        F.try_element_at(name, F.col("event_type")).alias("shown"),
+        F.expr(f"CASE event_type {cases} END").alias("shown"),
     )
 
 
 def sample_events(spark: SparkSession, folder: str) -> DataFrame:
     """The sample events with the 61 stored columns."""
-    values = [F.expr(text).alias(name) for name, text in EXPRESSIONS.items()]
-    mapped = _named_events(spark, folder).select(
-        *values,
-        F.col("ts").alias("event_timestamp"),
-        F.to_date("ts").alias("event_date"),
-        (F.unix_millis("ts") + F.col("k") * 10).alias("outer_timestamp_ms"),
-        F.lit(False).alias("is_malformed"),
-    )
-    return align_to_schema(mapped, EVENT_SCHEMA).withColumn(
-        "prompt_redacted", F.col("prompt") == "<REDACTED>"
+    texts = {
+        **EXPRESSIONS,
+        "event_timestamp": "ts",
+        "event_date": "to_date(ts)",
+        "outer_timestamp_ms": "unix_millis(ts) + k * 10",
+        "prompt_redacted": "CASE WHEN shown = 'user_prompt' THEN k % 3 <> 2 END",
+        "is_malformed": "false",
+    }
+    return _named_events(spark, folder).selectExpr(
+        *[
+            f"CAST({texts.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in EVENT_SCHEMA
+        ]
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,10 +44,13 @@ def incremental_load(
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         numbered = number_lines(batch.withColumn("_row", F.monotonically_increasing_id()))
-        flat = flatten_batches(numbered)
-        reject_rows(flat).write.mode("overwrite").parquet(f"{root}/{REJECTS}/batch={batch_id}")
-        loadable = clean_events(flat).dropna(subset=list(NOT_NULL[TELEMETRY_EVENTS]))
-        save_events(loadable, root, replace=False, on_duplicate="first")
+        flat = flatten_batches(numbered).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            reject_rows(flat).write.mode("overwrite").parquet(f"{root}/{REJECTS}/batch={batch_id}")
+            loadable = clean_events(flat).dropna(subset=list(NOT_NULL[TELEMETRY_EVENTS]))
+            save_events(loadable, root, replace=False, on_duplicate="first")
+        finally:
+            flat.unpersist()
 
     return (
         lines.writeStream.foreachBatch(absorb)

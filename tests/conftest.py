@@ -19,6 +19,7 @@ def spark():
         master="local[4]",
         **{
             "spark.ui.enabled": "false",
+            "spark.driver.memory": "4g",
             "spark.sql.shuffle.partitions": "4",
             "spark.sql.maxMetadataStringLength": "2000",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tallyline-tests-"),

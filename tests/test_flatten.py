@@ -121,10 +121,16 @@ def test_parsing_is_planned_once(lines, capsys):
     from tallyline.operators.cleaning import clean_events
 
     plan = clean_events(flatten_batches(lines(batch(event(1)))))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("parseJson") == 2
+    assert plan.count("from_json") == 2
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
+def test_not_a_number_and_long_strings_are_read(lines):
+    text = '{"attributes": {"event.name": "x", "cost_usd": NaN, "error": "%s"}}' % ("y" * 21_000_000)
+    (row,) = flat(lines(batch(event(0, text=text))))
+    assert not row["is_malformed"] and row["cost_usd"] == "NaN" and len(row["error"]) == 21_000_000
+
+
 def test_line_errors_without_exploding(lines):
     rows = dicts(parse_batch_lines(lines(batch(), "x")).select("line_number", "line_error"))
     assert [r["line_error"] for r in rows] == [None, flatten.LINE_UNREADABLE]

@@ -49,6 +49,14 @@ def test_replace_append_and_empty_replace(spark, folder, events):
     assert ids(spark, folder) == ["c"]
 
 
+def test_replaced_loads_are_removed_on_request(spark, folder, events):
+    for name in ("a", "b"):
+        save_events(events({"event_id": name}), folder)
+    assert storage.remove_unlisted_loads(spark, folder, "telemetry_events") == 1
+    assert storage.remove_unlisted_loads(spark, folder, "employees") == 0
+    assert ids(spark, folder) == ["b"]
+
+
 def test_table_can_be_read_while_it_is_replaced_from_itself(spark, folder, events):
     save_events(events({"event_id": "a"}, {"event_id": "b"}), folder)
     stored = load_table(spark, folder, "telemetry_events")
