@@ -85,6 +85,10 @@ def _named_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def sample_events(spark: SparkSession, folder: str) -> DataFrame:
     """The sample events with the 61 stored columns."""
+    return _as_events(_named_events(spark, folder))
+
+
+def _as_events(named: DataFrame, *more: str) -> DataFrame:
     texts = {
         **EXPRESSIONS,
         "event_timestamp": "ts",
@@ -93,11 +97,12 @@ def sample_events(spark: SparkSession, folder: str) -> DataFrame:
         "prompt_redacted": "CASE WHEN shown = 'user_prompt' THEN k % 3 <> 2 END",
         "is_malformed": "false",
     }
-    return _named_events(spark, folder).selectExpr(
+    return named.selectExpr(
+        *more,
         *[
             f"CAST({texts.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in EVENT_SCHEMA
-        ]
+        ],
     )
 
 
@@ -161,8 +166,11 @@ def _time_text() -> Column:
 
 def sample_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Raw batch lines: (line_id, value). Rules by line and by event spoil some of them."""
+    # Shuffled as narrow source rows, so that the text is built in parallel next to its line.
+    line = F.floor(F.col("event_id") / EVENTS_PER_LINE).alias("line_id")
+    placed = _named_events(spark, folder).select("*", line).repartition("line_id")
     number = F.col("event_id").cast("bigint")
-    typed = sample_events(spark, folder).withColumn("event_id", number)
+    typed = _as_events(placed, "line_id").withColumn("event_id", number)
     at = F.col("event_id") % 50
 
     def padded(name: str) -> Column:
@@ -218,9 +226,7 @@ def sample_lines(spark: SparkSession, folder: str) -> DataFrame:
         .when(at == 17, F.to_json(F.struct(identity, F.lit(12).alias("message"))))
         .otherwise(F.to_json(F.struct(identity, *[c.alias(n) for n, c in wrapper.items()])))
     )
-    items = typed.select(
-        F.floor(F.col("event_id") / EVENTS_PER_LINE).alias("line_id"), "event_id", item.alias("item")
-    )
+    items = typed.select("line_id", "event_id", item.alias("item"))
     lists = items.groupBy("line_id").agg(
         F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("event_id", "item"))), lambda x: x["item"])).alias("listed")
     )
