@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,12 @@ TOKENS_SQL = (
 )
 
 
+@lru_cache(maxsize=8)
+def sample_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Events and employees of a folder, defined once per session (nothing is read yet)."""
+    return sample_events(spark, folder), sample_employees(spark, folder)
+
+
 def comparable(frame: DataFrame) -> DataFrame:
     """Doubles rounded and timestamps without a zone, as the SQL side returns them.
 
@@ -77,6 +84,6 @@ def report(
     """Add a query over (events, employees); ``select`` reads `t`, `e` and its own ``ctes``."""
     register(
         name,
-        lambda spark, folder: build(sample_events(spark, folder), sample_employees(spark, folder)),
+        lambda spark, folder: build(*sample_tables(spark, folder)),
         TABLES_SQL + (f", {ctes}" if ctes else "") + "\n" + select,
     )

@@ -289,7 +289,7 @@ outcome(
 def _null_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The counts behind the value checks."""
     profile = validation.profile_values(_gappy(spark, folder), NOT_NULL[TELEMETRY_EVENTS], "event_id")
-    rows = [("rows", profile["rows"]), ("keys", profile["keys"]), *profile["nulls"].items()]
+    rows = [("rows", profile.rows), ("keys", profile.keys), *profile.nulls.items()]
     return spark.createDataFrame(rows, "measured string, amount bigint")
 
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.operators.validation import ValidationError, profile_values
+from tallyline.operators.validation import Profile, ValidationError, profile_values
 from tallyline.schemas import EMPLOYEES, JSON_COLUMNS, KEY, NOT_NULL, SCHEMA, TELEMETRY_EVENTS
 
 _LIST = "_loads"
@@ -38,6 +39,17 @@ class StagedLoad:
     def rows(self) -> DataFrame:
         return _read_loads(self.spark, self.root, self.table, [self.folder])
 
+    @cached_property
+    def profile(self) -> Profile:
+        """Counts behind the checks of values, taken in one job."""
+        wrong = {}
+        if self.table == TELEMETRY_EVENTS:
+            # Reports skip days by event_date, so it may not contradict the timestamp.
+            wrong["day"] = F.col("event_date") != F.to_date("event_timestamp")
+        # Distinct event ids are counted apart, to keep other columns out of that shuffle.
+        key = KEY[self.table] if self.table == EMPLOYEES else None
+        return profile_values(self.rows, NOT_NULL[self.table], key, wrong)
+
     def discard(self) -> None:
         path, fs = _hadoop(self.spark, f"{self.root}/{self.table}/{self.folder}")
         fs.delete(path, True)
@@ -123,7 +135,7 @@ def publish(load: StagedLoad, *, replace: bool = True, on_duplicate: str = "erro
     kept = [] if replace else published_loads(spark, root, table)
     stored = _read_loads(spark, root, table, kept) if kept else None
     try:
-        rows = _require_constraints(load.rows, table)
+        rows = _require_constraints(load)
         if rows and on_duplicate == "first":
             unique = _first_only(load.rows, stored, KEY[table])
             if unique is not None:
@@ -142,19 +154,14 @@ def publish(load: StagedLoad, *, replace: bool = True, on_duplicate: str = "erro
     return rows
 
 
-def _require_constraints(staged: DataFrame, table: str) -> int:
+def _require_constraints(load: StagedLoad) -> int:
     """Number of rows, after the NOT NULL rules and the day rule hold."""
-    wrong = {}
-    if table == TELEMETRY_EVENTS:
-        # Reports skip days by event_date, so it may not contradict the timestamp.
-        wrong["day"] = F.col("event_date") != F.to_date("event_timestamp")
-    profile = profile_values(staged, NOT_NULL[table], wrong=wrong)
-    broken = ", ".join(f"{c}={n}" for c, n in profile["nulls"].items() if n)
+    broken = ", ".join(f"{c}={n}" for c, n in load.profile.nulls.items() if n)
     if broken:
-        raise ConstraintError(f"{table} has NULL in NOT NULL columns: {broken}")
-    if profile["wrong"].get("day"):
-        raise ConstraintError(f"{table}.event_date differs from the day of event_timestamp")
-    return profile["rows"]
+        raise ConstraintError(f"{load.table} has NULL in NOT NULL columns: {broken}")
+    if load.profile.wrong.get("day"):
+        raise ConstraintError(f"{load.table}.event_date differs from the day of event_timestamp")
+    return load.profile.rows
 
 
 def _require_unique(staged: DataFrame, stored: DataFrame | None, table: str) -> None:

@@ -7,6 +7,7 @@ aggregate over the required columns.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,31 +44,14 @@ _KIND_CLASSES = {
 }
 
 
-def validate_events(events: DataFrame) -> None:
-    """Not empty, required columns and values, types, usable timestamps."""
-    _validate(events, "telemetry events", NOT_NULL[TELEMETRY_EVENTS], EVENT_KINDS, None)
-    validate_timestamps(events, "event_timestamp", "telemetry events", nulls=0)
-
-
-def validate_employees(employees: DataFrame) -> None:
-    """Not empty, required columns and values, types, one row per e-mail."""
-    _validate(employees, "employees", NOT_NULL[EMPLOYEES], EMPLOYEE_KINDS, KEY[EMPLOYEES])
+@dataclass(frozen=True)
+class Profile:
+    """Rows, NULLs per required column, distinct keys, and rows per condition of a table."""
 
-
-def _validate(
-    frame: DataFrame,
-    dataset: str,
-    required: Sequence[str],
-    kinds: Mapping[str, str],
-    key: str | None,
-) -> None:
-    profile = profile_values(frame, required, key)
-    validate_not_empty(profile["rows"], dataset)
-    validate_required_columns(frame, required, dataset)
-    validate_required_values(profile["nulls"], dataset)
-    validate_data_types(frame, kinds, dataset)
-    if key is not None:
-        validate_unique_key(profile["rows"], profile["keys"], key, dataset)
+    rows: int
+    nulls: dict[str, int]
+    keys: int | None
+    wrong: dict[str, int]
 
 
 def profile_values(
@@ -75,9 +59,8 @@ def profile_values(
     required: Sequence[str],
     key: str | None = None,
     wrong: Mapping[str, Column] | None = None,
-) -> dict:
-    """Rows, NULLs per required column, distinct keys and rows meeting each condition of
-    ``wrong``, in one job."""
+) -> Profile:
+    """Count everything the checks of values need, in one job."""
     there = [c for c in required if c in frame.columns]
     wrong = wrong or {}
     counts = [F.count(F.lit(1)).alias("rows")]
@@ -86,12 +69,44 @@ def profile_values(
     if key is not None and key in frame.columns:
         counts.append(F.countDistinct(key).alias("keys"))
     row = frame.agg(*counts).first()
-    return {
-        "rows": row["rows"],
-        "nulls": {c: row[f"null_{c}"] for c in there},
-        "keys": row["keys"] if "keys" in row else None,
-        "wrong": {name: row[f"wrong_{name}"] for name in wrong},
-    }
+    return Profile(
+        rows=row["rows"],
+        nulls={c: row[f"null_{c}"] for c in there},
+        keys=row["keys"] if "keys" in row else None,
+        wrong={name: row[f"wrong_{name}"] for name in wrong},
+    )
+
+
+def validate_events(events: DataFrame, profile: Profile | None = None) -> None:
+    """Not empty, required columns and values, types, usable timestamps.
+
+    Pass the counts if they are taken already; they have to cover the required columns.
+    """
+    required = NOT_NULL[TELEMETRY_EVENTS]
+    profile = profile or profile_values(events, required)
+    _validate(events, "telemetry events", required, EVENT_KINDS, profile)
+    validate_timestamps(events, "event_timestamp", "telemetry events", nulls=0)
+
+
+def validate_employees(employees: DataFrame, profile: Profile | None = None) -> None:
+    """Not empty, required columns and values, types, one row per e-mail."""
+    required, key = NOT_NULL[EMPLOYEES], KEY[EMPLOYEES]
+    profile = profile or profile_values(employees, required, key)
+    _validate(employees, "employees", required, EMPLOYEE_KINDS, profile)
+    validate_unique_key(profile.rows, profile.keys, key, "employees")
+
+
+def _validate(
+    frame: DataFrame,
+    dataset: str,
+    required: Sequence[str],
+    kinds: Mapping[str, str],
+    profile: Profile,
+) -> None:
+    validate_not_empty(profile.rows, dataset)
+    validate_required_columns(frame, required, dataset)
+    validate_required_values(profile.nulls, dataset)
+    validate_data_types(frame, kinds, dataset)
 
 
 def validate_not_empty(rows: int, dataset: str) -> None:
@@ -135,7 +150,7 @@ def validate_timestamps(
     if not isinstance(actual, _KIND_CLASSES["datetime"]):
         raise ValidationError(f"{dataset}.{column} must be a timestamp, got {actual.simpleString()}")
     if nulls is None:
-        nulls = profile_values(frame, [column])["nulls"][column]
+        nulls = profile_values(frame, [column]).nulls[column]
     if nulls:
         raise ValidationError(f"{dataset}.{column} contains {nulls} invalid timestamps")
 

@@ -46,8 +46,8 @@ def run_pipeline(
     staged_events = stage(clean_events(telemetry), TELEMETRY_EVENTS, root)
     staged_employees = stage(clean_employees(employees), EMPLOYEES, root)
     try:
-        validate_events(staged_events.rows)
-        validate_employees(staged_employees.rows)
+        validate_events(staged_events.rows, staged_events.profile)
+        validate_employees(staged_employees.rows, staged_employees.profile)
     except Exception:
         staged_events.discard()
         staged_employees.discard()
