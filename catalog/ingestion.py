@@ -276,7 +276,7 @@ def _loaded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 register(
-    "run_pipeline",
+    "full_load",
     _loaded,
     "WITH x AS ("
     + _CLEAN_SQL
