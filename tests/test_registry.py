@@ -40,7 +40,7 @@ def rows(frame):
     return sorted(tuple(plain(v) for v in row) for row in ordered.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, sql, name):
     got = driver.queries()[name](spark, FOLDER).toPandas()
     expected = sql.execute(driver.oracle_sql()[name]).df()
