@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import url_filter
+from tallyline.llm import line_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,44 @@ SELECT page_id, host, path,
 FROM split"""
 
 QUERIES["op1_url_filter"] = op1_url_filter
+
+
+# --- 2: line dedup
+
+
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the windows of lines that stood earlier."""
+    cleaned = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLES["op2_line_dedup"] = """
+WITH raw AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), numbered AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM raw
+), shown AS (
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS line,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n,
+         count(*) OVER (PARTITION BY doc_id) AS many
+  FROM numbered WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), named AS (
+  SELECT doc_id, pos AS first, many,
+         coalesce(lead(pos, 2) OVER place, lead(pos, 1) OVER place, pos) AS last,
+         line AS a, lead(line, 1) OVER place AS b, lead(line, 2) OVER place AS c, n
+  FROM shown WINDOW place AS (PARTITION BY doc_id ORDER BY pos)
+), windows AS (
+  SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, first) AS time
+  FROM named WHERE n <= greatest(many - 2, 1)
+), gone AS (
+  SELECT DISTINCT w.doc_id, l.pos FROM windows w JOIN numbered l ON w.doc_id = l.doc_id AND l.pos BETWEEN w.first AND w.last
+  WHERE w.time > 1
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
+  FROM numbered l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos WHERE g.pos IS NULL GROUP BY l.doc_id
+), lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT r.doc_id, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(coalesce(len(r.lines), 0) AS INT) AS n_lines, CAST(coalesce(l.n, 0) AS INT) AS n_removed
+FROM raw r LEFT JOIN kept k ON r.doc_id = k.doc_id LEFT JOIN lost l ON r.doc_id = l.doc_id"""
+
+QUERIES["op2_line_dedup"] = op2_line_dedup
