@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,23 @@ def identity(*columns: Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), *told), F.xxhash64(F.lit(2), *told)]
 
 
+_SENT: set[str] = set()
+
+
+def sent(frame: DataFrame) -> DataFrame:
+    """The same frame, once the package is where this application's executors can import it."""
+    context = frame.sparkSession.sparkContext
+    if context.applicationId not in _SENT:
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="tallyline-")) / "tallyline_package.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _SENT.add(context.applicationId)
+    return frame
+
+
 def reliable(frame: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the folder that all executors share."""
     checkpoint_folder(frame.sparkSession)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyline.llm import line_dedup, url_filter
+from tallyline.llm import decontaminate, line_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,49 @@ SELECT r.doc_id, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM raw r LEFT JOIN kept k ON r.doc_id = k.doc_id LEFT JOIN lost l ON r.doc_id = l.doc_id"""
 
 QUERIES["op2_line_dedup"] = op2_line_dedup
+
+
+# --- 3: benchmark decontamination
+
+
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, and which benchmark items it holds windows of."""
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), {}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_TRANSLATED)
+ORACLES["op3_decontaminate"] = f"""
+WITH i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS words FROM benchmark
+), iw AS (
+  SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS n FROM i WHERE len(words) > 0
+), win AS (
+  SELECT DISTINCT item, array_to_string(words[n:n + 9], ' ') AS win, least(len(words), 10) AS size FROM iw
+), d AS (
+  SELECT doc_id, {_WORDS} AS words FROM documents
+), sizes AS (SELECT DISTINCT size FROM win),
+dw AS (
+  SELECT doc_id, size, words, unnest(range(1, greatest(len(words) - size + 1, 0) + 1)) AS n FROM d, sizes
+), hit AS (
+  SELECT dw.doc_id, dw.n, dw.size, win.item
+  FROM (SELECT doc_id, n, size, array_to_string(words[n:n + size - 1], ' ') AS win FROM dw) dw JOIN win USING (win, size)
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(n, n + size)) AS p FROM hit) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256,
+       coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places p ON d.doc_id = p.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id"""
+
+QUERIES["op3_decontaminate"] = op3_decontaminate

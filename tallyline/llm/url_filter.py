@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.frames import col
+from tallyline.llm.frames import col, sent
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SETTINGS_BYTES = 16_000_000
@@ -126,4 +126,4 @@ def filter_urls(
     path = F.coalesce(F.regexp_extract(text, parts, 2), F.lit(""))
     found = judged(text, host, path)
     out = ("rule", "verdict", "strict_hits", "soft_hits")
-    return frame.withColumns({"host": host, "path": path, **{name: found[name] for name in out}})
+    return sent(frame).withColumns({"host": host, "path": path, **{name: found[name] for name in out}})
