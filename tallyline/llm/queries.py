@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, line_dedup, url_filter
+from tallyline.llm import decontaminate, hyperminhash, line_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,15 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit,
 FROM d LEFT JOIN places p ON d.doc_id = p.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id"""
 
 QUERIES["op3_decontaminate"] = op3_decontaminate
+
+
+# --- 8: near duplicates
+
+
+def op8_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its group of near duplicates, at 85 of 100 shingles in common."""
+    found = hyperminhash.near_duplicates(table(spark, folder, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES["op8_hyperminhash"] = op8_hyperminhash
