@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, hyperminhash, line_dedup, url_filter
+from tallyline.llm import decontaminate, hyperminhash, line_dedup, packing, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -169,3 +176,30 @@ def op8_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op8_hyperminhash"] = op8_hyperminhash
+
+
+# --- 4: token counts
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's bytes and tokens."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(documents, tokenizer("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+QUERIES["op4_token_counts"] = op4_token_counts
+
+
+# --- 7: packing
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens in sequences of 4096."""
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), end=2)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES["op7_packing"] = op7_packing
