@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, hyperminhash, line_dedup, packing, token_counts, url_filter
+from tallyline.llm import (
+    decontaminate,
+    hyperminhash,
+    line_dedup,
+    packing,
+    token_counts,
+    url_filter,
+    warc,
+)
+from tallyline.llm.frames import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +212,25 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op7_packing"] = op7_packing
+
+
+# --- 5: WARC
+
+
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page, written to archives, normalised and read back."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    place = scratch(spark, "warc")
+    written = warc.write_archives(warc.marked(pages, "page_id", "html"), f"{place}/whole")
+    found = warc.read_archives(warc.normalise(written, f"{place}/records"), place)
+    return found.select(
+        F.col("page_id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
+QUERIES["op5_warc"] = op5_warc
