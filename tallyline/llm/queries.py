@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyline.llm import (
     decontaminate,
     hyperminhash,
+    language_mixture,
     line_dedup,
     packing,
     token_counts,
@@ -234,3 +235,18 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op5_warc"] = op5_warc
+
+
+# --- 6: language ID
+
+
+def op6_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's main language, learned from four fifths of the documents."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    documents = documents.withColumn("held_out", language_mixture.held_out())
+    model = language_mixture.learn(documents.where("NOT held_out"))
+    judged = language_mixture.identify(documents.drop("lang"), model)
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+QUERIES["op6_language_mixture"] = op6_language_mixture
