@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm import (
     decontaminate,
+    epsilon_grid,
     hyperminhash,
     language_mixture,
     line_dedup,
@@ -250,3 +251,14 @@ def op6_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op6_language_mixture"] = op6_language_mixture
+
+
+# --- 9: near vectors
+
+
+def op9_epsilon_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding with its links and its group, at a cosine of 0.95."""
+    return epsilon_grid.near_vectors(table(spark, folder, "embeddings"))
+
+
+QUERIES["op9_epsilon_grid"] = op9_epsilon_grid
