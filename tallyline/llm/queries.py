@@ -12,6 +12,7 @@ from tallyline.llm import (
     epsilon_grid,
     hyperminhash,
     language_mixture,
+    licenses,
     line_dedup,
     packing,
     token_counts,
@@ -262,3 +263,69 @@ def op9_epsilon_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op9_epsilon_grid"] = op9_epsilon_grid
+
+
+# --- 10: license scan
+
+# Documents as files of a tree: source/lang/hundred/id.txt. Each first document of a hundred,
+# a thousand and ten thousand is the licence file of that part of the tree.
+_PATH = """concat(
+  coalesce(source, ''), CASE WHEN doc_id % 10000 = 0 THEN '' ELSE concat('/', coalesce(lang, ''),
+    CASE WHEN doc_id % 1000 = 0 THEN '' ELSE concat('/', CAST(doc_id {div} 100 AS {text})) END) END,
+  CASE WHEN doc_id % 100 = 0 THEN '/LICENSE' ELSE concat('/', CAST(doc_id AS {text}), '.txt') END)"""
+
+
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a file, with its licence or the one it inherits."""
+    path = F.expr(_PATH.format(text="string", div="div"))
+    files = table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files, keep=["doc_id"])
+
+
+def _license_sql() -> str:
+    weights = licenses.Weights(licenses.TEMPLATES, licenses.LEAST)
+    words = ", ".join(f"('{t}', {w!r}e0)" for t, w in weights.idf.items())
+    rows = ", ".join(f"({i}, '{n}', '{t}', {w!r}e0)" for i, n, t, w in weights.rows)
+    file_name = "regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$')"
+    return f"""
+WITH idf(token, idf) AS (VALUES {words}),
+tmpl(template, license, token, weight) AS (VALUES {rows}),
+f AS (SELECT doc_id, {_PATH.format(text="VARCHAR", div="//")} AS path, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM f),
+seg AS (
+  SELECT row_number() OVER () AS s, doc_id, part FROM (
+    SELECT doc_id, unnest(string_split(regexp_replace(line, '([.;!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS part FROM lines
+    UNION ALL SELECT doc_id, text FROM f WHERE {file_name})
+), tok AS (
+  SELECT s, doc_id, unnest(regexp_extract_all(translate(part, {_TRANSLATED}), '[a-z0-9]+')) AS token FROM seg
+), tf AS (
+  SELECT s, doc_id, tok.token, count(*) * coalesce(max(idf.idf), {weights.unknown!r}e0) AS w
+  FROM tok LEFT JOIN idf ON tok.token = idf.token GROUP BY s, doc_id, tok.token
+), len AS (SELECT s, sqrt(sum(w * w)) AS length FROM tf GROUP BY s),
+dot AS (
+  SELECT s, doc_id, template, license, sum(w * weight) AS product FROM tf JOIN tmpl ON tf.token = tmpl.token
+  GROUP BY s, doc_id, template, license
+), best AS (
+  SELECT dot.doc_id, license, round(round(product, 9) / length, 6) AS cosine,
+         row_number() OVER (PARTITION BY dot.doc_id ORDER BY round(round(product, 9) / length, 6) DESC, license) AS n
+  FROM dot JOIN len ON dot.s = len.s
+), told AS (
+  SELECT f.doc_id, f.path, regexp_replace(f.path, '/?[^/]*$', '') AS dir, license, cosine
+  FROM f LEFT JOIN (SELECT * FROM best WHERE n = 1 AND cosine >= {licenses.LEAST}) b ON f.doc_id = b.doc_id
+), named AS (
+  SELECT dir AS above, license AS license_, cosine AS cosine_, path AS file_,
+         row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license, path) AS n
+  FROM told WHERE license IS NOT NULL AND {file_name}
+), near AS (
+  SELECT dir, license_, cosine_, file_, row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) AS n
+  FROM (SELECT DISTINCT dir FROM told) d JOIN (SELECT * FROM named WHERE n = 1) a
+    ON above = '' OR dir = above OR starts_with(dir, above || '/')
+)
+SELECT doc_id, path, coalesce(license, license_) AS license, coalesce(cosine, cosine_) AS cosine,
+       CASE WHEN license IS NOT NULL THEN 'own' WHEN license_ IS NOT NULL THEN 'inherited' END AS found,
+       CASE WHEN license IS NULL THEN file_ END AS file
+FROM told LEFT JOIN (SELECT * FROM near WHERE n = 1) near ON told.dir = near.dir"""
+
+
+ORACLES["op10_licenses"] = _license_sql()
+QUERIES["op10_licenses"] = op10_licenses
