@@ -9,8 +9,7 @@ five words (one of all its words if it has fewer). Documents are linked if
 2. Banding: five registers make a key, 25 keys a node (two nodes at 0.85 share none with a
    chance below 10^-6). In each bucket of nodes with one key, every node is paired with
    one pivot only. The Jaccard estimate from the registers, corrected for chance
-   collisions, drops what lies five standard deviations below the threshold; the rest is
-   verified on full sets.
+   collisions, drops what can't be a link, nor near one; the rest is verified on full sets.
 3. Nodes not linked with their pivot stay: they are dealt anew by further registers, so
    that nodes alike meet without the strangers that share a hot passage, until no two are
    left together. After the last round what is left together is compared in full.
@@ -36,12 +35,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import words as W
+from tallyline.llm.bloom import bloom_filter, maybe
 from tallyline.llm.components import components
-from tallyline.llm.frames import col, identity, reliable, sent, slices, text_bytes, unused
+from tallyline.llm.frames import col, identity, reliable, scratch, sent, slices, text_bytes, unused
 
 SHINGLE = 5
 PERCENT = 80
@@ -50,7 +50,7 @@ MANTISSA = 10
 BAND = 5
 BANDS = BUCKETS // BAND
 #: Rounds in which strangers are dealt anew, by how many registers, and in how many ways.
-ROUNDS, MORE, WAYS = 6, 2, 2
+ROUNDS, MORE, WAYS = 4, 4, 2
 #: Chance collisions of registers, at most: 0.17 * 2^(p - r) for 2^p buckets and r bits.
 COLLISIONS = 0.17 * BUCKETS / (1 << MANTISSA)
 #: Up to so many nodes (16 bytes each) a list of nodes is broadcast; beyond, it is shuffled.
@@ -60,11 +60,11 @@ BROADCAST_NODES = 500_000
 def distinct_shingles(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, and the number of the first one of each."""
     hashes, first = W.shingles(found, SHINGLE)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((hashes, doc))
-    hashes = hashes[order]
+    for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        hashes[begin:end].sort()
     new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[first[:-1][np.diff(first) > 0]] = True
     return hashes[new], np.concatenate([[0], np.cumsum(new)])[first]
 
 
@@ -93,9 +93,9 @@ def _registers_of(column: pa.Array | pd.Series) -> np.ndarray:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, node, n_shingles, registers) for each row of (doc_id, k1, k2, text).
+    """(doc_id, k1, k2, s1, s2, n_shingles, registers) for each row of (doc_id, k1, k2, text).
 
-    ``node`` stands for the set: 128 bits, sums of two hashes of its shingles; null if empty.
+    s1 and s2 stand for the set: sums of two hashes of its shingles; null if it is empty.
     """
     kind = texts.schema["doc_id"].dataType.simpleString()
 
@@ -104,32 +104,30 @@ def signatures(texts: DataFrame) -> DataFrame:
             hashes, first = distinct_shingles(W.words(*text_bytes(batch.column("text")), W.UNSPACED))
             many = np.diff(first)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(W.mixed(hashes ^ np.uint64(s)))])[first] for s in (1, 2)]
-            node = np.ascontiguousarray(np.stack([np.diff(s) for s in sums], 1)).astype(">u8")
             held = registers(hashes, first)
             yield pa.record_batch(
                 [
-                    batch.column("doc_id"),
-                    batch.column("k1"),
-                    batch.column("k2"),
-                    pa.array([n.tobytes() if m else None for n, m in zip(node, many, strict=True)], pa.binary()),
+                    *(batch.column(c) for c in ("doc_id", "k1", "k2")),
+                    *(pa.array(np.diff(s).view(np.int64), mask=many == 0) for s in sums),
                     pa.array(many.astype(np.int64)),
                     pa.array([r.tobytes() if m else None for r, m in zip(held, many, strict=True)], pa.binary()),
                 ],
-                ["doc_id", "k1", "k2", "node", "n_shingles", "registers"],
+                ["doc_id", "k1", "k2", "s1", "s2", "n_shingles", "registers"],
             )
 
-    schema = f"doc_id {kind}, k1 long, k2 long, node binary, n_shingles long, registers binary"
+    schema = f"doc_id {kind}, k1 long, k2 long, s1 long, s2 long, n_shingles long, registers binary"
     return texts.select("doc_id", "k1", "k2", "text").mapInArrow(sign, schema)
 
 
-def _keyed(nodes: np.ndarray, keys: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
-    """(key, node) for each row of keys where ``held`` says so."""
+def _keyed(nodes: pa.Array, keys: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+    """(key, node) for each place of ``keys``, a row for each node, where ``held`` says so."""
     row, _ = np.nonzero(held)
-    return pa.record_batch([pa.array(keys[held].view(np.int64)), pa.array(nodes[row], pa.binary())], ["key", "node"])
+    return pa.record_batch([pa.array(keys[held].view(np.int64)), nodes.take(pa.array(row))], ["key", "node"])
 
 
-def band_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): a key for each band that is not empty."""
+def band_keys(nodes: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """(key, node): a key for each band that is not empty; only those that pass a filter, if given."""
+    shared = None if among is None else nodes.sparkSession.sparkContext.broadcast(among)
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,12 +135,15 @@ def band_keys(nodes: DataFrame) -> DataFrame:
             keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), held.shape[:2])
             for i in range(BAND):
                 keys = W.mixed(keys ^ held[:, :, i])
-            yield _keyed(np.array(batch.column("node").to_pylist(), object), keys, held.any(axis=2))
+            told = held.any(axis=2)
+            if shared is not None:
+                told &= maybe(shared.value, keys.ravel()).reshape(keys.shape)
+            yield _keyed(batch.column("node"), keys, told)
 
-    return nodes.select("node", "registers").mapInArrow(band, "key long, node binary")
+    return nodes.select("node", "registers").mapInArrow(band, "key long, node long")
 
 
-def dealt_anew(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def dealt_anew(rows: DataFrame, live: DataFrame) -> DataFrame:
     """(key, node) with WAYS finer keys for each row: its key and MORE registers named by it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,18 +152,19 @@ def dealt_anew(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             old = batch.column("key").to_numpy().view(np.uint64)
             keys = np.stack([W.mixed(old + np.uint64(way + 1)) for way in range(WAYS)], 1)
             row = np.arange(len(held))[:, None]
+            first = (keys % np.uint64(BUCKETS)).astype(np.int64)
             for i in range(MORE):
-                chosen = (W.mixed(keys + np.uint64(i)) % np.uint64(BUCKETS)).astype(np.int64) if i == 0 else (chosen * 7 + 13) % BUCKETS
-                keys = W.mixed(keys ^ held[row, chosen])
-            yield _keyed(np.array(batch.column("node").to_pylist(), object), keys, np.ones(keys.shape, bool))
+                keys = W.mixed(keys ^ held[row, (first + 37 * i) % BUCKETS])
+            yield _keyed(batch.column("node"), keys, np.ones(keys.shape, bool))
 
-    return rows.join(nodes.select("node", "registers"), "node").select("key", "node", "registers").mapInArrow(
-        deal, "key long, node binary"
+    return rows.join(live.select("node", "registers"), "node").select("key", "node", "registers").mapInArrow(
+        deal, "key long, node long"
     )
 
 
 def _alike(percent: int):
-    threshold = percent / 100
+    """Whether two sets of registers may be those of linked nodes, or of a node near a pivot."""
+    link, near = percent / 100, max(percent / 50 - 1, 0)
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -170,54 +172,69 @@ def _alike(percent: int):
         occupied = np.maximum(((x > 0) | (y > 0)).sum(1), 1)
         same = ((x == y) & (x > 0)).sum(1)
         estimate = (same - COLLISIONS) / occupied
-        return pd.Series(estimate >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / occupied) - COLLISIONS / occupied)
+        # Five standard deviations below a link, three below what verified() calls near.
+        floors = [t - times * np.sqrt(t * (1 - t) / occupied) for t, times in ((link, 5), (near, 3))]
+        return pd.Series(estimate >= np.minimum(*floors) - COLLISIONS / occupied)
 
     return alike
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def estimated(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose estimated similarity can be that of a link."""
-    held = nodes.select("node", "registers")
-    joined = pairs.join(held.toDF("a", "ra"), "a").join(held.toDF("b", "rb"), "b")
+    held = live.select("node", "registers")
+    joined = pairs.join(held.toDF("b", "rb"), "b").join(held.toDF("a", "ra"), "a")
     return joined.where(_alike(percent)("ra", "rb")).select("a", "b")
 
 
-def full_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from the whole texts of one document each."""
-    keys = reliable(wanted.join(nodes.select("node", "k1", "k2"), "node").select("node", "k1", "k2"))
-    found = texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_NODES else keys, ["k1", "k2"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            hashes, first = distinct_shingles(W.words(*text_bytes(batch.column("text")), W.UNSPACED))
-            sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.record_batch([batch.column("node"), sets], ["node", "shingles"])
+def _few(frame: DataFrame) -> DataFrame:
+    """A frame of ids, to be broadcast if it is small."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_NODES else frame
 
-    return found.select("node", "text").mapInArrow(gather, "node binary, shingles array<long>").dropDuplicates(["node"])
 
+def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, size, differ) of the pairs, from their whole texts.
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, size, differ) of the pairs: |b's set|, and in which shingles b differs from a."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = reliable(full_sets(wanted, nodes, texts))
-    joined = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
-    differ = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
-    both = F.size("x") + F.size("y")
-    # union = (|x| + |y| + |difference|) / 2, intersection = (|x| + |y| - |difference|) / 2
-    found = joined.select("a", "b", F.size("y").alias("size"), differ.alias("differ"), both.alias("both"))
-    linked = 100 * (F.col("both") - F.size("differ")) >= percent * (F.col("both") + F.size("differ"))
-    return found.select("a", "b", linked.alias("linked"), "size", "differ")
+    size is that of b's set; differ has the shingles in which it differs from a's if the
+    two are near: so alike that a node linked with one may be linked with the other.
+    """
+    wanted = reliable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    texts = live.join(_few(wanted), "node").select("node", "text")
+    joined = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    near = 2 * percent - 100
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        hashes, first = distinct_shingles(W.words(*text_bytes(column), W.UNSPACED))
+        return [hashes[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "y"):
+            a = batch.column("a").to_numpy()
+            kinds, at, of_row = np.unique(a, return_index=True, return_inverse=True)
+            xs, ys = sets(batch.column("x").take(pa.array(at))), sets(batch.column("y"))
+            linked, sizes, differ = [], [], []
+            for x, y in zip((xs[i] for i in of_row), ys, strict=True):
+                different = np.setxor1d(x, y, assume_unique=True)
+                # Twice the sizes of intersection and union.
+                both, either = len(x) + len(y) - len(different), len(x) + len(y) + len(different)
+                linked.append(100 * both >= percent * either)
+                sizes.append(len(y))
+                differ.append(different.view(np.int64) if 100 * both >= near * either else [])
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked), pa.array(sizes, pa.int64())]
+            yield pa.record_batch([*columns, pa.array(differ, pa.list_(pa.int64()))], ["a", "b", "linked", "size", "differ"])
+
+    return joined.mapInArrow(compare, "a long, b long, linked boolean, size long, differ array<long>")
 
 
 def beside_pivots(near: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes near one pivot that may be linked though one isn't linked with it.
+    """Pairs (a, b) that may be linked: b with one pivot, a near it, but not linked with it.
 
-    ``near`` is what verified() returns for pivots a. Let m be the most shingles in which
+    ``near`` is what verified() returns, for pivots a. Let m be the most shingles in which
     b and a node linked with it can differ: (1 - t) / t of b's size. Such a node shares at
     least |differ| - m of b's, and one at least.
     """
-    loose = near.where(~F.col("linked")).select("a").distinct()
-    told = reliable(near.join(loose, "a", "left_semi").select("a", "b", "linked", "size", F.explode("differ").alias("token")))
+    near = near.where(F.size("differ") > 0)
+    both = near.groupBy("a").agg(F.min("linked").alias("least"), F.max("linked").alias("most")).where("most AND NOT least")
+    told = reliable(near.join(both, "a", "left_semi").select("a", "b", "linked", "size", F.explode("differ").alias("token")))
     times = told.groupBy("a", "token").agg(F.count("*").alias("times"))
     most = F.floor(F.col("size") * (100 - percent) / percent)
     ranked = (
@@ -231,18 +248,27 @@ def beside_pivots(near: DataFrame, percent: int) -> DataFrame:
         .select("a", "b", "linked", "size", "t.token")
     )
     x = ranked.where(~F.col("linked")).select("a", "token", F.col("b").alias("x"), F.col("size").alias("nx"))
-    y = ranked.select("a", "token", F.col("b").alias("y"), F.col("size").alias("ny"), "linked")
-    met = x.join(y, ["a", "token"]).where("x <> y AND (linked OR x < y)")
-    fit = met.where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    y = ranked.where("linked").select("a", "token", F.col("b").alias("y"), F.col("size").alias("ny"))
+    fit = x.join(y, ["a", "token"]).where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     return fit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between linked nodes, enough of them to connect what is connected."""
-    found, rows = [], band_keys(nodes)
+    pivot = F.min("node").alias("pivot"), F.count("*").alias("n")
+    shared = reliable(band_keys(nodes).groupBy("key").agg(*pivot).where("n > 1").select("key", "pivot"))
+    members = reliable(
+        band_keys(nodes, bloom_filter(shared, "key")).join(shared, "key").where("node <> pivot")
+    )
+    found = [nodes.sparkSession.createDataFrame([], "a long, b long, linked boolean, size long, differ array<long>")]
+    # Nodes that share a key with another one, with their texts, written once.
+    held = members.select("node").union(shared.select("pivot")).distinct()
+    keys = reliable(nodes.select("node", "k1", "k2", "registers").join(held, "node", "left_semi"))
+    place = scratch(nodes.sparkSession, "near-duplicates")
+    once = texts.join(_few(keys), ["k1", "k2"]).select("node", "registers", "text").dropDuplicates(["node"])
+    once.write.parquet(place)
+    live = nodes.sparkSession.read.schema("node long, registers binary, text string").parquet(place)
     for turn in range(ROUNDS):
-        pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-        members = reliable(rows.join(pivots.select("key", "pivot"), "key").where("node <> pivot"))
         if members.isEmpty():
             break
         if turn + 1 < ROUNDS:
@@ -251,17 +277,18 @@ def links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             other = members.select("key", F.col("node").alias("other"))
             apart = members.join(other, "key").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
             pairs = apart.union(members.select("pivot", "node")).distinct()
-        near = reliable(verified(reliable(estimated(pairs, nodes, percent)), nodes, texts, percent))
+        near = reliable(verified(reliable(estimated(pairs, live, percent)), live, percent))
         found.append(near)
-        linked = near.where("linked").select(F.col("a").alias("pivot"), F.col("b").alias("node"))
-        rows = dealt_anew(members.join(linked, ["pivot", "node"], "left_anti"), nodes)
-    if not found:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        if turn + 1 < ROUNDS:
+            linked = near.where("linked").select(F.col("a").alias("pivot"), F.col("b").alias("node"))
+            left = members.join(linked, ["pivot", "node"], "left_anti").select("key", "node")
+            rows = reliable(dealt_anew(left, live))
+            members = reliable(rows.join(rows.groupBy("key").agg(*pivot).where("n > 1").select("key", "pivot"), "key").where("node <> pivot"))
     near = found[0]
     for part in found[1:]:
         near = near.union(part)
-    beside = reliable(estimated(beside_pivots(near, percent), nodes, percent))
-    more = verified(beside, nodes, texts, percent)
+    beside = reliable(estimated(beside_pivots(near, percent), live, percent))
+    more = verified(beside, live, percent)
     return near.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
 
 
@@ -277,27 +304,25 @@ def near_duplicates(frame: DataFrame, doc_id: str = "doc_id", text: str = "text"
     signed = reliable(signatures(texts))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")
     nodes = reliable(
-        signed.where("node IS NOT NULL")
-        .groupBy("node")
+        signed.where("s1 IS NOT NULL")
+        .groupBy("s1", "s2")
         .agg(first, F.first("registers").alias("registers"))
-        .select("node", "first.doc_id", "first.k1", "first.k2", "registers")
+        .select("s1", "s2", "first.doc_id", "first.k1", "first.k2", "registers")
+        .withColumn("node", F.monotonically_increasing_id())
     )
     labels = components(links(nodes, texts, percent))
     ids = labels.join(nodes.select("node", "doc_id"), "node")
     of_label = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = labels.join(of_label, "label").select("node", "component_id")
-    of_node = nodes.select("node", "doc_id").join(linked, "node", "left").select(
-        "node", F.coalesce("component_id", "doc_id").alias("component_id")
+    of_set = nodes.select("node", "s1", "s2", "doc_id").join(linked, "node", "left").select(
+        "s1", "s2", F.coalesce("component_id", "doc_id").alias("component_id")
     )
     # Rows without words have keys of their own, so that they don't meet in one task.
-    rows = signed.withColumn("node", F.coalesce("node", F.concat(F.lit("-"), F.col("k1"), F.col("k2")).cast("binary")))
-    return rows.join(of_node, "node", "left").select(
-        "doc_id",
-        "k1",
-        "k2",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = signed.select("doc_id", "k1", "k2", "n_shingles", F.coalesce("s1", "k1").alias("s1"), F.coalesce("s2", "k2").alias("s2"))
+    joined = rows.join(of_set, ["s1", "s2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    told = joined.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id"))
+    return told.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(frame: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
