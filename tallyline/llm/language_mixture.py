@@ -214,7 +214,12 @@ def identify(frame: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def keep_identified(frame: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose text has a language with at least ``least`` of its words."""
+    """The rows whose text has a language with at least ``least`` of its words.
+
+    If nothing was learned, every text with a letter stays.
+    """
+    if not model.languages:
+        return frame.where(col(text).rlike(r"\p{L}"))
     (found,) = unused(frame, "found")
     judged = frame.withColumn(found, prediction(frame, model, text))
     return judged.where((col(found)["lang_pred"] != UNDETERMINED) & (col(found)["score"] >= least)).drop(found)
