@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -80,6 +81,22 @@ def reliable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Rows that go to a worker at once where whole texts do; Spark's default is for short rows.
+TEXTS_AT_ONCE = 1000
+
+
+@contextmanager
+def few_at_once(spark: SparkSession, rows: int = TEXTS_AT_ONCE) -> Iterator[None]:
+    """Inside, jobs send fewer rows to a worker at once; afterwards the setting is as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A new path in the folder that all executors share."""
     return f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"

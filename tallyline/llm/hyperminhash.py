@@ -23,9 +23,9 @@ A group of copies is never expanded into pairs: equal sets are one node, and nea
 cost a pair with each of their pivots.
 
 Defined results: a document without words, or a null text, has an empty set and is a
-component of its own. Rows with equal sets share a component, also with equal or null ids;
-the component's id is its least non-null doc_id (null if it has none, then the row is kept
-only if its id is null). Extra columns and their names don't matter.
+component of its own. Rows with equal sets share a component, also with equal or null ids.
+A component's id is its least non-null doc_id, null if it has none; the row with that id
+stands for it (of several, that with the least hash). Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tallyline.llm import words as W
 from tallyline.llm.bloom import bloom_filter, maybe
 from tallyline.llm.components import components
-from tallyline.llm.frames import col, identity, reliable, scratch, sent, slices, text_bytes, unused
+from tallyline.llm.frames import col, few_at_once, identity, reliable, scratch, sent, slices, text_bytes, unused
 
 SHINGLE = 5
 PERCENT = 80
@@ -192,7 +192,7 @@ def _few(frame: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, size, differ) of the pairs, from their whole texts.
+    """(a, b, linked, size, differ) of the pairs, from their whole texts, computed once.
 
     size is that of b's set; differ has the shingles in which it differs from a's if the
     two are near: so alike that a node linked with one may be linked with the other.
@@ -222,7 +222,8 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
             columns = [batch.column("a"), batch.column("b"), pa.array(linked), pa.array(sizes, pa.int64())]
             yield pa.record_batch([*columns, pa.array(differ, pa.list_(pa.int64()))], ["a", "b", "linked", "size", "differ"])
 
-    return joined.mapInArrow(compare, "a long, b long, linked boolean, size long, differ array<long>")
+    with few_at_once(pairs.sparkSession):
+        return reliable(joined.mapInArrow(compare, "a long, b long, linked boolean, size long, differ array<long>"))
 
 
 def beside_pivots(near: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +278,7 @@ def links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             other = members.select("key", F.col("node").alias("other"))
             apart = members.join(other, "key").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
             pairs = apart.union(members.select("pivot", "node")).distinct()
-        near = reliable(verified(reliable(estimated(pairs, live, percent)), live, percent))
+        near = verified(reliable(estimated(pairs, live, percent)), live, percent)
         found.append(near)
         if turn + 1 < ROUNDS:
             linked = near.where("linked").select(F.col("a").alias("pivot"), F.col("b").alias("node"))
@@ -295,34 +296,40 @@ def links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(frame: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, k1, k2, n_shingles, component_id, kept) for each row of the frame.
 
-    k1 and k2 are the hash of the row's id and text (see frames.identity).
+    k1 and k2 are the hash of the row's id and text (see frames.identity). kept is true for
+    the rows, equal in both, that stand for their group.
     """
     k1, k2 = identity(col(doc_id), col(text))
     texts = sent(frame).select(
         col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), col(text).cast("string").alias("text")
     )
-    signed = reliable(signatures(texts))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")
+    with few_at_once(frame.sparkSession):
+        signed = reliable(signatures(texts))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     nodes = reliable(
         signed.where("s1 IS NOT NULL")
         .groupBy("s1", "s2")
-        .agg(first, F.first("registers").alias("registers"))
-        .select("s1", "s2", "first.doc_id", "first.k1", "first.k2", "registers")
+        .agg(F.min(place).alias("first"), F.first("registers").alias("registers"))
+        .select("s1", "s2", "first", "first.k1", "first.k2", "registers")
         .withColumn("node", F.monotonically_increasing_id())
     )
     labels = components(links(nodes, texts, percent))
-    ids = labels.join(nodes.select("node", "doc_id"), "node")
-    of_label = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = labels.join(of_label, "label").select("node", "component_id")
-    of_set = nodes.select("node", "s1", "s2", "doc_id").join(linked, "node", "left").select(
-        "s1", "s2", F.coalesce("component_id", "doc_id").alias("component_id")
+    firsts = labels.join(nodes.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("of_group"))
+    linked = labels.join(firsts, "label").select("node", "of_group")
+    of_set = nodes.select("node", "s1", "s2", "first").join(linked, "node", "left").select(
+        "s1", "s2", F.coalesce("of_group", "first").alias("of_group")
     )
     # Rows without words have keys of their own, so that they don't meet in one task.
     rows = signed.select("doc_id", "k1", "k2", "n_shingles", F.coalesce("s1", "k1").alias("s1"), F.coalesce("s2", "k2").alias("s2"))
-    joined = rows.join(of_set, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    told = joined.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id"))
-    return told.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.col("n_shingles") == 0
+    return rows.join(of_set, ["s1", "s2"], "left").select(
+        "doc_id",
+        "k1",
+        "k2",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("of_group.doc_id")).alias("component_id"),
+        (alone | ((F.col("k1") == F.col("of_group.k1")) & (F.col("k2") == F.col("of_group.k2")))).alias("kept"),
+    )
 
 
 def keep_one(frame: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -330,10 +337,8 @@ def keep_one(frame: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
 
     Rows equal in id and text are one document, of which one row stays, also without words.
     """
-    k1, k2, which = unused(frame, "k1", "k2", "which")
-    found = near_duplicates(frame, doc_id, text, percent).where("kept")
-    one = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("one")).select("one.*")
-    kept = one.union(found.where("n_shingles = 0").select("k1", "k2").distinct())
+    k1, k2 = unused(frame, "k1", "k2")
+    kept = near_duplicates(frame, doc_id, text, percent).where("kept").select("k1", "k2").distinct()
     keys = dict(zip((k1, k2), identity(col(doc_id), col(text)), strict=True))
     joined = frame.withColumns(keys).join(kept.toDF(k1, k2), [k1, k2], "left_semi")
     return joined.dropDuplicates([k1, k2]).drop(k1, k2)

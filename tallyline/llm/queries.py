@@ -184,7 +184,8 @@ QUERIES["op3_decontaminate"] = op3_decontaminate
 def op8_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its group of near duplicates, at 85 of 100 shingles in common."""
     found = hyperminhash.near_duplicates(table(spark, folder, "documents"), percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", "kept")
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", is_first.alias("kept"))
 
 
 QUERIES["op8_hyperminhash"] = op8_hyperminhash
