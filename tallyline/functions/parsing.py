@@ -20,12 +20,10 @@ WHITESPACE = (
 
 # Strict JSON without a limit on the length of strings; NaN and Infinity are read.
 JSON_OPTIONS = {"allowSingleQuotes": "false", "maxStringLen": str(2**31 - 1)}
-# Largest document Spark can hold as a JSON value.
-DOCUMENT_BYTES = 128 * 1024 * 1024
-
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
 NUMBER_TEXT = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 DATED_TEXT = r"^\d{4}-\d{2}-\d{2}"
+COMPACT_TEXT = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?"
 
 
 def strip(value: Column) -> Column:
@@ -55,6 +53,24 @@ def document_root(wrapped: Column, text: Column) -> Column:
     return F.when(complete, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
+def large_document(text: Column, columns: str) -> Column:
+    """Members of a JSON object that is too large to be one JSON value, or NULL.
+
+    Each member is read as what ``columns`` says, so that only single members have to fit.
+    As in ``whole_document``, the text's hash has to follow it, here in an object.
+    """
+    own_hash = F.xxhash64(text)
+    wrapped = F.concat(F.lit("["), text, F.lit(',{"_hash":'), own_hash.cast("string"), F.lit("}]"))
+    found = F.from_json(wrapped, f"array<struct<{columns}, `_hash`: bigint>>", JSON_OPTIONS)
+
+    def first(parts: Column) -> Column:
+        whole = (F.size(parts) == 2) & (F.get(parts, F.lit(1))["_hash"] == own_hash)
+        return F.when(whole, F.get(parts, F.lit(0)))
+
+    # A list of one, so that the text is parsed once, however often the result is used.
+    return F.get(F.transform(F.array(found), first), F.lit(0))
+
+
 def fields_of(
     document: Column, texts: Iterable[str], values: Iterable[str] = ()
 ) -> Column:
@@ -79,11 +95,11 @@ def to_decimal_number(value: Column) -> Column:
 
 
 def to_whole_number(value: Column, as_type: str = "bigint") -> Column:
-    """Integer from text: half rounds to even, not a number is NULL, out of range fails."""
+    """Integer from text: half rounds to even, not a number or out of range is NULL."""
     text = strip(value.cast("string"))
     return (
-        F.when(text.rlike(INTEGER_TEXT), text.cast(as_type))
-        .when(text.rlike(NUMBER_TEXT), F.rint(text.cast("double")).cast(as_type))
+        F.when(text.rlike(INTEGER_TEXT), text.try_cast(as_type))
+        .when(text.rlike(NUMBER_TEXT), F.rint(text.cast("double")).try_cast(as_type))
     )
 
 
@@ -96,10 +112,20 @@ def to_flag(value: Column) -> Column:
 def to_utc(value: Column) -> Column:
     """Timestamp from ISO text; times without a zone are UTC, other text is NULL.
 
-    The date has to be there: Spark alone reads ``10:00`` as today.
+    The date has to be there: Spark alone reads ``10:00`` as today. ISO's compact form,
+    without dashes and colons, is written out first.
     """
     text = strip(value)
-    return F.when(text.rlike(DATED_TEXT), F.try_to_timestamp(text))
+    seconds = F.coalesce(F.nullif(F.regexp_extract(text, COMPACT_TEXT, 6), F.lit("")), F.lit("00"))
+    written = F.concat(
+        F.regexp_replace(F.regexp_extract(text, COMPACT_TEXT, 0), COMPACT_TEXT, "$1-$2-$3T$4:$5:"),
+        seconds,
+        F.regexp_replace(text, COMPACT_TEXT, ""),
+    )
+    return (
+        F.when(text.rlike(DATED_TEXT), F.try_to_timestamp(text))
+        .when(text.rlike(COMPACT_TEXT), F.try_to_timestamp(written))
+    )
 
 
 def snake_case(name: str) -> str:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.parsing import (
-    DOCUMENT_BYTES,
     document_root,
     fields_of,
     json_text,
+    large_document,
     whole_document,
 )
 from tallyline.schemas import (
@@ -30,11 +30,11 @@ from tallyline.schemas import (
 BATCH_PARTS = ("subscriptionFilters", "logEvents")
 EVENT_PARTS = ("message",)
 EVENT_TEXTS = {name: key for name, key in EVENT_FIELDS.items() if key not in EVENT_PARTS}
+KEPT_SECTIONS = ("attributes", "resource")
 SECTIONS = {"scope": SCOPE_FIELDS, "attributes": ATTRIBUTE_FIELDS, "resource": RESOURCE_FIELDS}
 
 # Reasons a row is malformed.
 LINE_UNREADABLE = "Top-level JSON parse failed: not one valid JSON document"
-LINE_TOO_LARGE = "Top-level JSON document is larger than 128 MiB."
 LINE_NOT_OBJECT = "Top-level JSON value is not an object."
 NO_EVENT_LIST = "Top-level logEvents field is missing or not a list."
 ITEM_NOT_OBJECT = "logEvents item is not an object."
@@ -47,22 +47,33 @@ def parse_batch_lines(lines: DataFrame) -> DataFrame:
     """Add ``batch`` (the parsed line's fields), ``log_events`` and ``line_error`` to lines
     of (source_file, line_number, value).
 
-    A list of events is an array also when it is empty; anything else is an error.
+    A list of events is an array also when it is empty; anything else is an error. A
+    document too large for one JSON value is read field by field, its events one by one.
     """
-    small_enough = F.when(F.octet_length("value") < DOCUMENT_BYTES, F.col("value"))
-    wrapped = lines.withColumn("_wrapped", whole_document(small_enough))
+    wrapped = lines.withColumn("_wrapped", whole_document(F.col("value")))
     parsed = wrapped.withColumn("_root", document_root(F.col("_wrapped"), F.col("value")))
     opened = parsed.withColumn("batch", fields_of(F.col("_root"), BATCH_FIELDS.values(), BATCH_PARTS))
     listed = opened.withColumn(
         "log_events", F.try_variant_get("batch.logEvents", "$", "array<variant>")
     )
-    return listed.withColumn(
-        "line_error",
-        F.when(F.octet_length("value") >= DOCUMENT_BYTES, LINE_TOO_LARGE)
-        .when(F.col("_root").isNull(), LINE_UNREADABLE)
-        .when(F.col("batch").isNull(), LINE_NOT_OBJECT)
-        .when(F.col("log_events").isNull(), NO_EVENT_LIST),
-    ).drop("_wrapped")
+    # Only for documents that are no JSON value: spoilt ones, which stay NULL, and large ones.
+    columns = [f"`{key}`: string" for key in BATCH_FIELDS.values()]
+    columns += ["`subscriptionFilters`: variant", "`logEvents`: array<variant>"]
+    unread = F.when(F.col("_root").isNull(), F.col("value"))
+    fixed = F.inline(F.array(F.struct(large_document(unread, ", ".join(columns)).alias("_large"))))
+    large = listed.select("*", fixed)
+    whole = F.struct(*[F.col("_large")[key].alias(key) for key in (*BATCH_FIELDS.values(), "subscriptionFilters")], F.lit(None).cast("variant").alias("logEvents"))
+    return (
+        large.withColumn("batch", F.coalesce("batch", F.when(F.col("_large").isNotNull(), whole)))
+        .withColumn("log_events", F.coalesce("log_events", F.col("_large.logEvents")))
+        .withColumn(
+            "line_error",
+            F.when(F.col("_root").isNull() & F.col("_large").isNull(), LINE_UNREADABLE)
+            .when(F.col("batch").isNull(), LINE_NOT_OBJECT)
+            .when(F.col("log_events").isNull(), NO_EVENT_LIST),
+        )
+        .drop("_wrapped", "_large")
+    )
 
 
 def batch_context() -> list[Column]:
@@ -81,9 +92,8 @@ def explode_log_events(batches: DataFrame) -> DataFrame:
     The line's text travels on only for unreadable lines.
     """
     no_element = F.array(F.lit(None).cast("variant"))
-    raw = F.when(F.col("batch").isNull(), F.col("value")).when(
-        F.col("line_error").isNotNull(), F.to_json("_root")
-    )
+    raw = F.when(F.col("batch").isNull() | F.col("_root").isNull(), F.col("value")).otherwise(F.to_json("_root"))
+    raw = F.when(F.col("line_error").isNotNull(), raw)
     one_or_more = F.when(F.col("line_error").isNotNull(), no_element).otherwise(F.col("log_events"))
     return batches.select(
         *batch_context(),
@@ -132,16 +142,14 @@ def flatten_log_events(items: DataFrame) -> DataFrame:
                     fields_of(sections[name], keys.values()).alias(name)
                     for name, keys in SECTIONS.items()
                 ],
+                *[F.to_json(sections[name]).alias(f"{name}_text") for name in KEPT_SECTIONS],
                 F.col("_text").alias("raw_message_json"),
                 error.alias("parse_error"),
             )
         )
     )
-    kept = {
-        "attributes_json": section_text("attributes"),
-        "resource_json": section_text("resource"),
-        "raw_message_json": F.col("raw_message_json"),
-    }
+    kept = {f"{name}_json": section_text(name) for name in KEPT_SECTIONS}
+    kept["raw_message_json"] = F.col("raw_message_json")
     return read.select(*context, fixed).select(
         *context,
         "event_index",
@@ -162,9 +170,8 @@ def flatten_log_events(items: DataFrame) -> DataFrame:
 
 
 def section_text(section: str) -> Column:
-    """JSON text of a message section; anything but an object counts as empty."""
-    text = F.get_json_object("raw_message_json", f"$.{section}")
-    return F.when(F.col(section).isNotNull(), text).otherwise(F.lit("{}"))
+    """JSON text of a parsed message section; anything but an object counts as empty."""
+    return F.when(F.col(section).isNotNull(), F.col(f"{section}_text")).otherwise(F.lit("{}"))
 
 
 def flatten_batches(lines: DataFrame) -> DataFrame:

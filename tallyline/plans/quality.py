@@ -30,7 +30,6 @@ EXPECTED = {
 # Category of each reason a row is malformed.
 CATEGORIES = {
     flatten.LINE_UNREADABLE: "top_level_json",
-    flatten.LINE_TOO_LARGE: "top_level_json",
     flatten.LINE_NOT_OBJECT: "top_level_json",
     flatten.NO_EVENT_LIST: "log_events",
     flatten.ITEM_NOT_OBJECT: "event_item",

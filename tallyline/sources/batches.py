@@ -6,12 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.operators.flatten import flatten_batches
-from tallyline.session import checkpoint_folder, prepare
-
-# Broadcast the per-split line offsets up to this many splits (about 20 MB of
-# paths and numbers); beyond it Spark picks the join.
-BROADCAST_SPLITS = 100_000
-
+from tallyline.session import prepare
 
 def read_telemetry_batches(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per logged event of the JSONL files at ``path`` (files, folders or globs)."""
@@ -36,30 +31,30 @@ def with_position(text: DataFrame) -> DataFrame:
 def number_lines(lines: DataFrame) -> DataFrame:
     """Turn positions into 1-based line numbers per file without moving the text.
 
-    Rows of one split are consecutive in ``_row``, so a line's number is its offset
-    in the split plus the lines of the file's earlier splits. A first scan counts
-    lines per split; that small table, cut off from its lineage by a checkpoint, is
-    then joined to the lines. No file and no split is ever gathered in one task.
+    Rows of one split are consecutive in ``_row``, so a line's number is its offset in the
+    split plus the lines of the file's earlier splits. A second scan in the same plan counts
+    lines per split; that small table, two numbers for each split, is broadcast to the
+    lines. Nothing runs before the lines are read, no file and no split is gathered in one
+    task, and text is never exchanged. A line whose split was not counted, or that lies
+    outside of what was counted, stops the job instead of getting lost.
     """
-    spark = lines.sparkSession
-    checkpoint_folder(spark)
+    split = F.xxhash64("source_file", "_split")
     per_split = lines.groupBy("source_file", "_split").agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines")
     )
-    earlier = (
-        Window.partitionBy("source_file")
-        .orderBy("_split")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_lines").over(earlier), F.lit(0))
+    offsets = (
+        per_split.withColumn("_before", before)
+        .groupBy(split.alias("_key"))
+        .agg(F.max("_first").alias("_first"), F.max("_lines").alias("_lines"), F.max("_before").alias("_before"), F.count("*").alias("_splits"))
     )
-    offsets = per_split.select(
-        "source_file",
-        "_split",
-        (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
-    ).checkpoint()
-    if offsets.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    return lines.join(offsets, ["source_file", "_split"]).select(
+    joined = lines.withColumn("_key", split).join(F.broadcast(offsets), "_key", "left")
+    place = F.col("_row") - F.col("_first")
+    counted = (F.col("_splits") == 1) & (place >= 0) & (place < F.col("_lines"))
+    lost = F.raise_error(F.concat(F.lit("lines of a split were not counted: "), F.col("source_file")))
+    return joined.select(
         "source_file",
-        (F.col("_row") + F.col("_shift")).cast("int").alias("line_number"),
+        F.when(counted, (F.col("_before") + place + 1).cast("int")).otherwise(lost.cast("int")).alias("line_number"),
         "value",
     )

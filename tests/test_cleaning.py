@@ -29,9 +29,11 @@ def test_numbers_given_as_json_numbers(lines):
     assert rows["e0"]["input_tokens"] == 9007199254740993 and rows["e0"]["outer_timestamp_ms"] == 1767607200000
 
 
-def test_whole_number_out_of_range_fails(lines):
-    with pytest.raises(Exception, match="CAST_OVERFLOW|CAST_INVALID_INPUT|overflow"):
-        cleaned(lines, {"duration_ms": "99999999999999999999"})
+def test_whole_number_out_of_range_is_null(lines):
+    texts = ["99999999999999999999", "1e30", "-1e400", "inf", "9223372036854775807", "9223372036854775808"]
+    rows = cleaned(lines, *[{"duration_ms": t, "attempt": t} for t in texts])
+    assert [rows[f"e{i}"]["duration_ms"] for i in range(6)] == [None, None, None, None, 2**63 - 1, None]
+    assert {r["attempt"] for r in rows.values()} == {None}
 
 
 def test_flags(lines):
@@ -61,9 +63,17 @@ def test_timestamps(lines):
         "10:00",
         "2026",
         None,
+        "20260105T100000Z",
+        "20260105T0130+0200",
+        "20260105T100000.5",
+        "20260105",
+        "20261305T100000Z",
     ]
     rows = cleaned(lines, *[{"event_timestamp": t} for t in texts])
-    assert sorted(rows) == ["e0", "e1", "e2", "e3"]
+    assert sorted(rows) == ["e0", "e1", "e10", "e11", "e2", "e3", "e9"]
+    assert rows["e9"]["event_timestamp"] == datetime(2026, 1, 5, 10)
+    assert rows["e10"]["event_timestamp"] == datetime(2026, 1, 4, 23, 30)
+    assert rows["e11"]["event_timestamp"] == datetime(2026, 1, 5, 10, 0, 0, 500000)
     assert rows["e1"]["event_timestamp"] == datetime(2026, 1, 5, 10, 0, 0, 123456)
     assert rows["e2"]["event_timestamp"] == datetime(2026, 1, 4, 23, 30)
     assert rows["e2"]["event_date"] == date(2026, 1, 4)

@@ -108,6 +108,9 @@ def test_last_duplicate_key_wins(lines):
     text = '{"attributes": {"event.name": "first", "event.name": "last"}}'
     (row,) = flat(lines(batch(event(0, text=text))))
     assert row["event_name"] == "last"
+    text = '{"attributes": {"model": "first"}, "attributes": {"model": "last"}}'
+    (row,) = flat(lines(batch(event(0, text=text))))
+    assert row["model"] == "last" and json.loads(row["attributes_json"]) == {"model": "last"}
 
 
 def test_subscription_filters(lines):
@@ -121,7 +124,8 @@ def test_parsing_is_planned_once(lines, capsys):
     from tallyline.operators.cleaning import clean_events
 
     plan = clean_events(flatten_batches(lines(batch(event(1)))))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("from_json") == 2
+    # A line, a line too large for that, and a message; nothing is parsed again.
+    assert plan.count("from_json") == 3 and plan.count("get_json_object") == 0
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
@@ -129,6 +133,21 @@ def test_not_a_number_and_long_strings_are_read(lines):
     text = '{"attributes": {"event.name": "x", "cost_usd": NaN, "error": "%s"}}' % ("y" * 21_000_000)
     (row,) = flat(lines(batch(event(0, text=text))))
     assert not row["is_malformed"] and row["cost_usd"] == "NaN" and len(row["error"]) == 21_000_000
+    kept = json.loads(row["attributes_json"])
+    assert kept["error"] == row["error"] and kept["event.name"] == "x" and str(kept["cost_usd"]).lower() == "nan"
+
+
+def test_documents_too_large_for_one_value_keep_their_events(lines):
+    numbers = "[" + "1," * 30_000_000 + "1]"
+    rows = flat(
+        lines(
+            '{"owner": "o", "numbers": %s, "logEvents": [%s, 5]}' % (numbers, json.dumps(event(1))),
+            '{"owner": "p", "text": "%s", "logEvents": [%s]}' % ("y" * (130 << 20), json.dumps(event(2))),
+        )
+    )
+    assert [(r["owner"], r["event_id"], r["parse_error"]) for r in rows] == [
+        ("o", "e1", None), ("o", None, flatten.ITEM_NOT_OBJECT), ("p", "e2", None),
+    ]
 
 
 def test_line_errors_without_exploding(lines):

@@ -16,29 +16,51 @@ def write(folder, name, text):
     return path
 
 
-def test_line_numbers_over_many_splits(spark, folder):
+@pytest.fixture
+def split_bytes(spark):
+    """Sets the size of splits; afterwards it is as before."""
+    name = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(name)
+    yield lambda size: spark.conf.set(name, str(size))
+    spark.conf.set(name, old)
+
+
+def test_line_numbers_over_many_splits(spark, folder, split_bytes):
     for name, count in [("a.jsonl", 997), ("b.jsonl", 1), ("c.jsonl", 2500)]:
         write(folder, name, "".join(f"{name}:{i + 1}:{'x' * (i % 60)}\n" for i in range(count)))
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    try:
-        lines = read_lines(spark, folder)
-        assert lines.rdd.getNumPartitions() > 5
-        rows = lines.collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    split_bytes(4096)
+    lines = read_lines(spark, folder)
+    assert lines.rdd.getNumPartitions() > 5
+    rows = lines.collect()
     assert len(rows) == 3498
     for row in rows:
         name, number, _ = row["value"].split(":")
         assert row["source_file"].endswith(name) and row["line_number"] == int(number)
 
 
-def test_lines_are_not_shuffled_to_number_them(spark, folder):
+def test_no_line_is_lost_when_splits_change(spark, folder, split_bytes):
+    write(folder, "a.jsonl", "".join(f"{i + 1}:{'x' * (i % 60)}\n" for i in range(3000)))
+    for before, after in [(4096, 16384), (16384, 4096), (4096, 1 << 27)]:
+        split_bytes(before)
+        lines = read_lines(spark, folder)
+        split_bytes(after)
+        rows = lines.collect()
+        assert sorted(r["line_number"] for r in rows) == list(range(1, 3001))
+        assert all(r["value"].startswith(f"{r['line_number']}:") for r in rows)
+
+
+def test_text_is_never_exchanged_to_number_lines(spark, folder):
     write(folder, "a.jsonl", "x\n\ny")
     lines = read_lines(spark, folder)
     assert [(r["line_number"], r["value"]) for r in lines.orderBy("line_number").collect()] == [(1, "x"), (2, ""), (3, "y")]
-    plan = lines._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = read_lines(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert not any("value" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
 
 
 def test_read_batches_with_blank_lines_and_crlf(spark, folder):
