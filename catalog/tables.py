@@ -206,9 +206,37 @@ def outcome(name: str, act: Callable[[SparkSession, str], None], sql: str) -> No
     register(name, run, sql)
 
 
-def _gappy(spark: SparkSession, folder: str) -> DataFrame:
+_GAPS_SQL = """'user_email=' || (SELECT count(*) FROM t WHERE n % 4 = 1)
+    || ', session_id=' || (SELECT count(*) FROM t WHERE n % 10 = 2)"""
+outcome(
+    "enforce_not_null",
+    lambda spark, folder: storage.save_events(_with_gaps(sample_events(spark, folder)), shared_folder(spark, "tables")),
+    TABLES_SQL + f"SELECT 'telemetry_events has NULL in NOT NULL columns: ' || {_GAPS_SQL} AS outcome",
+)
+def issues(name: str, rules: validation.Rules, spoil: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query whose rows are the issues of a sample table that ``spoil`` has changed."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        frame = {TELEMETRY_EVENTS: sample_events, EMPLOYEES: sample_employees}[rules.table](spark, folder)
+        rows = [(i.problem, i.field, i.amount) for i in validation.find_issues(spoil(frame), rules)]
+        return spark.createDataFrame(rows, "problem string, field string, amount bigint")
+
+    register(name, run, TABLES_SQL + sql)
+
+
+def _violations_sql(tab: str, rules: validation.Rules) -> str:
+    """NULLs in needed columns, repeated keys and emptiness, counted by SQL."""
+    needed = [f.name for f in rules.fields if f.needed]
+    counts = [f"SELECT 'NULL in' AS problem, '{c}' AS field, count(*) AS amount FROM {tab} WHERE {c} IS NULL" for c in needed]
+    if rules.key:
+        counts.append(f"SELECT 'repeated key', '{rules.key}', count(*) - count(DISTINCT {rules.key}) FROM {tab}")
+    counted = f"SELECT * FROM ({' UNION ALL '.join(counts)}) WHERE amount > 0"
+    return counted + f" UNION ALL SELECT 'no rows', NULL, NULL FROM (SELECT count(*) AS n FROM {tab}) WHERE n = 0"
+
+
+def _with_gaps(frame: DataFrame) -> DataFrame:
     n = F.col("event_id").cast("bigint")
-    return sample_events(spark, folder).withColumns(
+    return frame.withColumns(
         {
             "user_email": F.when(n % 4 != 1, F.col("user_email")),
             "session_id": F.when(n % 10 != 2, F.col("session_id")),
@@ -216,79 +244,57 @@ def _gappy(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_GAPS_SQL = """'user_email=' || (SELECT count(*) FROM t WHERE n % 4 = 1)
-    || ', session_id=' || (SELECT count(*) FROM t WHERE n % 10 = 2)"""
-outcome(
-    "enforce_not_null",
-    lambda spark, folder: storage.save_events(_gappy(spark, folder), shared_folder(spark, "tables")),
-    TABLES_SQL + f"SELECT 'telemetry_events has NULL in NOT NULL columns: ' || {_GAPS_SQL} AS outcome",
-)
-outcome(
+issues("validate_events", validation.EVENT_RULES, lambda t: t, _violations_sql("t", validation.EVENT_RULES))
+issues("validate_employees", validation.EMPLOYEE_RULES, lambda t: t, _violations_sql("e", validation.EMPLOYEE_RULES))
+issues(
     "validate_required_values",
-    lambda spark, folder: validation.validate_events(_gappy(spark, folder)),
-    TABLES_SQL + f"SELECT 'telemetry events has missing required values: ' || {_GAPS_SQL} AS outcome",
-)
-outcome(
-    "validate_events",
-    lambda spark, folder: validation.validate_events(sample_events(spark, folder)),
-    "SELECT CASE WHEN count(*) > 0 THEN 'passed' END AS outcome FROM events",
+    validation.EVENT_RULES,
+    _with_gaps,
+    """, g AS (SELECT * REPLACE (CASE WHEN n % 4 <> 1 THEN user_email END AS user_email,
+      CASE WHEN n % 10 <> 2 THEN session_id END AS session_id) FROM t) """
+    + _violations_sql("g", validation.EVENT_RULES),
 )
-outcome(
-    "validate_employees",
-    lambda spark, folder: validation.validate_employees(sample_employees(spark, folder)),
-    "SELECT CASE WHEN count(*) > 0 THEN 'passed' END AS outcome FROM customer",
-)
-outcome(
+issues(
     "validate_not_empty",
-    lambda spark, folder: validation.validate_events(
-        sample_events(spark, folder).filter(F.col("event_name") == "unheard of")
-    ),
-    "SELECT CASE WHEN count(*) = 0 THEN 'telemetry events is empty' END AS outcome FROM events WHERE event_type = 'unheard of'",
+    validation.EVENT_RULES,
+    lambda t: t.filter(F.col("event_name") == "unheard of"),
+    ", g AS (SELECT * FROM t WHERE event_name = 'unheard of') " + _violations_sql("g", validation.EVENT_RULES),
 )
-outcome(
+issues(
     "validate_required_columns",
-    lambda spark, folder: validation.validate_events(
-        sample_events(spark, folder).drop("user_email", "event_id")
-    ),
-    "SELECT 'telemetry events is missing required columns: event_id, user_email' AS outcome FROM events LIMIT 1",
+    validation.EVENT_RULES,
+    lambda t: t.drop("user_email", "event_id"),
+    """ SELECT 'column not there:' AS problem, field, CAST(NULL AS BIGINT) AS amount
+    FROM (VALUES ('event_id'), ('user_email')) AS f(field) WHERE (SELECT count(*) FROM t) > 0""",
 )
-outcome(
+issues(
     "validate_data_types",
-    lambda spark, folder: validation.validate_events(
-        sample_events(spark, folder).withColumns(
-            {"cost_usd": F.col("cost_usd").cast("string"), "success": F.col("success").cast("int")}
-        )
-    ),
-    "SELECT 'telemetry events has invalid column types: cost_usd expected numeric, got string; success expected boolean, got int' AS outcome FROM events LIMIT 1",
+    validation.EVENT_RULES,
+    lambda t: t.withColumns({"cost_usd": F.col("cost_usd").cast("string"), "success": F.col("success").cast("int")}),
+    """ SELECT problem, field, CAST(NULL AS BIGINT) AS amount
+    FROM (VALUES ('no number column:', 'cost_usd'), ('no flag column:', 'success')) AS f(problem, field)
+    WHERE (SELECT count(*) FROM t) > 0""",
 )
-outcome(
+issues(
     "validate_timestamps",
-    lambda spark, folder: validation.validate_timestamps(
-        sample_events(spark, folder).withColumn(
-            "event_timestamp",
-            F.when(F.col("event_name") != "api_error", F.col("event_timestamp")),
-        ),
-        "event_timestamp",
-        "telemetry events",
-    ),
-    """SELECT 'telemetry events.event_timestamp contains ' || count(*) || ' invalid timestamps' AS outcome
-    FROM events WHERE event_type = 'error'""",
+    validation.Rules(TELEMETRY_EVENTS, (validation.Field("event_timestamp", validation.TIME, needed=True),)),
+    lambda t: t.withColumn("event_timestamp", F.when(F.col("event_name") != "api_error", F.col("event_timestamp"))),
+    " SELECT 'NULL in' AS problem, 'event_timestamp' AS field, count(*) AS amount FROM t WHERE event_name = 'api_error'",
 )
-outcome(
+issues(
     "validate_unique_key",
-    lambda spark, folder: validation.validate_employees(
-        sample_employees(spark, folder).withColumn(
-            "email", F.when(F.col("level") == "L1", F.lit("shared@example.com")).otherwise(F.col("email"))
-        )
+    validation.EMPLOYEE_RULES,
+    lambda e: e.withColumn(
+        "email", F.when(F.col("level") == "L1", F.lit("shared@example.com")).otherwise(F.col("email"))
     ),
-    TABLES_SQL
-    + "SELECT 'employees.email contains ' || (count(*) - 1) || ' duplicate values' AS outcome FROM e WHERE level = 'L1'",
+    """, g AS (SELECT * REPLACE (CASE WHEN level = 'L1' THEN 'shared@example.com' ELSE email END AS email) FROM e) """
+    + _violations_sql("g", validation.EMPLOYEE_RULES),
 )
 
 
 def _null_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The counts behind the value checks."""
-    profile = validation.profile_values(_gappy(spark, folder), NOT_NULL[TELEMETRY_EVENTS], "event_id")
+    profile = validation.profile_values(_with_gaps(sample_events(spark, folder)), NOT_NULL[TELEMETRY_EVENTS], "event_id")
     rows = [("rows", profile.rows), ("keys", profile.keys), *profile.nulls.items()]
     return spark.createDataFrame(rows, "measured string, amount bigint")
 

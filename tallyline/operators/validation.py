@@ -1,7 +1,8 @@
-"""Checks a cleaned table has to pass before it is stored.
+"""What a table has to be like before it is stored, as rules, and what breaks them.
 
-Name and type checks need no job. All checks of values are folded into one
-aggregate over the required columns.
+A table's rules are data: its fields, the kind and need of each, and its key. All of them
+are looked at together: columns and types from the schema, values in one aggregate. The
+outcome is a list of issues, so that a load that fails says everything that is wrong.
 """
 
 from __future__ import annotations
@@ -15,38 +16,78 @@ from pyspark.sql import types as T
 
 from tallyline.schemas import EMPLOYEES, KEY, NOT_NULL, TELEMETRY_EVENTS
 
+TEXT, NUMBER, TIME, FLAG = "text", "number", "time", "flag"
+_TYPES = {
+    TEXT: T.StringType,
+    NUMBER: T.NumericType,
+    TIME: (T.TimestampType, T.TimestampNTZType),
+    FLAG: T.BooleanType,
+}
+
+
+@dataclass(frozen=True)
+class Field:
+    """A column's kind; if ``needed``, it has to be there and may hold no NULL."""
+
+    name: str
+    kind: str
+    needed: bool = False
+
+
+@dataclass(frozen=True)
+class Rules:
+    """The rules of a table; ``key`` may not repeat, unless that is checked elsewhere."""
+
+    table: str
+    fields: tuple[Field, ...]
+    key: str | None = None
+
+
+def _fields(needed: Sequence[str], **kinds: Sequence[str]) -> tuple[Field, ...]:
+    return tuple(Field(name, kind, name in needed) for kind, names in kinds.items() for name in names)
+
+
+EVENT_RULES = Rules(
+    TELEMETRY_EVENTS,
+    _fields(
+        NOT_NULL[TELEMETRY_EVENTS],
+        text=("event_id", "event_name", "user_email", "session_id"),
+        time=("event_timestamp",),
+        number=("cost_usd", "duration_ms", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"),
+        flag=("success",),
+    ),
+)
+EMPLOYEE_RULES = Rules(EMPLOYEES, _fields(NOT_NULL[EMPLOYEES], text=NOT_NULL[EMPLOYEES]), KEY[EMPLOYEES])
+
+
+@dataclass(frozen=True)
+class Issue:
+    """One broken rule: what is wrong with which field, in how many rows if rows are wrong."""
+
+    problem: str
+    field: str | None = None
+    amount: int | None = None
+
+    def __str__(self) -> str:
+        where = f" {self.field}" if self.field else ""
+        return f"{self.problem}{where}" + (f" ({self.amount} rows)" if self.amount else "")
+
+
+NO_ROWS, NO_COLUMN, NO_VALUE, REPEATED = "no rows", "column not there:", "NULL in", "repeated key"
+WRONG_KIND = {kind: f"no {kind} column:" for kind in _TYPES}
+
 
 class ValidationError(ValueError):
-    """A table that may not be stored."""
-
-
-# Required kind of each checked column.
-EVENT_KINDS = {
-    "event_id": "string",
-    "event_timestamp": "datetime",
-    "event_name": "string",
-    "user_email": "string",
-    "session_id": "string",
-    "cost_usd": "numeric",
-    "duration_ms": "numeric",
-    "input_tokens": "numeric",
-    "output_tokens": "numeric",
-    "cache_creation_tokens": "numeric",
-    "cache_read_tokens": "numeric",
-    "success": "boolean",
-}
-EMPLOYEE_KINDS = {name: "string" for name in NOT_NULL[EMPLOYEES]}
-_KIND_CLASSES = {
-    "string": (T.StringType,),
-    "numeric": (T.NumericType,),
-    "datetime": (T.TimestampType, T.TimestampNTZType),
-    "boolean": (T.BooleanType,),
-}
+    """A table that may not be stored; ``issues`` has all that is wrong with it."""
+
+    def __init__(self, table: str, issues: Sequence[Issue] = ()):
+        self.issues = tuple(issues)
+        super().__init__(f"{table}: {'; '.join(map(str, issues))}" if issues else table)
 
 
 @dataclass(frozen=True)
 class Profile:
-    """Rows, NULLs per required column, distinct keys, and rows per condition of a table."""
+    """Rows, NULLs per needed column, distinct keys, and rows per condition of a table."""
 
     rows: int
     nulls: dict[str, int]
@@ -55,106 +96,61 @@ class Profile:
 
 
 def profile_values(
-    frame: DataFrame,
-    required: Sequence[str],
-    key: str | None = None,
-    wrong: Mapping[str, Column] | None = None,
+    frame: DataFrame, needed: Sequence[str], key: str | None = None, wrong: Mapping[str, Column] | None = None
 ) -> Profile:
-    """Count everything the checks of values need, in one job."""
-    there = [c for c in required if c in frame.columns]
-    wrong = wrong or {}
-    counts = [F.count(F.lit(1)).alias("rows")]
-    counts += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{c}") for c in there]
-    counts += [F.count(F.when(test, 1)).alias(f"wrong_{name}") for name, test in wrong.items()]
-    if key is not None and key in frame.columns:
-        counts.append(F.countDistinct(key).alias("keys"))
-    row = frame.agg(*counts).first()
+    """Count everything the checks of values want, in one job."""
+    there = [c for c in needed if c in frame.columns]
+    key = key if key in frame.columns else None
+    counts = {"rows": F.count(F.lit(1)), "keys": F.countDistinct(key) if key else F.lit(None)}
+    counts |= {f"null {c}": F.count_if(F.col(c).isNull()) for c in there}
+    counts |= {f"wrong {name}": F.count_if(test) for name, test in (wrong or {}).items()}
+    found = frame.agg(*[column.alias(name) for name, column in counts.items()]).first().asDict()
     return Profile(
-        rows=row["rows"],
-        nulls={c: row[f"null_{c}"] for c in there},
-        keys=row["keys"] if "keys" in row else None,
-        wrong={name: row[f"wrong_{name}"] for name in wrong},
+        found["rows"],
+        {c: found[f"null {c}"] for c in there},
+        found["keys"],
+        {name: found[f"wrong {name}"] for name in wrong or {}},
     )
 
 
-def validate_events(events: DataFrame, profile: Profile | None = None) -> None:
-    """Not empty, required columns and values, types, usable timestamps.
+def column_issues(frame: DataFrame, rules: Rules) -> list[Issue]:
+    """Columns that are not there or not of their kind; no job runs."""
+    types = {f.name: f.dataType for f in frame.schema}
+    absent = [Issue(NO_COLUMN, f.name) for f in rules.fields if f.needed and f.name not in types]
+    other = [
+        Issue(WRONG_KIND[f.kind], f.name)
+        for f in rules.fields
+        if f.name in types and not isinstance(types[f.name], _TYPES[f.kind])
+    ]
+    return absent + other
 
-    Pass the counts if they are taken already; they have to cover the required columns.
-    """
-    required = NOT_NULL[TELEMETRY_EVENTS]
-    profile = profile or profile_values(events, required)
-    _validate(events, "telemetry events", required, EVENT_KINDS, profile)
-    validate_timestamps(events, "event_timestamp", "telemetry events", nulls=0)
+
+def value_issues(profile: Profile, rules: Rules) -> list[Issue]:
+    """What the counts of a table's values show."""
+    if not profile.rows:
+        return [Issue(NO_ROWS)]
+    found = [Issue(NO_VALUE, name, n) for name, n in profile.nulls.items() if n]
+    if rules.key and profile.keys is not None and profile.keys < profile.rows:
+        found.append(Issue(REPEATED, rules.key, profile.rows - profile.keys))
+    return found
+
+
+def find_issues(frame: DataFrame, rules: Rules, profile: Profile | None = None) -> list[Issue]:
+    """Everything that is wrong with a table; pass the counts if they are taken already."""
+    if profile is None:
+        profile = profile_values(frame, [f.name for f in rules.fields if f.needed], rules.key)
+    return column_issues(frame, rules) + value_issues(profile, rules)
+
+
+def require(table: str, issues: Sequence[Issue]) -> None:
+    """Fail if there are issues."""
+    if issues:
+        raise ValidationError(table, issues)
+
+
+def validate_events(events: DataFrame, profile: Profile | None = None) -> None:
+    require(TELEMETRY_EVENTS, find_issues(events, EVENT_RULES, profile))
 
 
 def validate_employees(employees: DataFrame, profile: Profile | None = None) -> None:
-    """Not empty, required columns and values, types, one row per e-mail."""
-    required, key = NOT_NULL[EMPLOYEES], KEY[EMPLOYEES]
-    profile = profile or profile_values(employees, required, key)
-    _validate(employees, "employees", required, EMPLOYEE_KINDS, profile)
-    validate_unique_key(profile.rows, profile.keys, key, "employees")
-
-
-def _validate(
-    frame: DataFrame,
-    dataset: str,
-    required: Sequence[str],
-    kinds: Mapping[str, str],
-    profile: Profile,
-) -> None:
-    validate_not_empty(profile.rows, dataset)
-    validate_required_columns(frame, required, dataset)
-    validate_required_values(profile.nulls, dataset)
-    validate_data_types(frame, kinds, dataset)
-
-
-def validate_not_empty(rows: int, dataset: str) -> None:
-    if rows == 0:
-        raise ValidationError(f"{dataset} is empty")
-
-
-def validate_required_columns(frame: DataFrame, required: Sequence[str], dataset: str) -> None:
-    missing = [c for c in required if c not in frame.columns]
-    if missing:
-        raise ValidationError(f"{dataset} is missing required columns: {', '.join(missing)}")
-
-
-def validate_required_values(nulls: Mapping[str, int], dataset: str) -> None:
-    found = ", ".join(f"{column}={count}" for column, count in nulls.items() if count)
-    if found:
-        raise ValidationError(f"{dataset} has missing required values: {found}")
-
-
-def validate_data_types(frame: DataFrame, kinds: Mapping[str, str], dataset: str) -> None:
-    """Compare the kinds of the columns that are there."""
-    wrong = []
-    for column, kind in kinds.items():
-        if kind not in _KIND_CLASSES:
-            raise ValidationError(f"Unsupported validation type: {kind}")
-        if column in frame.columns:
-            actual = frame.schema[column].dataType
-            if not isinstance(actual, _KIND_CLASSES[kind]):
-                wrong.append(f"{column} expected {kind}, got {actual.simpleString()}")
-    if wrong:
-        raise ValidationError(f"{dataset} has invalid column types: {'; '.join(wrong)}")
-
-
-def validate_timestamps(
-    frame: DataFrame, column: str, dataset: str, *, nulls: int | None = None
-) -> None:
-    """A typed column without NULLs; pass ``nulls`` if they are counted already."""
-    if column not in frame.columns:
-        raise ValidationError(f"{dataset} is missing timestamp column: {column}")
-    actual = frame.schema[column].dataType
-    if not isinstance(actual, _KIND_CLASSES["datetime"]):
-        raise ValidationError(f"{dataset}.{column} must be a timestamp, got {actual.simpleString()}")
-    if nulls is None:
-        nulls = profile_values(frame, [column]).nulls[column]
-    if nulls:
-        raise ValidationError(f"{dataset}.{column} contains {nulls} invalid timestamps")
-
-
-def validate_unique_key(rows: int, keys: int, column: str, dataset: str) -> None:
-    if rows != keys:
-        raise ValidationError(f"{dataset}.{column} contains {rows - keys} duplicate values")
+    require(EMPLOYEES, find_issues(employees, EMPLOYEE_RULES, profile))

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.operators.cleaning import clean_employees, clean_events
 from tallyline.operators.storage import load_table, publish, stage
-from tallyline.operators.validation import validate_employees, validate_events
+from tallyline.operators.validation import (
+    EMPLOYEE_RULES,
+    EVENT_RULES,
+    column_issues,
+    require,
+    validate_employees,
+    validate_events,
+)
 from tallyline.schemas import EMPLOYEES, TELEMETRY_EVENTS
 from tallyline.session import prepare
 from tallyline.sources.batches import read_telemetry_batches
@@ -43,18 +50,24 @@ def run_pipeline(
     """
     prepare(spark)
     telemetry, employees = load_datasets(spark, telemetry_path, employees_path)
-    staged_events = stage(clean_events(telemetry), TELEMETRY_EVENTS, root)
-    staged_employees = stage(clean_employees(employees), EMPLOYEES, root)
+    cleaned = {TELEMETRY_EVENTS: clean_events(telemetry), EMPLOYEES: clean_employees(employees)}
+    # Before rows are cast to the stored types, and before anything is read.
+    for rules in (EVENT_RULES, EMPLOYEE_RULES):
+        require(rules.table, column_issues(cleaned[rules.table], rules))
+    staged = {}
     try:
-        validate_events(staged_events.rows, staged_events.profile)
-        validate_employees(staged_employees.rows, staged_employees.profile)
+        for table, rows in cleaned.items():
+            staged[table] = stage(rows, table, root)
+        validate_events(staged[TELEMETRY_EVENTS].rows, staged[TELEMETRY_EVENTS].profile)
+        validate_employees(staged[EMPLOYEES].rows, staged[EMPLOYEES].profile)
+        stored = publish(staged[EMPLOYEES], replace=replace)
     except Exception:
-        staged_events.discard()
-        staged_employees.discard()
+        for load in staged.values():
+            load.discard()
         raise
     return {
-        EMPLOYEES: publish(staged_employees, replace=replace),
-        TELEMETRY_EVENTS: publish(staged_events, replace=replace, on_duplicate=on_duplicate),
+        EMPLOYEES: stored,
+        TELEMETRY_EVENTS: publish(staged[TELEMETRY_EVENTS], replace=replace, on_duplicate=on_duplicate),
     }
 
 

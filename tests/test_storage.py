@@ -125,19 +125,21 @@ def test_serialize_json(spark):
     assert (json.loads(out["m"]), out["s"], out["v"]) == ({"a": 1}, "text", "[1]")
 
 
-def test_validation_messages(spark, events, employees):
+def test_everything_wrong_is_told_at_once(events, employees):
     validate_events(events({}))
     validate_employees(employees)
-    with pytest.raises(ValidationError, match="telemetry events is empty"):
-        validate_events(events())
-    with pytest.raises(ValidationError, match="missing required columns: event_id, session_id"):
-        validate_events(events({}).drop("event_id", "session_id"))
-    with pytest.raises(ValidationError, match="missing required values: user_email=1"):
-        validate_events(events({}, {"user_email": None}))
-    with pytest.raises(ValidationError, match="cost_usd expected numeric, got string"):
-        validate_events(events({}).withColumn("cost_usd", F.lit("1")))
-    with pytest.raises(ValidationError, match="employees.email contains 3 duplicate values"):
-        validate_employees(employees.unionByName(employees))
+    cases = [
+        (validate_events, events(), "telemetry_events: no rows$"),
+        (validate_events, events({}).drop("event_id", "session_id"), "column not there: event_id; column not there: session_id$"),
+        (validate_events, events({}, {"user_email": None}), r"NULL in user_email \(1 rows\)$"),
+        (validate_events, events({}).withColumn("cost_usd", F.lit("1")), "no number column: cost_usd$"),
+        (validate_events, events({}).withColumn("event_timestamp", F.lit("1")), "no time column: event_timestamp$"),
+        (validate_events, events({"event_name": None}).withColumn("success", F.lit(1)), r"no flag column: success; NULL in event_name \(1 rows\)$"),
+        (validate_employees, employees.unionByName(employees), r"employees: repeated key email \(3 rows\)$"),
+    ]
+    for validate, frame, told in cases:
+        with pytest.raises(ValidationError, match=told):
+            validate(frame)
     assert issubclass(ValidationError, ValueError)
 
 
@@ -161,12 +163,21 @@ def test_pipeline(spark, folder):
 @pytest.mark.parametrize("bad", [{"user_email": ...}, {"session_id": "  "}])
 def test_pipeline_with_invalid_events_stores_nothing(spark, folder, bad):
     write_inputs(folder, batch(event(1), event(2, **bad)))
-    with pytest.raises(ValidationError, match="missing required values"):
+    with pytest.raises(ValidationError, match="NULL in"):
         run_pipeline(spark, f"{folder}/out", f"{folder}/in", f"{folder}/e.csv")
     events, employees = open_tables(spark, f"{folder}/out")
     assert events.count() == 0 and employees.count() == 0
 
 
+def test_pipeline_whose_employees_can_not_be_read_leaves_nothing(spark, folder):
+    write_inputs(folder, batch(event(1)))
+    with open(f"{folder}/e.csv", "w") as file:
+        file.write("email,full_name\nann@example.com,Ann\n")
+    with pytest.raises(ValidationError, match="column not there: level"):
+        run_pipeline(spark, f"{folder}/out", f"{folder}/in", f"{folder}/e.csv")
+    assert not os.path.exists(f"{folder}/out/telemetry_events") or os.listdir(f"{folder}/out/telemetry_events") == []
+
+
 def test_pipeline_with_duplicate_ids_keeps_employees_only(spark, folder):
     write_inputs(folder, batch(event(1), event(1)))
     with pytest.raises(ConstraintError):
