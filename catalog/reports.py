@@ -20,6 +20,11 @@ SESSION_SQL = (
     " AND m.event_name = 'api_request' AND m.model = 'model-1')"
 )
 
+def shown(amount: str) -> str:
+    """A double as results show it, 0 where there is none."""
+    return f"round(round(coalesce({amount}, 0), 9), 6)"
+
+
 # --- headline figures ---
 
 report("total_users", lambda t, e: kpis.total_users(t), "SELECT count(DISTINCT user_email) AS total_users FROM t")
@@ -50,10 +55,10 @@ report(
 report(
     "success_rate",
     lambda t, e: kpis.success_rate(t),
-    """SELECT count(*) AS tool_result_count,
-    CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS successful_tool_results,
-    round(round(CASE WHEN count(*) = 0 THEN 0 ELSE sum(CASE WHEN success THEN 1 ELSE 0 END)::DOUBLE / count(*) END, 9), 6) AS success_rate
-    FROM t WHERE event_name = 'tool_result'""",
+    f"""SELECT tried AS tool_result_count, worked AS successful_tool_results,
+    {shown("worked::DOUBLE / nullif(tried, 0)")} AS success_rate FROM results""",
+    """results AS (
+      SELECT count(*) AS tried, count(*) FILTER (WHERE success) AS worked FROM t WHERE event_name = 'tool_result')""",
 )
 report(
     "average_tokens_per_request",
@@ -64,16 +69,19 @@ report(
 
 
 def _kpi_sql(where: str) -> tuple[str, str]:
-    ctes = f"f AS (SELECT t.* FROM {JOINED} WHERE {where})"
+    """Figures of sessions, then of all of them: each session is summed up before."""
+    ctes = f"""f AS (SELECT t.* FROM {JOINED} WHERE {where}), requests AS (
+      SELECT sum(cost_usd) AS cost, sum({TOKENS_SQL}) AS tokens FROM f WHERE event_name = 'api_request'
+    ), spans AS (
+      SELECT session_id, epoch_us(max(event_timestamp)) // 1000 - epoch_us(min(event_timestamp)) // 1000 AS ms
+      FROM f GROUP BY session_id HAVING session_id IS NOT NULL
+    ), people AS (SELECT user_email, count(*) AS n FROM f GROUP BY user_email)"""
     return (
-        f"""SELECT count(DISTINCT user_email) AS total_users, count(DISTINCT session_id) AS total_sessions,
-        count(*) AS total_events,
-        round(round(coalesce(sum(CASE WHEN event_name = 'api_request' THEN cost_usd END), 0), 9), 6) AS total_cost_usd,
-        CAST(coalesce(sum(CASE WHEN event_name = 'api_request' THEN {TOKENS_SQL} END), 0) AS BIGINT) AS total_tokens,
-        (SELECT round(round(coalesce(avg(ms), 0), 9), 6) FROM (
-           SELECT date_diff('millisecond', min(event_timestamp), max(event_timestamp)) AS ms
-           FROM f WHERE session_id IS NOT NULL GROUP BY session_id)) AS average_session_duration_ms
-        FROM f""",
+        f"""SELECT (SELECT count(user_email) FROM people) AS total_users, (SELECT count(*) FROM spans) AS total_sessions,
+        (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM people) AS total_events,
+        {shown("cost")} AS total_cost_usd, CAST(coalesce(tokens, 0) AS BIGINT) AS total_tokens,
+        (SELECT {shown("avg(ms)")} FROM spans) AS average_session_duration_ms
+        FROM requests""",
         ctes,
     )
 
@@ -137,12 +145,13 @@ for _case, (_filters, _where) in DIRECT_CASES.items():
     report(
         f"cost_per_practice{_case}",
         lambda t, e, f=_filters: models.cost_per_practice(t, e, f),
-        f"""SELECT coalesce(e.practice, t.resource_user_practice, 'Unknown') AS practice, count(*) AS request_count,
-        count(DISTINCT t.user_email) AS active_users, round(round(coalesce(sum(t.cost_usd), 0), 9), 6) AS cost_usd,
-        round(round(CASE WHEN count(DISTINCT t.user_email) = 0 THEN 0
-              ELSE coalesce(sum(t.cost_usd), 0) / count(DISTINCT t.user_email) END, 9), 6) AS cost_per_active_user
-        FROM {JOINED} WHERE t.event_name = 'api_request' AND {_where}
-        GROUP BY coalesce(e.practice, t.resource_user_practice, 'Unknown')""",
+        f"""SELECT practice, CAST(sum(n) AS BIGINT) AS request_count, count(user_email) AS active_users,
+        {shown("sum(cost)")} AS cost_usd, {shown("sum(cost) / nullif(count(user_email), 0)")} AS cost_per_active_user
+        FROM users_of GROUP BY practice""",
+        f"""users_of AS (
+          SELECT ifnull(ifnull(e.practice, t.resource_user_practice), 'Unknown') AS practice, t.user_email,
+                 count(*) AS n, sum(t.cost_usd) AS cost
+          FROM {JOINED} WHERE {_where} AND t.event_name = 'api_request' GROUP BY ALL)""",
     )
     report(
         f"requests_per_day{_case}",
@@ -173,50 +182,55 @@ report(
 report(
     "daily_success_rate",
     lambda t, e: trends.daily_success_rate(t),
-    """SELECT event_date, count(*) AS tool_result_count,
-    round(round(sum(CASE WHEN success THEN 1 ELSE 0 END)::DOUBLE / count(*), 9), 6) AS success_rate
-    FROM t WHERE event_name = 'tool_result' GROUP BY event_date""",
+    f"""SELECT event_date, count(*) AS tool_result_count, {shown("avg(CAST(success IS TRUE AS INT))")} AS success_rate
+    FROM t GROUP BY event_date, event_name HAVING event_name = 'tool_result'""",
 )
 
 # --- users and tools ---
 
-_PERSON = "t.user_email, e.full_name, e.practice, e.level, e.location"
-
-
-def _activity_sql(where: str, extra: str = "", tail: str = "") -> str:
-    return f"""SELECT {_PERSON}, count(*) AS event_count, count(DISTINCT t.session_id) AS session_count,
-    CAST(sum(CASE WHEN t.event_name = 'user_prompt' THEN 1 ELSE 0 END) AS BIGINT) AS prompt_count,
-    CAST(sum(CASE WHEN t.event_name = 'api_request' THEN 1 ELSE 0 END) AS BIGINT) AS api_request_count,
-    {extra}
-    round(round(coalesce(sum(CASE WHEN t.event_name = 'api_request' THEN t.cost_usd END), 0), 9), 6) AS cost_usd
-    FROM {JOINED} WHERE {where} AND t.user_email IS NOT NULL
-    GROUP BY {_PERSON} ORDER BY event_count DESC, t.user_email {tail}"""
+def _activity_sql(where: str, wanted: str = "", tail: str = "") -> tuple[str, str]:
+    """Figures of each user's sessions, then of the users, and their names last."""
+    of_kind = ", ".join(
+        f"count(*) FILTER (WHERE t.event_name = '{kind}') AS {name}"
+        for kind, name in (("user_prompt", "prompts"), ("api_request", "requests"), ("tool_result", "results"))
+    )
+    ctes = f"""of_session AS (
+      SELECT t.user_email, t.session_id, count(*) AS n, {of_kind},
+             sum(t.cost_usd) FILTER (WHERE t.event_name = 'api_request') AS cost
+      FROM {JOINED} WHERE {where} GROUP BY t.user_email, t.session_id
+    ), of_user AS (
+      SELECT user_email, sum(n) AS n, count(session_id) AS sessions, sum(prompts) AS prompts, sum(requests) AS requests,
+             sum(results) AS results, sum(cost) AS cost FROM of_session GROUP BY user_email HAVING user_email IS NOT NULL
+    )"""
+    return (
+        f"""SELECT user_email, full_name, practice, level, location, CAST(n AS BIGINT) AS event_count, sessions AS session_count,
+        CAST(prompts AS BIGINT) AS prompt_count, CAST(requests AS BIGINT) AS api_request_count, {wanted} {shown("cost")} AS cost_usd
+        FROM of_user LEFT JOIN e ON email = user_email ORDER BY n DESC, user_email {tail}""",
+        ctes,
+    )
 
 
 for _case, (_filters, _where) in FILTER_CASES.items():
     report(
         f"top_active_users{_case}",
         lambda t, e, f=_filters: users.top_active_users(t, e, f),
-        _activity_sql(_where, tail="LIMIT 10"),
+        *_activity_sql(_where, tail="LIMIT 10"),
     )
     report(
         f"top_used_tools{_case}",
         lambda t, e, f=_filters: users.top_used_tools(t, e, f, limit=5),
-        f"""SELECT t.tool_name AS tool_name, count(*) AS tool_result_count,
-        CAST(sum(CASE WHEN t.success THEN 1 ELSE 0 END) AS BIGINT) AS successful_tool_results,
-        round(round(sum(CASE WHEN t.success THEN 1 ELSE 0 END)::DOUBLE / count(*), 9), 6) AS success_rate,
-        round(round(coalesce(avg(t.duration_ms), 0), 9), 6) AS average_duration_ms
-        FROM {JOINED} WHERE t.event_name = 'tool_result' AND {_where} AND t.tool_name IS NOT NULL
-        GROUP BY t.tool_name ORDER BY tool_result_count DESC, t.tool_name LIMIT 5""",
+        f"""SELECT tool_name, n AS tool_result_count, worked AS successful_tool_results,
+        {shown("worked::DOUBLE / n")} AS success_rate, {shown("ms")} AS average_duration_ms
+        FROM of_tool ORDER BY n DESC, tool_name LIMIT 5""",
+        f"""of_tool AS (
+          SELECT t.tool_name, count(*) AS n, count(*) FILTER (WHERE t.success) AS worked, avg(t.duration_ms) AS ms
+          FROM {JOINED} WHERE {_where} AND t.event_name = 'tool_result' GROUP BY t.tool_name HAVING t.tool_name IS NOT NULL)""",
     )
 
 report(
     "user_activity_summary",
     lambda t, e: users.user_activity_summary(t, e),
-    _activity_sql(
-        "TRUE",
-        "CAST(sum(CASE WHEN t.event_name = 'tool_result' THEN 1 ELSE 0 END) AS BIGINT) AS tool_result_count,",
-    ),
+    *_activity_sql("TRUE", "CAST(results AS BIGINT) AS tool_result_count,"),
 )
 
 
