@@ -10,14 +10,14 @@ five words (one of all its words if it has fewer). Documents are linked if
    chance below 10^-6). In each bucket of nodes with one key, every node is paired with
    one pivot only. The Jaccard estimate from the registers, corrected for chance
    collisions, drops what can't be a link, nor near one; the rest is verified on full sets.
-3. Nodes not linked with their pivot stay: they are dealt anew by further registers, so
-   that nodes alike meet without the strangers that share a hot passage, until no two are
-   left together. After the last round what is left together is compared in full.
-4. A node linked with a pivot can still be linked with one that is near the pivot, but not
-   linked. Let D(x) be the shingles in which x and the pivot differ. If x is not linked
-   with the pivot, and D(x) and D(y) are disjoint, then x and y are even less alike than x
-   and the pivot. So x and y have to share a rare shingle of D(x) and D(y): a prefix-
-   filtered join finds these pairs, which are verified too.
+3. Nodes near a pivot, but not linked with it, may be linked with others near it. For two
+   such nodes, the shingles in which each differs from the pivot have to overlap, by how
+   much is bounded (see beside_pivots). A prefix-filtered join over these shingles, the
+   rarest first, finds the pairs, which are verified too.
+4. Where a node is far from its pivot, those not linked with the pivot are dealt anew by
+   further registers, so that nodes alike meet without the strangers that share a hot
+   passage, until no two are left together. After the last round what is left together is
+   compared in full.
 
 A group of copies is never expanded into pairs: equal sets are one node, and near copies
 cost a pair with each of their pivots.
@@ -50,7 +50,7 @@ MANTISSA = 10
 BAND = 5
 BANDS = BUCKETS // BAND
 #: Rounds in which strangers are dealt anew, by how many registers, and in how many ways.
-ROUNDS, MORE, WAYS = 4, 4, 2
+ROUNDS, MORE, WAYS = 6, 4, 2
 #: Chance collisions of registers, at most: 0.17 * 2^(p - r) for 2^p buckets and r bits.
 COLLISIONS = 0.17 * BUCKETS / (1 << MANTISSA)
 #: Up to so many nodes (16 bytes each) a list of nodes is broadcast; beyond, it is shuffled.
@@ -227,31 +227,42 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
 
 
 def beside_pivots(near: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may be linked: b with one pivot, a near it, but not linked with it.
-
-    ``near`` is what verified() returns, for pivots a. Let m be the most shingles in which
-    b and a node linked with it can differ: (1 - t) / t of b's size. Such a node shares at
-    least |differ| - m of b's, and one at least.
+    """Pairs (a, b) that may be linked: both near one pivot, and one of them not linked with it.
+
+    ``near`` is what verified() returns, for pivots. Let D(x) be what x and the pivot differ
+    in, x not linked with it, and y linked with x at t or more. Then D(x) and D(y) share
+    - more than t / 2 of D(y), as x is further from the pivot than from y,
+    - all of D(x) but (1 - t) / t of x's size, as more than that can't differ from y,
+    - half of what |D(x)| + |D(y)| exceeds (1 - t) / (1 + t) of both sizes by.
+    So they share one of the rarest of each, and enough that more than one of them has.
     """
+    t = percent / 100
     near = near.where(F.size("differ") > 0)
-    both = near.groupBy("a").agg(F.min("linked").alias("least"), F.max("linked").alias("most")).where("most AND NOT least")
-    told = reliable(near.join(both, "a", "left_semi").select("a", "b", "linked", "size", F.explode("differ").alias("token")))
-    times = told.groupBy("a", "token").agg(F.count("*").alias("times"))
-    most = F.floor(F.col("size") * (100 - percent) / percent)
+    loose = near.where("NOT linked").select("a").distinct()
+    told = reliable(
+        near.join(loose, "a", "left_semi").select("a", "b", "linked", "size", F.explode("differ").alias("token"))
+    )
+    times = told.groupBy("a", "token").agg(F.count("*").alias("times")).where("times > 1")
+    most = F.floor(F.col("size") * ((1 - t) / t) + 1e-6)
+    half = F.when(F.col("linked"), F.floor(F.size("tokens") * (t / 2) - 1e-6) + 1).otherwise(1)
     ranked = (
-        told.join(times, ["a", "token"])
+        told.join(times, ["a", "token"], "left")
         .groupBy("a", "b", "linked", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("tokens"))
-        .withColumn("needed", F.greatest(F.size("tokens") - most, F.lit(1)))
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "token"))).alias("tokens"))
+        .withColumn("needed", F.greatest(F.size("tokens") - most, half))
+        .withColumn("shared", F.size(F.filter("tokens", lambda x: x["times"] > 1)))
+        .where("shared >= needed")
         .withColumn("prefix", F.slice("tokens", 1, (F.size("tokens") - F.col("needed") + 1).cast("int")))
-        .select("a", "b", "linked", "size", F.explode("prefix").alias("t"))
-        .where("t.times > 1")
-        .select("a", "b", "linked", "size", "t.token")
+        .select("a", "b", "linked", "size", "shared", F.size("tokens").alias("d"), F.explode("prefix").alias("rare"))
+        .where("rare.times > 1")
+        .select("a", "b", "linked", "size", "shared", "d", "rare.token")
     )
-    x = ranked.where(~F.col("linked")).select("a", "token", F.col("b").alias("x"), F.col("size").alias("nx"))
-    y = ranked.where("linked").select("a", "token", F.col("b").alias("y"), F.col("size").alias("ny"))
-    fit = x.join(y, ["a", "token"]).where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return fit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x = ranked.where("NOT linked").select("a", "token", *[F.col(c).alias(f"{c}_x") for c in ("b", "size", "shared", "d")])
+    y = ranked.select("a", "token", "linked", *[F.col(c).alias(f"{c}_y") for c in ("b", "size", "shared", "d")])
+    enough = f"2 * least(shared_x, shared_y) + 0.001 >= d_x + d_y - (size_x + size_y) * {(1 - t) / (1 + t)}"
+    alike = f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)"
+    fit = x.join(y, ["a", "token"]).where(f"{enough} AND {alike} AND (linked OR b_x < b_y)")
+    return fit.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -281,9 +292,11 @@ def links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         near = verified(reliable(estimated(pairs, live, percent)), live, percent)
         found.append(near)
         if turn + 1 < ROUNDS:
-            linked = near.where("linked").select(F.col("a").alias("pivot"), F.col("b").alias("node"))
-            left = members.join(linked, ["pivot", "node"], "left_anti").select("key", "node")
-            rows = reliable(dealt_anew(left, live))
+            told = near.where(F.size("differ") > 0).select(F.col("a").alias("pivot"), F.col("b").alias("node"), "linked")
+            placed = reliable(members.join(told, ["pivot", "node"], "left").where("linked IS NULL OR NOT linked"))
+            # Pairs near one pivot are found beside it; others are where a node is far from it.
+            open_keys = placed.where("linked IS NULL").select("key").distinct()
+            rows = reliable(dealt_anew(placed.join(open_keys, "key", "left_semi").select("key", "node"), live))
             members = reliable(rows.join(rows.groupBy("key").agg(*pivot).where("n > 1").select("key", "pivot"), "key").where("node <> pivot"))
     near = found[0]
     for part in found[1:]:
