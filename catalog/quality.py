@@ -64,7 +64,25 @@ register(
     UNION ALL SELECT 'duplicate_event_id', 'fatal', 0 UNION ALL SELECT 'unknown_event_name', 'warning', 0
     UNION ALL SELECT 'missing_employee', 'warning', count(*) FROM u LEFT JOIN e ON user_email = email WHERE spot <> 47 AND email IS NULL
     UNION ALL SELECT 'missing_cost', 'warning', count(*) FROM u WHERE spot NOT IN (47, 11) AND event_name = 'api_request' AND cost_usd IS NULL
-    UNION ALL SELECT 'missing_success', 'warning', count(*) FROM u WHERE spot NOT IN (47, 11) AND event_name = 'tool_result' AND success IS NULL""",
+    UNION ALL SELECT 'missing_success', 'warning', count(*) FROM u WHERE spot NOT IN (47, 11) AND event_name = 'tool_result' AND success IS NULL
+    UNION ALL SELECT 'unusable_value', 'warning', count(*) FROM u WHERE spot <> 47 AND (
+      (n % 9 IN (4, 5) AND coalesce(prompt_length, duration_ms, input_tokens) IS NOT NULL) OR (n % 7 IN (3, 4) AND success IS NOT NULL))""",
+)
+register(
+    "conversion_failures",
+    lambda spark, folder: quality.conversion_failures(flat(spark, folder)),
+    SOURCE_SQL
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS field, "
+        + {
+            "success": "count(success) FILTER (WHERE n % 7 IN (3, 4) AND spot <> 47)",
+            **dict.fromkeys(
+                ("prompt_length", "duration_ms", "input_tokens"), f"count({c}) FILTER (WHERE n % 9 IN (4, 5) AND spot <> 47)"
+            ),
+        }.get(c, "count(*) FILTER (WHERE FALSE)")
+        + " AS unusable FROM u"
+        for c in quality.CONVERTED
+    ),
 )
 report(
     "join_coverage",

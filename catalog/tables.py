@@ -158,7 +158,7 @@ register(
 )
 
 
-def _first_kept(spark: SparkSession, folder: str) -> DataFrame:
+def _repeated(spark: SparkSession, folder: str) -> str:
     """Every event twice and a third of all rows under one id: the first of each id is kept."""
     root = shared_folder(spark, "tables")
     events = sample_events(spark, folder)
@@ -172,12 +172,24 @@ def _first_kept(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).alias("event_index"),
     )
     storage.save_events(placed, root, on_duplicate="first")
-    return storage.load_table(spark, root, TELEMETRY_EVENTS).select("event_id", "line_number", "event_name")
+    return root
 
 
+register(
+    "recorded_repeats",
+    lambda spark, folder: storage.recorded_repeats(spark, _repeated(spark, folder)),
+    TABLES_SQL
+    + """, c AS (
+      SELECT CASE WHEN n % 3 = 0 THEN 'hot' ELSE event_id END AS event_id, CAST(copy * 1000000000 + n AS INT) AS line_number
+      FROM t, (VALUES (0), (1)) AS copies(copy)
+    ) SELECT event_id, 'a' AS source_file, line_number, 0 AS event_index, CAST(1 AS BIGINT) AS left_out
+    FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY line_number) AS k FROM c) WHERE k > 1""",
+)
 register(
     "save_events_first_of_duplicates",
-    _first_kept,
+    lambda spark, folder: storage.load_table(spark, _repeated(spark, folder), TELEMETRY_EVENTS).select(
+        "event_id", "line_number", "event_name"
+    ),
     TABLES_SQL
     + """SELECT CASE WHEN n % 3 = 0 THEN 'hot' ELSE event_id END AS event_id, CAST(n AS INT) AS line_number, event_name
     FROM t WHERE n % 3 <> 0 OR n = (SELECT min(n) FROM t WHERE n % 3 = 0)""",
@@ -192,6 +204,30 @@ register(
 )
 
 
+def _refused(spark: SparkSession, folder: str) -> DataFrame:
+    """A load with one id twice is refused as a whole; the table stays as it was."""
+    root = shared_folder(spark, "tables")
+    events = sample_events(spark, folder)
+    storage.save_events(events.filter("event_name = 'user_prompt'"), root)
+    doubled = events.withColumn("event_id", F.when(F.col("event_name") == "api_error", F.lit("one")).otherwise(F.col("event_id")))
+    try:
+        storage.save_events(doubled, root)
+        refused = False
+    except storage.ConstraintError as error:
+        refused = "'one'" in str(error)
+    stored = storage.load_table(spark, root, TELEMETRY_EVENTS)
+    return stored.groupBy("event_name").agg(F.count(F.lit(1)).alias("stored")).withColumn("refused", F.lit(refused))
+
+
+register(
+    "enforce_primary_key_on_save",
+    _refused,
+    TABLES_SQL
+    + """SELECT event_name, count(*) AS stored, (SELECT count(*) > 1 FROM t WHERE event_name = 'api_error') AS refused
+    FROM t WHERE event_name = 'user_prompt' GROUP BY event_name""",
+)
+
+
 def outcome(name: str, act: Callable[[SparkSession, str], None], sql: str) -> None:
     """A query whose result is the message of the check it runs over the whole tables."""
 

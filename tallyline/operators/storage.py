@@ -20,6 +20,7 @@ from tallyline.operators.validation import Profile, ValidationError, profile_val
 from tallyline.schemas import EMPLOYEES, JSON_COLUMNS, KEY, NOT_NULL, SCHEMA, TELEMETRY_EVENTS
 
 _LIST = "_loads"
+REPEATS = "repeats"
 
 
 class ConstraintError(ValidationError):
@@ -51,8 +52,7 @@ class StagedLoad:
         return profile_values(self.rows, NOT_NULL[self.table], key, wrong)
 
     def discard(self) -> None:
-        path, fs = _hadoop(self.spark, f"{self.root}/{self.table}/{self.folder}")
-        fs.delete(path, True)
+        remove(self.spark, f"{self.root}/{self.table}/{self.folder}")
 
 
 def save_employees(employees: DataFrame, root: str, *, replace: bool = True) -> int:
@@ -67,6 +67,7 @@ def save_events(
 
     ``on_duplicate`` decides about a repeated ``event_id``: ``error`` fails the load,
     ``first`` keeps the first event in source order (and stored ones before new ones).
+    The places of those left out are recorded below ``root/repeats``.
     """
     staged = stage(events, TELEMETRY_EVENTS, root)
     return publish(staged, replace=replace, on_duplicate=on_duplicate)
@@ -140,6 +141,7 @@ def publish(load: StagedLoad, *, replace: bool = True, on_duplicate: str = "erro
             unique = _first_only(load.rows, stored, KEY[table])
             if unique is not None:
                 with_repeats, load = load, stage(unique, table, root)
+                _record_repeats(with_repeats.rows, load.rows, KEY[table], f"{root}/{REPEATS}/{load.folder}")
                 with_repeats.discard()
                 rows = load.rows.count()
         elif rows:
@@ -183,6 +185,33 @@ def _known_keys(staged: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return stored.select(key).join(staged.select(key), key, "left_semi")
 
 
+def _record_repeats(staged: DataFrame, kept: DataFrame, key: str, path: str) -> None:
+    """Write the key and place of each row that was left out, and how often it was."""
+    place = ["source_file", "line_number", "event_index"]
+    count = [key, *place]
+
+    def counted(frame: DataFrame, name: str) -> DataFrame:
+        return frame.groupBy(*count).agg(F.count(F.lit(1)).alias(name))
+
+    both = counted(staged, "copies").alias("s").join(
+        counted(kept, "kept").alias("k"),
+        [F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}")) for c in count],
+        "left",
+    )
+    left_out = F.col("copies") - F.coalesce("kept", F.lit(0))
+    told = both.select(*[F.col(f"s.{c}").alias(c) for c in count], left_out.alias("left_out"))
+    told.where("left_out > 0").write.parquet(path)
+
+
+def recorded_repeats(spark: SparkSession, root: str) -> DataFrame:
+    """Places of events that loads have left out because their id was known."""
+    path, fs = _hadoop(spark, f"{root}/{REPEATS}")
+    schema = "event_id string, source_file string, line_number int, event_index int, left_out bigint"
+    if not fs.exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/{REPEATS}")
+
+
 def _first_only(staged: DataFrame, stored: DataFrame | None, key: str) -> DataFrame | None:
     """The load without repeated keys, or None if there are none.
 
@@ -266,6 +295,12 @@ def _list_loads(spark: SparkSession, root: str, table: str, loads: list[str]) ->
     )
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a folder with all that is in it, if it is there."""
+    path, fs = _hadoop(spark, name)
+    fs.delete(path, True)
+
+
 def _hadoop(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.measures import is_event, ratio
-from tallyline.functions.parsing import clean_text, to_utc
+from tallyline.functions.parsing import clean_text, to_decimal_number, to_flag, to_utc, to_whole_number
 from tallyline.operators import flatten
 from tallyline.schemas import (
     API_REQUEST,
+    DECIMAL_COLUMNS,
     EVENT_MUST_HAVE,
+    EVENT_SCHEMA,
     KNOWN_EVENTS,
     NOT_NULL,
     TELEMETRY_EVENTS,
     TOOL_RESULT,
+    WHOLE_NUMBER_COLUMNS,
 )
 
+# Columns that cleaning reads as numbers or flags.
+CONVERTED = (*WHOLE_NUMBER_COLUMNS, *DECIMAL_COLUMNS, "success")
+
 # What each kind of event should carry.
 EXPECTED = {
     API_REQUEST: ("model", "cost_usd", "duration_ms", "input_tokens", "output_tokens",
@@ -118,6 +127,28 @@ def idle_employees(events: DataFrame, employees: DataFrame) -> DataFrame:
     return employees.join(seen, "email", "left_anti").orderBy("email")
 
 
+def _unusable(name: str) -> Column:
+    """A number or flag is there, but cleaning will make it NULL."""
+    value = F.col(name)
+    if name in DECIMAL_COLUMNS:
+        read = to_decimal_number(value)
+    elif name in WHOLE_NUMBER_COLUMNS:
+        read = to_whole_number(value, EVENT_SCHEMA[name].dataType.simpleString())
+    else:
+        read = to_flag(value)
+    return clean_text(value.cast("string")).isNotNull() & read.isNull()
+
+
+def conversion_failures(flat: DataFrame) -> DataFrame:
+    """How many values of each number and flag of readable rows can't be used; one scan.
+
+    Their rows are loaded with NULL there.
+    """
+    counts = flat.filter(~F.col("is_malformed")).agg(*[F.count_if(_unusable(c)).alias(c) for c in CONVERTED])
+    rows = [F.struct(F.lit(c).alias("field"), F.col(c).alias("unusable")) for c in CONVERTED]
+    return counts.select(F.inline(F.array(*rows))).orderBy("field")
+
+
 def duplicate_events(events: DataFrame) -> DataFrame:
     """Event ids that occur more than once, their copies and the first place of each."""
     place = F.struct("source_file", "line_number", "event_index")
@@ -195,6 +226,7 @@ def data_quality(flat: DataFrame, employees: DataFrame) -> DataFrame:
         "unknown_event_name": ("warning", usable & ~F.col("event_name").isin(*KNOWN_EVENTS)),
         "missing_cost": ("warning", is_event(API_REQUEST) & F.col("cost_usd").isNull()),
         "missing_success": ("warning", is_event(TOOL_RESULT) & F.col("success").isNull()),
+        "unusable_value": ("warning", readable & reduce(or_, map(_unusable, CONVERTED))),
     }
     per_user = flat.groupBy(clean_text(F.col("user_email")).alias("email")).agg(
         F.count(F.lit(1)).alias("rows"),

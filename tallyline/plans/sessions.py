@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.measures import api_only, elapsed_ms, is_event
 from tallyline.operators import rollup as R
 from tallyline.operators.filters import require_positive
-from tallyline.schemas import API_ERROR, API_REQUEST, TOOL_RESULT, USER_PROMPT
+from tallyline.schemas import API_ERROR, API_REQUEST, KEY, TELEMETRY_EVENTS, TOOL_RESULT, USER_PROMPT
 
 
 def sessions(events: DataFrame) -> DataFrame:
@@ -81,13 +81,12 @@ def high_cost(events: DataFrame, entity: str, limit: int = 10) -> DataFrame:
     if entity not in ("user_email", "session_id", "event_id"):
         raise ValueError(f"Unsupported entity: {entity}")
     require_positive(limit)
-    return (
-        events.filter(is_event(API_REQUEST) & F.col(entity).isNotNull())
-        .groupBy(entity)
-        .agg(
-            F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
-            F.count(F.lit(1)).alias("request_count"),
+    requests = events.filter(is_event(API_REQUEST) & F.col(entity).isNotNull())
+    if entity == KEY[TELEMETRY_EVENTS]:
+        # Each request is its own group: the top rows of each task are enough.
+        summed = requests.select(entity, F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), F.lit(1).cast("bigint").alias("request_count"))
+    else:
+        summed = requests.groupBy(entity).agg(
+            F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"), F.count(F.lit(1)).alias("request_count")
         )
-        .orderBy(F.desc("cost_usd"), entity)
-        .limit(limit)
-    )
+    return summed.orderBy(F.desc("cost_usd"), entity).limit(limit)

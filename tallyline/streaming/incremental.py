@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyline.operators.cleaning import clean_events
 from tallyline.operators.flatten import flatten_batches
-from tallyline.operators.storage import save_events
+from tallyline.operators.storage import remove, save_events
 from tallyline.plans.quality import reject_rows
 from tallyline.schemas import NOT_NULL, TELEMETRY_EVENTS
 from tallyline.session import prepare
 from tallyline.sources.batches import number_lines
 
 REJECTS = "rejects"
+FLAT = "_flat"
+FILES_PER_BATCH = 10_000
+# Longer than any file's age; Spark's own limit drops files a week older than the newest.
+ANY_AGE = "36500d"
 
 
 def incremental_load(
@@ -24,19 +27,19 @@ def incremental_load(
     root: str,
     checkpoint: str,
     *,
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> StreamingQuery:
     """Append the events of files not seen before, then stop; call again for later files.
 
-    The checkpoint remembers the files. Should a batch be repeated after a failure, its
-    events are in the table already and are left out by their id, so each event is stored
-    once. Rows that cannot be loaded go to ``root/rejects``, one folder per batch.
+    The checkpoint remembers the files, whatever their times: files are never too old to be
+    loaded, and none is forgotten. Should a batch be repeated after a failure, its events
+    are in the table already and are left out by their id, so each event is stored once.
+    Rows that cannot be loaded go to ``root/rejects``, one folder per batch. A batch's
+    flattened rows are written once below ``root``, and read from there.
     """
     prepare(spark)
-    reader = spark.readStream.format("text")
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = reader.load(folder).select(
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.option("maxFileAge", ANY_AGE).load(folder).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_split"),
         "value",
@@ -44,13 +47,13 @@ def incremental_load(
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         numbered = number_lines(batch.withColumn("_row", F.monotonically_increasing_id()))
-        flat = flatten_batches(numbered).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            reject_rows(flat).write.mode("overwrite").parquet(f"{root}/{REJECTS}/batch={batch_id}")
-            loadable = clean_events(flat).dropna(subset=list(NOT_NULL[TELEMETRY_EVENTS]))
-            save_events(loadable, root, replace=False, on_duplicate="first")
-        finally:
-            flat.unpersist()
+        flattened = flatten_batches(numbered)
+        flattened.write.mode("overwrite").parquet(f"{root}/{FLAT}")
+        flat = spark.read.schema(flattened.schema).parquet(f"{root}/{FLAT}")
+        reject_rows(flat).write.mode("overwrite").parquet(f"{root}/{REJECTS}/batch={batch_id}")
+        loadable = clean_events(flat).dropna(subset=list(NOT_NULL[TELEMETRY_EVENTS]))
+        save_events(loadable, root, replace=False, on_duplicate="first")
+        remove(spark, f"{root}/{FLAT}")
 
     return (
         lines.writeStream.foreachBatch(absorb)

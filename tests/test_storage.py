@@ -88,6 +88,8 @@ def test_first_of_duplicates_is_kept(spark, folder, events):
     assert save_events(frame, folder, replace=False, on_duplicate="first") == 3
     rows = {r["event_id"]: r["model"] for r in load_table(spark, folder, "telemetry_events").collect()}
     assert rows == {"a": "old", "b": "first", "c": None, "d": None}
+    left_out = storage.recorded_repeats(spark, folder).orderBy("event_id").collect()
+    assert [(r["event_id"], r["line_number"], r["left_out"]) for r in left_out] == [("a", 3, 1), ("b", 2, 1), ("d", 5, 1)]
 
 
 def test_null_in_required_column_fails(spark, folder, events):
@@ -201,6 +203,26 @@ def test_incremental_load(spark, folder):
     assert [(r["batch"], r["line_number"], r["category"]) for r in rejects] == [(0, 2, "top_level_json"), (1, 1, "missing_required")]
 
 
+def test_incremental_load_of_old_files_and_bad_values(spark, folder):
+    """Files far older than others are loaded too, and a number out of range stops nothing."""
+    write_inputs(folder, batch(event(1)))
+    for days, number in ((6, 2), (8, 3), (4000, 4)):
+        path = f"{folder}/in/{number}.jsonl"
+        with open(path, "w") as file:
+            file.write(batch(event(number, duration_ms="1e30", success="perhaps")) + "\n")
+        then = os.stat(path).st_mtime - days * 86400
+        os.utime(path, (then, then))
+    incremental_load(spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress", files_per_batch=1).awaitTermination()
+    assert ids(spark, f"{folder}/out") == ["e1", "e2", "e3", "e4"]
+    path = f"{folder}/in/5.jsonl"
+    with open(path, "w") as file:
+        file.write(batch(event(5)) + "\n")
+    os.utime(path, (1_000_000_000, 1_000_000_000))
+    incremental_load(spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress").awaitTermination()
+    assert ids(spark, f"{folder}/out") == ["e1", "e2", "e3", "e4", "e5"]
+    assert not os.path.exists(f"{folder}/out/_flat")
+
+
 def test_incremental_batch_repeated_after_failure(spark, folder):
     """A lost checkpoint repeats every file; stored events are left out by their id."""
     write_inputs(folder, batch(event(1)))
