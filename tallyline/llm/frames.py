@@ -76,9 +76,15 @@ def sent(frame: DataFrame) -> DataFrame:
 
 
 def reliable(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and kept in the folder that all executors share."""
-    checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """The frame, computed once and written to the folder that all executors share.
+
+    A written table rather than a checkpoint: it is compressed, read by column, and its plan
+    doesn't inherit the constraints of what it was made from, which grow from round to round.
+    """
+    spark = frame.sparkSession
+    path = scratch(spark, "kept")
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 #: Rows that go to a worker at once where whole texts do; Spark's default is for short rows.

@@ -7,17 +7,20 @@ five words (one of all its words if it has fewer). Documents are linked if
 1. Documents with equal sets are one node. A node has 128 registers of 16 bits: the least
    hash in a bucket, as its count of leading zeros and its next ten bits.
 2. Banding: five registers make a key, 25 keys a node (two nodes at 0.85 share none with a
-   chance below 10^-6). In each bucket of nodes with one key, every node is paired with
-   one pivot only. The Jaccard estimate from the registers, corrected for chance
-   collisions, drops what can't be a link, nor near one; the rest is verified on full sets.
-3. Nodes near a pivot, but not linked with it, may be linked with others near it. For two
-   such nodes, the shingles in which each differs from the pivot have to overlap, by how
-   much is bounded (see beside_pivots). A prefix-filtered join over these shingles, the
-   rarest first, finds the pairs, which are verified too.
-4. Where a node is far from its pivot, those not linked with the pivot are dealt anew by
-   further registers, so that nodes alike meet without the strangers that share a hot
-   passage, until no two are left together. After the last round what is left together is
-   compared in full.
+   chance below 10^-6). In a bucket of up to eight nodes all pairs are compared, in a larger
+   one every node with one pivot only. The Jaccard estimate from the registers, corrected
+   for chance collisions, drops what lies five standard deviations below the threshold; the
+   rest is verified on full sets.
+3. Components are found. Buckets that still hold several are dealt anew by five further
+   registers, chosen by the bucket's key and in two ways (empty ones are filled from the
+   next, so that short texts differ as much as long ones). Strangers that share a hot
+   passage part, nodes alike meet again in smaller buckets or with another pivot, and pairs
+   of different components are compared as before.
+
+Nodes that share a small bucket, 11 of 25 on average at 0.85, are surely compared. A link
+can only be missed if all its buckets are large, none of their pivots connects the two, and
+so again for what the buckets part into: in groups of hundreds that are neither linked nor
+far from each other. Comparing these in full would take a pair for each two of a group.
 
 A group of copies is never expanded into pairs: equal sets are one node, and near copies
 cost a pair with each of their pivots.
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import words as W
@@ -49,12 +52,14 @@ BUCKETS = 128
 MANTISSA = 10
 BAND = 5
 BANDS = BUCKETS // BAND
-#: Rounds in which strangers are dealt anew, by how many registers, and in how many ways.
-ROUNDS, MORE, WAYS = 6, 4, 2
+#: Rounds of comparing; between them, by how many registers and in how many ways buckets part.
+ROUNDS, MORE, WAYS = 3, 5, 2
+#: Buckets of at most so many nodes are compared in full; a node of a larger one with its pivot.
+SMALL = 8
 #: Chance collisions of registers, at most: 0.17 * 2^(p - r) for 2^p buckets and r bits.
 COLLISIONS = 0.17 * BUCKETS / (1 << MANTISSA)
-#: Up to so many nodes (16 bytes each) a list of nodes is broadcast; beyond, it is shuffled.
-BROADCAST_NODES = 500_000
+#: Up to so many nodes (24 bytes each) a list of nodes is broadcast; beyond, it is shuffled.
+BROADCAST_NODES = 200_000
 
 
 def distinct_shingles(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +97,19 @@ def _registers_of(column: pa.Array | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, BUCKETS)
 
 
+def filled(held: np.ndarray) -> np.ndarray:
+    """Registers as wide numbers, in which an empty one repeats the next that isn't.
+
+    So each of a short text's registers tells as much as one of a long text: two of them
+    are equal with the chance that their sets' similarity is.
+    """
+    twice = np.concatenate([held, held], 1)
+    places = np.where(twice > 0, np.arange(2 * BUCKETS), 2 * BUCKETS)
+    following = np.minimum.accumulate(places[:, ::-1], 1)[:, ::-1][:, :BUCKETS] % BUCKETS
+    values = np.take_along_axis(held, following, 1).astype(np.uint64)
+    return (following.astype(np.uint64) << np.uint64(16)) | values
+
+
 def signatures(texts: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, s1, s2, n_shingles, registers) for each row of (doc_id, k1, k2, text).
 
@@ -148,7 +166,7 @@ def dealt_anew(rows: DataFrame, live: DataFrame) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = _registers_of(batch.column("registers"))
+            held = filled(_registers_of(batch.column("registers")))
             old = batch.column("key").to_numpy().view(np.uint64)
             keys = np.stack([W.mixed(old + np.uint64(way + 1)) for way in range(WAYS)], 1)
             row = np.arange(len(held))[:, None]
@@ -163,8 +181,8 @@ def dealt_anew(rows: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def _alike(percent: int):
-    """Whether two sets of registers may be those of linked nodes, or of a node near a pivot."""
-    link, near = percent / 100, max(percent / 50 - 1, 0)
+    """Whether two sets of registers may be those of linked nodes: five standard deviations."""
+    link = percent / 100
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -172,9 +190,7 @@ def _alike(percent: int):
         occupied = np.maximum(((x > 0) | (y > 0)).sum(1), 1)
         same = ((x == y) & (x > 0)).sum(1)
         estimate = (same - COLLISIONS) / occupied
-        # Five standard deviations below a link, three below what verified() calls near.
-        floors = [t - times * np.sqrt(t * (1 - t) / occupied) for t, times in ((link, 5), (near, 3))]
-        return pd.Series(estimate >= np.minimum(*floors) - COLLISIONS / occupied)
+        return pd.Series(estimate >= link - 5 * np.sqrt(link * (1 - link) / occupied) - COLLISIONS / occupied)
 
     return alike
 
@@ -191,16 +207,11 @@ def _few(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_NODES else frame
 
 
-def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, size, differ) of the pairs, from their whole texts, computed once.
-
-    size is that of b's set; differ has the shingles in which it differs from a's if the
-    two are near: so alike that a node linked with one may be linked with the other.
-    """
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are linked, by the full sets of their whole texts; computed once."""
     wanted = reliable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    texts = live.join(_few(wanted), "node").select("node", "text")
-    joined = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    near = 2 * percent - 100
+    known = texts.join(_few(wanted), "node").select("node", "text")
+    joined = pairs.join(known.toDF("b", "y"), "b").join(known.toDF("a", "x"), "a").select("a", "b", "x", "y")
 
     def sets(column: pa.Array) -> list[np.ndarray]:
         hashes, first = distinct_shingles(W.words(*text_bytes(column), W.UNSPACED))
@@ -208,102 +219,69 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "y"):
-            a = batch.column("a").to_numpy()
-            kinds, at, of_row = np.unique(a, return_index=True, return_inverse=True)
+            _, at, of_row = np.unique(batch.column("a").to_numpy(), return_index=True, return_inverse=True)
             xs, ys = sets(batch.column("x").take(pa.array(at))), sets(batch.column("y"))
-            linked, sizes, differ = [], [], []
+            linked = []
             for x, y in zip((xs[i] for i in of_row), ys, strict=True):
-                different = np.setxor1d(x, y, assume_unique=True)
-                # Twice the sizes of intersection and union.
-                both, either = len(x) + len(y) - len(different), len(x) + len(y) + len(different)
-                linked.append(100 * both >= percent * either)
-                sizes.append(len(y))
-                differ.append(different.view(np.int64) if 100 * both >= near * either else [])
-            columns = [batch.column("a"), batch.column("b"), pa.array(linked), pa.array(sizes, pa.int64())]
-            yield pa.record_batch([*columns, pa.array(differ, pa.list_(pa.int64()))], ["a", "b", "linked", "size", "differ"])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     with few_at_once(pairs.sparkSession):
-        return reliable(joined.mapInArrow(compare, "a long, b long, linked boolean, size long, differ array<long>"))
+        return reliable(joined.mapInArrow(compare, "a long, b long"))
 
 
-def beside_pivots(near: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may be linked: both near one pivot, and one of them not linked with it.
+def _pivot(turn: int) -> Column:
+    """One node of a bucket, another one in each turn."""
+    return F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot")
 
-    ``near`` is what verified() returns, for pivots. Let D(x) be what x and the pivot differ
-    in, x not linked with it, and y linked with x at t or more. Then D(x) and D(y) share
-    - more than t / 2 of D(y), as x is further from the pivot than from y,
-    - all of D(x) but (1 - t) / t of x's size, as more than that can't differ from y,
-    - half of what |D(x)| + |D(y)| exceeds (1 - t) / (1 + t) of both sizes by.
-    So they share one of the rarest of each, and enough that more than one of them has.
-    """
-    t = percent / 100
-    near = near.where(F.size("differ") > 0)
-    loose = near.where("NOT linked").select("a").distinct()
-    told = reliable(
-        near.join(loose, "a", "left_semi").select("a", "b", "linked", "size", F.explode("differ").alias("token"))
-    )
-    times = told.groupBy("a", "token").agg(F.count("*").alias("times")).where("times > 1")
-    most = F.floor(F.col("size") * ((1 - t) / t) + 1e-6)
-    half = F.when(F.col("linked"), F.floor(F.size("tokens") * (t / 2) - 1e-6) + 1).otherwise(1)
-    ranked = (
-        told.join(times, ["a", "token"], "left")
-        .groupBy("a", "b", "linked", "size")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "token"))).alias("tokens"))
-        .withColumn("needed", F.greatest(F.size("tokens") - most, half))
-        .withColumn("shared", F.size(F.filter("tokens", lambda x: x["times"] > 1)))
-        .where("shared >= needed")
-        .withColumn("prefix", F.slice("tokens", 1, (F.size("tokens") - F.col("needed") + 1).cast("int")))
-        .select("a", "b", "linked", "size", "shared", F.size("tokens").alias("d"), F.explode("prefix").alias("rare"))
-        .where("rare.times > 1")
-        .select("a", "b", "linked", "size", "shared", "d", "rare.token")
-    )
-    x = ranked.where("NOT linked").select("a", "token", *[F.col(c).alias(f"{c}_x") for c in ("b", "size", "shared", "d")])
-    y = ranked.select("a", "token", "linked", *[F.col(c).alias(f"{c}_y") for c in ("b", "size", "shared", "d")])
-    enough = f"2 * least(shared_x, shared_y) + 0.001 >= d_x + d_y - (size_x + size_y) * {(1 - t) / (1 + t)}"
-    alike = f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)"
-    fit = x.join(y, ["a", "token"]).where(f"{enough} AND {alike} AND (linked OR b_x < b_y)")
-    return fit.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
-
-
-def links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between linked nodes, enough of them to connect what is connected."""
-    pivot = F.min("node").alias("pivot"), F.count("*").alias("n")
-    shared = reliable(band_keys(nodes).groupBy("key").agg(*pivot).where("n > 1").select("key", "pivot"))
-    members = reliable(
-        band_keys(nodes, bloom_filter(shared, "key")).join(shared, "key").where("node <> pivot")
-    )
-    found = [nodes.sparkSession.createDataFrame([], "a long, b long, linked boolean, size long, differ array<long>")]
-    # Nodes that share a key with another one, with their texts, written once.
-    held = members.select("node").union(shared.select("pivot")).distinct()
-    keys = reliable(nodes.select("node", "k1", "k2", "registers").join(held, "node", "left_semi"))
-    place = scratch(nodes.sparkSession, "near-duplicates")
-    once = texts.join(_few(keys), ["k1", "k2"]).select("node", "registers", "text").dropDuplicates(["node"])
+
+def linked_nodes(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the nodes that have links; a label stands for a component."""
+    spark = nodes.sparkSession
+    shared = reliable(band_keys(nodes).groupBy("key").agg(_pivot(0), F.count("*").alias("n")).where("n > 1"))
+    rows = reliable(band_keys(nodes, bloom_filter(shared, "key")).join(shared, "key"))
+    # Nodes that share a key with another one; their texts are written once.
+    live = reliable(nodes.select("node", "k1", "k2", "registers").join(rows.select("node").distinct(), "node", "left_semi"))
+    place = scratch(spark, "near-duplicates")
+    once = texts.join(_few(live.select("node", "k1", "k2")), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
     once.write.parquet(place)
-    live = nodes.sparkSession.read.schema("node long, registers binary, text string").parquet(place)
+    texts = spark.read.schema("node long, text string").parquet(place)
+    edges = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "node long, label long")
     for turn in range(ROUNDS):
-        if members.isEmpty():
-            break
-        if turn + 1 < ROUNDS:
-            pairs = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        else:  # whatever is still together, however few or many
-            other = members.select("key", F.col("node").alias("other"))
-            apart = members.join(other, "key").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-            pairs = apart.union(members.select("pivot", "node")).distinct()
-        near = verified(reliable(estimated(pairs, live, percent)), live, percent)
-        found.append(near)
+        pairs = _pairs(rows, labels)
+        edges = reliable(edges.union(verified(reliable(estimated(pairs, live, percent)), texts, percent)))
+        labels = components(edges)
         if turn + 1 < ROUNDS:
-            told = near.where(F.size("differ") > 0).select(F.col("a").alias("pivot"), F.col("b").alias("node"), "linked")
-            placed = reliable(members.join(told, ["pivot", "node"], "left").where("linked IS NULL OR NOT linked"))
-            # Pairs near one pivot are found beside it; others are where a node is far from it.
-            open_keys = placed.where("linked IS NULL").select("key").distinct()
-            rows = reliable(dealt_anew(placed.join(open_keys, "key", "left_semi").select("key", "node"), live))
-            members = reliable(rows.join(rows.groupBy("key").agg(*pivot).where("n > 1").select("key", "pivot"), "key").where("node <> pivot"))
-    near = found[0]
-    for part in found[1:]:
-        near = near.union(part)
-    beside = reliable(estimated(beside_pivots(near, percent), live, percent))
-    more = verified(beside, live, percent)
-    return near.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+            told = reliable(_labelled(rows.select("key", "node"), labels))
+            several = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+            dealt = reliable(dealt_anew(told.join(several.select("key"), "key", "left_semi").select("key", "node"), live))
+            again = dealt.groupBy("key").agg(_pivot(turn + 1), F.count("*").alias("n")).where("n > 1")
+            rows = reliable(dealt.join(again, "key"))
+            if rows.isEmpty():
+                break
+    return labels
+
+
+def _labelled(frame: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """The frame with the component of a node, which is the node itself where it has no link."""
+    joined = frame.join(labels.toDF(node, label), node, "left")
+    return joined.withColumn(label, F.coalesce(label, node))
+
+
+def _pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) to compare, of different components.
+
+    In a small bucket that is all pairs, in a larger one each node with the pivot.
+    """
+    told = _labelled(rows, labels)
+    first = told.where(f"n <= {SMALL}").select("key", F.col("node").alias("a"), F.col("label").alias("of_a"))
+    small = told.join(first, "key").where("a < node AND of_a <> label")
+    large = _labelled(told.where(f"n > {SMALL}").withColumnRenamed("pivot", "a"), labels, "a", "of_a")
+    pairs = large.where("a <> node AND of_a <> label").select("a", F.col("node").alias("b"))
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return ordered.union(small.select("a", F.col("node").alias("b"))).distinct()
 
 
 def near_duplicates(frame: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -326,7 +304,7 @@ def near_duplicates(frame: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .select("s1", "s2", "first", "first.k1", "first.k2", "registers")
         .withColumn("node", F.monotonically_increasing_id())
     )
-    labels = components(links(nodes, texts, percent))
+    labels = linked_nodes(nodes, texts, percent)
     firsts = labels.join(nodes.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("of_group"))
     linked = labels.join(firsts, "label").select("node", "of_group")
     of_set = nodes.select("node", "s1", "s2", "first").join(linked, "node", "left").select(

@@ -108,7 +108,7 @@ def _told(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
     return pa.record_batch(columns, ["path", "records", "bytes"])
 
 
-def write_archives(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Write (page_id, url, payload, refers_to) as archives of one gzip stream each.
 
     Returns (path, records, bytes) of each file, computed once.
@@ -207,7 +207,7 @@ def _normalised(system: pafs.FileSystem, source: str, target: str, level: int) -
     return count, at
 
 
-def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
+def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Rewrite the archives of (path): a gzip member for each record, and a sidecar index.
 
     Returns (path, records, bytes) of each new file; its index is ``path`` and ``.idx``.
