@@ -1,13 +1,13 @@
 """License scan: notices by sparse TF-IDF cosine to templates, and inheritance by directory.
 
 A file's text is cut into segments (lines, and sentences in them). A segment's words are
-weighed by their count and by how few templates have them, and compared with each template
+weighed by their count and by how few templates have them (common English words aside), and compared with each template
 by cosine. A file named like a licence file is also compared as a whole. The best
 comparison of a file counts if it reaches ``least``. A file without a licence of its own
 takes that of the licence file in its nearest directory upwards.
 
-Only segments that can reach ``least`` are weighed: for each template, its heaviest words
-are taken until those left have less than ``least`` of its length. By the inequality of
+Only segments that can reach ``least`` are weighed: for each template, words are taken, short
+ones last, until those left have less than ``least`` of its length. By the inequality of
 Cauchy and Schwarz, a segment with none of the taken words can't reach ``least``. One
 regular expression over these words, made from the templates, is asked first.
 
@@ -39,6 +39,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEGMENT_END = r"\n|(?<=[.;!?])\s+"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
+# English words that most texts have; they are not weighed.
+COMMON = frozenset(
+    "a all an and any are as at be been by can for from had has have he her his if in into is it its may more no not of"
+    " on one or other our out she so some such that the their them then there these they this those to under up use was"
+    " we were what when which who will with without would you your".split()
+)
+
 # Usual notices, by SPDX identifier.
 NOTICES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -77,7 +84,8 @@ TEMPLATES = {name: (*texts, f"SPDX-License-Identifier: {name}") for name, texts
 
 
 def _words(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
+    found = re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
+    return [word for word in found if word not in COMMON]
 
 
 class Weights:
@@ -98,7 +106,8 @@ class Weights:
             length = math.sqrt(sum(w * w for w in weights.values()))
             self.rows += [(number, name, word, w / length) for word, w in weights.items()]
             left = 1.0
-            for word, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+            # Any words will do whose rest is light enough; short ones are taken last.
+            for word, w in sorted(weights.items(), key=lambda x: (len(x[0]) < 3, -x[1], x[0])):
                 if left < least**2 - 1e-9:
                     break
                 needed.add(word)
@@ -128,12 +137,14 @@ def directory(path: Column) -> Column:
 def own_licenses(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     """(k1, k2, license, cosine) of the files (k1, k2, path, text) that have a licence themselves."""
     spark = files.sparkSession
-    able = files.where(F.col("text").rlike(weights.needed)).dropDuplicates(["k1", "k2"])
+    # Rows equal in path and text count all words as often, which leaves cosines as they are.
+    able = files.where(F.col("text").rlike(weights.needed))
     cut = able.select("k1", "k2", F.posexplode(F.split("text", SEGMENT_END)).alias("segment", "part"))
     whole = able.where(F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAME))
     parts = cut.where(F.col("part").rlike(weights.needed)).union(whole.select("k1", "k2", F.lit(-1), "text"))
     tokens = F.regexp_extract_all(F.translate("part", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0))
-    counted = parts.select("k1", "k2", "segment", F.explode(tokens).alias("token")).groupBy("k1", "k2", "segment", "token")
+    exploded = parts.select("k1", "k2", "segment", F.explode(tokens).alias("token")).where(~F.col("token").isin(*sorted(COMMON)))
+    counted = exploded.groupBy("k1", "k2", "segment", "token")
     vocabulary, templates = weights.words(spark), weights.frame(spark)
     weighed = counted.count().join(F.broadcast(vocabulary), "token", "left").select(
         "k1", "k2", "segment", "token", (F.col("count") * F.coalesce("idf", F.lit(weights.unknown))).alias("w")

@@ -286,6 +286,7 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
 def _license_sql() -> str:
     weights = licenses.Weights(licenses.TEMPLATES, licenses.LEAST)
     words = ", ".join(f"('{t}', {w!r}e0)" for t, w in weights.idf.items())
+    common = ", ".join(f"'{word}'" for word in sorted(licenses.COMMON))
     rows = ", ".join(f"({i}, '{n}', '{t}', {w!r}e0)" for i, n, t, w in weights.rows)
     file_name = "regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$')"
     return f"""
@@ -301,7 +302,7 @@ seg AS (
   SELECT s, doc_id, unnest(regexp_extract_all(translate(part, {_TRANSLATED}), '[a-z0-9]+')) AS token FROM seg
 ), tf AS (
   SELECT s, doc_id, tok.token, count(*) * coalesce(max(idf.idf), {weights.unknown!r}e0) AS w
-  FROM tok LEFT JOIN idf ON tok.token = idf.token GROUP BY s, doc_id, tok.token
+  FROM tok LEFT JOIN idf ON tok.token = idf.token WHERE tok.token NOT IN ({common}) GROUP BY s, doc_id, tok.token
 ), len AS (SELECT s, sqrt(sum(w * w)) AS length FROM tf GROUP BY s),
 dot AS (
   SELECT s, doc_id, template, license, sum(w * weight) AS product FROM tf JOIN tmpl ON tf.token = tmpl.token
