@@ -185,20 +185,32 @@ register(
       WHEN 27 THEN '{flatten.MESSAGE_UNREADABLE}' WHEN 37 THEN '{flatten.MESSAGE_NOT_OBJECT}' END AS parse_error
     FROM good UNION ALL SELECT line + 1, NULL, NULL, TRUE, line_error FROM bad""",
 )
+def _event_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Each event's own fields; its raw message whole if it is no document, else what that holds."""
+    rows = flat(spark, folder).filter("event_index IS NOT NULL")
+    raw_text = F.col("raw_message")
+    held = {"body": "$.body", "session": "$.attributes['session.id']", "tokens": "$.attributes.output_tokens",
+            "arch": "$.resource['host.arch']", "scope": "$.scope.version"}
+    return rows.select(
+        "line_number", "event_index", "event_id", "outer_timestamp_ms",
+        F.when(F.col("is_malformed"), raw_text).alias("raw_message"),
+        *[F.when(~F.col("is_malformed"), F.get_json_object(raw_text, path)).alias(f"raw_{name}") for name, path in held.items()],
+    )
+
+
 register(
     "event_context",
-    lambda spark, folder: flat(spark, folder)
-    .filter("event_index IS NOT NULL")
-    .select(
-        "line_number", "event_index", "event_id", "outer_timestamp_ms",
-        F.substring("raw_message", 1, 2).alias("raw_message_start"),
-    ),
+    _event_context,
     SOURCE_SQL
     + """SELECT line + 1 AS line_number, idx AS event_index, CASE WHEN spot NOT IN (7, 21) THEN event_id END AS event_id,
     CASE WHEN spot NOT IN (7, 17) THEN CAST(outer_timestamp_ms AS STRING) END AS outer_timestamp_ms,
-    CASE spot WHEN 7 THEN '5' WHEN 17 THEN '12' WHEN 37 THEN '[1' ELSE '{"' END AS raw_message_start
-    FROM good""",
-)
+    CASE spot WHEN 7 THEN '5' WHEN 17 THEN '12' WHEN 37 THEN '[1]'
+      WHEN 27 THEN left('{"body":"telemetry.' || event_name || '","attributes":{"event.timestamp":"', 40) END AS raw_message,
+    CASE WHEN r THEN 'telemetry.' || event_name END AS raw_body, CASE WHEN f THEN session_id END AS raw_session,
+    CASE WHEN f THEN CAST(output_tokens AS STRING) END AS raw_tokens, CASE WHEN f THEN 'arm64' END AS raw_arch,
+    CASE WHEN f THEN '1.0' END AS raw_scope
+    FROM (SELECT *, spot NOT IN (7, 17, 27, 37) AS r, spot NOT IN (7, 17, 27, 37, 47) AS f FROM good)""",
+)
 register(
     "extract_message_fields",
     lambda spark, folder: flat(spark, folder)

@@ -18,12 +18,16 @@ from tallyline.streaming.incremental import incremental_load
 register(
     "raw_log_batches",
     lambda spark, folder: quality.raw_log_batches(raw(spark, folder)).select(
-        "batch_id", "line_number", "message_type", "owner", "log_group", "log_stream", "year", "month", "day", "event_count"
+        "batch_id", "line_number", "message_type", "owner", "log_group", "log_stream", "subscription_filters",
+        "year", "month", "day", "event_count", F.substring_index("raw_json", "logEvents", 1).alias("raw_head"),
     ),
     SOURCE_SQL
     + f"""SELECT sha256('sample:' || (line + 1)) AS batch_id, line + 1 AS line_number,
     CASE WHEN ok THEN 'DATA_MESSAGE' END AS message_type, CASE WHEN ok THEN 'owner-1' END AS owner,
     CASE WHEN ok THEN '/telemetry' END AS log_group, CASE WHEN ok THEN 'main' END AS log_stream,
+    CASE WHEN ok THEN '["all"]' END AS subscription_filters,
+    CASE rule WHEN 15 THEN '' WHEN 18 THEN '[1]' ELSE '{{"messageType":"DATA_MESSAGE","owner":"owner-1","logGroup":"/telemetry",'
+      || '"logStream":"main","subscriptionFilters":["all"],"year":"2024","month":1,"day":2,"' END AS raw_head,
     CASE WHEN ok THEN 2024 END AS year, CASE WHEN ok THEN 1 END AS month, CASE WHEN ok THEN 2 END AS day,
     CASE WHEN rule = 9 THEN 0 WHEN ok AND rule <> 6 THEN c END AS event_count
     FROM (SELECT line, rule, CAST(count(*) AS INT) AS c, rule NOT IN (3, 12, 15, 18) AS ok FROM s GROUP BY line, rule)""",
