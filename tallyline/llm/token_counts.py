@@ -50,7 +50,7 @@ def frequent_lengths(texts: DataFrame, tokenizer: str, size: int = FREQUENT) ->
     counts = texts.mapInArrow(summarise, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     top = [r.piece for r in counts.orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()]
     encoder = Encoder(tokenizer, value=len, join=sum)
-    return {piece: encoder._of_piece(piece) for piece in top}
+    return {piece: encoder.of_piece(piece) for piece in top}
 
 
 def count_tokens(

@@ -15,7 +15,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable
-from itertools import chain, islice
+from itertools import islice
 from typing import Any
 
 import tokenizers
@@ -90,6 +90,18 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class _Values(dict):
+    """Values of pre-tokens; one that is missing is made when it is asked for."""
+
+    def __init__(self, make: Callable[[str], Any], held: Iterable[tuple[str, Any]] = ()):
+        super().__init__(held)
+        self.make = make
+
+    def __missing__(self, piece: str) -> Any:
+        value = self[piece] = self.make(piece)
+        return value
+
+
 class Encoder:
     """Encodes texts with the tokenizer of the given file's content; one for each worker.
 
@@ -107,7 +119,7 @@ class Encoder:
         self.cut = _cutter(settings)
         self.special = [t["content"] for t in settings["added_tokens"]]
         self.known, self.value, self.join, self.cached = known or {}, value, join, cached
-        self.cache: dict[str, Any] = {}
+        self.cache = _Values(self._of_piece)
 
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens of a text; None if the library has to encode it whole."""
@@ -116,18 +128,24 @@ class Encoder:
         return self.cut(text)
 
     def _of_piece(self, piece: str) -> Any:
+        if piece in self.known:
+            return self.known[piece]
+        return self.of_piece(piece)
+
+    def of_piece(self, piece: str) -> Any:
+        """What the library makes of one pre-token."""
         named = piece.encode().decode("latin-1").translate(_NAMES)
         return self.value([t.id for t in self.library.model.tokenize(named)])
 
     def encode(self, texts: list[str]) -> list[Any]:
         """The result of each text."""
-        cut = [self.pieces(t) for t in texts]
         if len(self.cache) > self.cached:
-            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
-        cache, known = self.cache, self.known
-        for piece in set(chain.from_iterable(c for c in cut if c)):
-            if piece not in cache:
-                cache[piece] = known[piece] if piece in known else self._of_piece(piece)
-        get = cache.__getitem__
-        whole = iter(self.library.encode_batch([t for t, c in zip(texts, cut, strict=True) if c is None], add_special_tokens=False))
-        return [self.value(next(whole).ids) if c is None else self.join(map(get, c)) for c in cut]
+            self.cache = _Values(self._of_piece, islice(self.cache.items(), len(self.cache) // 2, None))
+        get, out = self.cache.__getitem__, []
+        for text in texts:
+            cut = self.pieces(text)
+            if cut is None:
+                out.append(self.value(self.library.encode(text, add_special_tokens=False).ids))
+            else:
+                out.append(self.join(map(get, cut)))
+        return out
