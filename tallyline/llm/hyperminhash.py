@@ -11,7 +11,7 @@ five words (one of all its words if it has fewer). Documents are linked if
    one every node with one pivot only. The Jaccard estimate from the registers, corrected
    for chance collisions, drops what lies five standard deviations below the threshold; the
    rest is verified on full sets.
-3. Components are found. Buckets that still hold several are dealt anew by five further
+3. Components are found. Larger buckets that still hold several are dealt anew by five further
    registers, chosen by the bucket's key and in three ways (empty ones are filled from the
    next, so that short texts differ as much as long ones). Strangers that share a hot
    passage part; nodes at 0.85 stay together with a chance of 0.83 in each of the 11 buckets
@@ -39,7 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import words as W
@@ -254,6 +254,7 @@ def linked_nodes(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     for turn in range(ROUNDS):
         if turn == 0:
             found = verified(reliable(estimated(_pairs(rows, labels), live, percent)), texts, percent)
+            rows = rows.where(f"n > {SMALL}")
         else:
             full = rows if turn + 1 == ROUNDS else rows.where(f"n <= {BLOCK}")
             found = compared(full, live, texts, percent)
