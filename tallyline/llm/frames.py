@@ -18,7 +18,7 @@ from tallyline.session import checkpoint_folder
 
 # Texts are handled in slices of about this many bytes, so that a batch of long texts
 # needs no more memory than a batch of short ones. A longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 800_000
 
 
 def quoted(name: str) -> str:

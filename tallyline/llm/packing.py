@@ -33,7 +33,7 @@ from tallyline.llm.tokenizing import Encoder, packed
 
 CAPACITY = 4096
 GROUP = 1024
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 1_500_000
 _NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
 

@@ -23,7 +23,7 @@ import tokenizers
 #: Code points of the ranges that are cut here: Latin, Greek, Cyrillic, punctuation.
 RANGES = ((0x0000, 0x0300), (0x0370, 0x0530), (0x2000, 0x2061))
 #: A worker forgets the older half of its cache beyond so many pre-tokens (about 200 bytes each).
-CACHED = 800_000
+CACHED = 300_000
 
 
 def _plain(code: int) -> bool:
