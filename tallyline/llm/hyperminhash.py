@@ -6,22 +6,21 @@ five words (one of all its words if it has fewer). Documents are linked if
 
 1. Documents with equal sets are one node. A node has 128 registers of 16 bits: the least
    hash in a bucket, as its count of leading zeros and its next ten bits.
-2. Banding: five registers make a key, 25 keys a node (two nodes at 0.85 share none with a
-   chance below 10^-6). In a bucket of up to eight nodes all pairs are compared, in a larger
-   one every node with one pivot only. The Jaccard estimate from the registers, corrected
-   for chance collisions, drops what lies five standard deviations below the threshold; the
-   rest is verified on full sets.
-3. Components are found. Larger buckets that still hold several are dealt anew by five further
-   registers, chosen by the bucket's key and in three ways (empty ones are filled from the
-   next, so that short texts differ as much as long ones). Strangers that share a hot
-   passage part; nodes at 0.85 stay together with a chance of 0.83 in each of the 11 buckets
-   they share on average.
-4. What is left together, up to 256 nodes, is compared in full inside a task; pairs that are
-   connected already are left out, and only edges leave the task. Larger buckets are dealt
-   anew up to twice more, and then compared in full in blocks.
-
-So two linked nodes are only missed if no bucket keeps them together: with a chance below
-10^-6 where buckets have up to 256 nodes after the first dealing.
+2. Banding: five registers make a key, 25 keys a node. Two nodes that are just linked share
+   none with a chance of 4 * 10^-7 at 85 percent and 5 * 10^-5 at 80. In a bucket of up to
+   eight nodes all pairs are compared, in a larger one every node with one pivot at first.
+   The Jaccard estimate from the registers, corrected for chance collisions, drops what lies
+   five standard deviations below the threshold; the rest is verified on full sets.
+3. Components are found. In larger buckets that still hold several, the registers of all
+   pairs are compared, block by block, but for pairs that are connected already or whose sets
+   differ too much in size. A pair counts in the first bucket that it shares only.
+4. Nodes that have a pair above the estimate's floor are compared in full inside tasks, block
+   by block; only edges leave the task.
+
+So every pair that shares a bucket is compared or connected already, however large the
+bucket: two linked nodes are only missed by banding or by the estimate's floor. The work of
+step 3 grows with the square of a bucket that holds strangers, that of step 4 with the square
+of a group whose members are neither linked nor far from each other.
 
 A group of copies is never expanded into pairs: equal sets are one node, and near copies
 cost a pair with each of their pivots.
@@ -53,12 +52,10 @@ BUCKETS = 128
 MANTISSA = 10
 BAND = 5
 BANDS = BUCKETS // BAND
-#: Rounds; between them, by how many registers and in how many ways buckets part.
-ROUNDS, MORE, WAYS = 4, 5, 3
 #: Buckets of at most so many nodes are compared in full at once; a node of a larger one with its pivot.
 SMALL = 8
-#: Nodes of a bucket that are compared in full inside a task, once strangers have parted.
-BLOCK = 256
+#: Nodes of a block: where registers are compared, and where full sets are.
+NEAR, BLOCK = 1024, 256
 #: Chance collisions of registers, at most: 0.17 * 2^(p - r) for 2^p buckets and r bits.
 COLLISIONS = 0.17 * BUCKETS / (1 << MANTISSA)
 #: Up to so many nodes (24 bytes each) a list of nodes is broadcast; beyond, it is shuffled.
@@ -100,19 +97,6 @@ def _registers_of(column: pa.Array | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, BUCKETS)
 
 
-def filled(held: np.ndarray) -> np.ndarray:
-    """Registers as wide numbers, in which an empty one repeats the next that isn't.
-
-    So each of a short text's registers tells as much as one of a long text: two of them
-    are equal with the chance that their sets' similarity is.
-    """
-    twice = np.concatenate([held, held], 1)
-    places = np.where(twice > 0, np.arange(2 * BUCKETS), 2 * BUCKETS)
-    following = np.minimum.accumulate(places[:, ::-1], 1)[:, ::-1][:, :BUCKETS] % BUCKETS
-    values = np.take_along_axis(held, following, 1).astype(np.uint64)
-    return (following.astype(np.uint64) << np.uint64(16)) | values
-
-
 def signatures(texts: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, s1, s2, n_shingles, registers) for each row of (doc_id, k1, k2, text).
 
@@ -146,17 +130,22 @@ def _keyed(nodes: pa.Array, keys: np.ndarray, held: np.ndarray) -> pa.RecordBatc
     return pa.record_batch([pa.array(keys[held].view(np.int64)), nodes.take(pa.array(row))], ["key", "node"])
 
 
+def _bands(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each row and band, and whether the band has a register that is not empty."""
+    held = held[:, : BANDS * BAND].reshape(-1, BANDS, BAND)
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), held.shape[:2])
+    for i in range(BAND):
+        keys = W.mixed(keys ^ held[:, :, i])
+    return keys, held.any(axis=2)
+
+
 def band_keys(nodes: DataFrame, among: np.ndarray | None = None) -> DataFrame:
     """(key, node): a key for each band that is not empty; only those that pass a filter, if given."""
     shared = None if among is None else nodes.sparkSession.sparkContext.broadcast(among)
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = _registers_of(batch.column("registers"))[:, : BANDS * BAND].reshape(-1, BANDS, BAND)
-            keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), held.shape[:2])
-            for i in range(BAND):
-                keys = W.mixed(keys ^ held[:, :, i])
-            told = held.any(axis=2)
+            keys, told = _bands(_registers_of(batch.column("registers")))
             if shared is not None:
                 told &= maybe(shared.value, keys.ravel()).reshape(keys.shape)
             yield _keyed(batch.column("node"), keys, told)
@@ -164,25 +153,6 @@ def band_keys(nodes: DataFrame, among: np.ndarray | None = None) -> DataFrame:
     return nodes.select("node", "registers").mapInArrow(band, "key long, node long")
 
 
-def dealt_anew(rows: DataFrame, live: DataFrame) -> DataFrame:
-    """(key, node) with WAYS finer keys for each row: its key and MORE registers named by it."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = filled(_registers_of(batch.column("registers")))
-            old = batch.column("key").to_numpy().view(np.uint64)
-            keys = np.stack([W.mixed(old + np.uint64(way + 1)) for way in range(WAYS)], 1)
-            row = np.arange(len(held))[:, None]
-            first = (keys % np.uint64(BUCKETS)).astype(np.int64)
-            for i in range(MORE):
-                keys = W.mixed(keys ^ held[row, (first + 37 * i) % BUCKETS])
-            yield _keyed(batch.column("node"), keys, np.ones(keys.shape, bool))
-
-    return rows.join(live.select("node", "registers"), "node").select("key", "node", "registers").mapInArrow(
-        deal, "key long, node long"
-    )
-
-
 def _likely(percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Whether registers (rows) may be those of linked nodes: five standard deviations."""
     link = percent / 100
@@ -244,62 +214,96 @@ def linked_nodes(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     shared = reliable(band_keys(nodes).groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
     rows = reliable(band_keys(nodes, bloom_filter(shared, "key")).join(shared, "key"))
     # Nodes that share a key with another one; their texts are written once.
-    live = reliable(nodes.select("node", "k1", "k2", "registers").join(rows.select("node").distinct(), "node", "left_semi"))
+    live = reliable(nodes.select("node", "k1", "k2", "n_shingles", "registers").join(rows.select("node").distinct(), "node", "left_semi"))
     place = scratch(spark, "near-duplicates")
     once = texts.join(_few(live.select("node", "k1", "k2")), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
     once.write.parquet(place)
     texts = spark.read.schema("node long, text string").parquet(place)
-    edges = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-    for turn in range(ROUNDS):
-        if turn == 0:
-            found = verified(reliable(estimated(_pairs(rows, labels), live, percent)), texts, percent)
-            rows = rows.where(f"n > {SMALL}")
-        else:
-            full = rows if turn + 1 == ROUNDS else rows.where(f"n <= {BLOCK}")
-            found = compared(full, live, texts, percent)
-            rows = rows.where(f"n > {BLOCK}")
-        edges = reliable(edges.union(found))
-        labels = components(edges)
-        if turn + 1 < ROUNDS:
-            dealt = reliable(dealt_anew(_unsettled(rows, labels).select("key", "node"), live))
-            again = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-            rows = reliable(_unsettled(dealt.join(again, "key"), labels))
-            if rows.isEmpty():
-                break
-    return labels
+    edges = verified(reliable(estimated(_pairs(rows), live, percent)), texts, percent)
+    labels = components(edges)
+    rows = reliable(_unsettled(rows.where(f"n > {SMALL}"), labels))
+    if rows.isEmpty():
+        return labels
+    near = reliable(near_nodes(rows, live, percent))
+    return components(reliable(edges.union(compared(near, live, texts, percent))))
 
 
 def _unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, with each node's label."""
-    told = reliable(_labelled(rows.drop("label"), labels))
+    told = reliable(_labelled(rows, labels))
     several = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     return told.join(several.select("key"), "key", "left_semi")
 
 
-def compared(rows: DataFrame, live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what is linked in each bucket of (key, node, label, n); computed once.
+def _in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(key, node, label, low, high): each row of (key, node, label, n) with each block of its bucket.
 
-    Nodes of a bucket are compared with each other inside a task, blocks of about BLOCK at
-    a time; pairs that are connected already are left out. Only edges leave the task.
+    Blocks have about ``size`` nodes; (low, high) names two of them, or one twice.
     """
-    blocks = F.ceil(F.col("n") / BLOCK)
+    blocks = F.ceil(F.col("n") / size)
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn(
         "other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
     )
-    placed = dealt.select("key", "node", "label", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    joined = placed.join(live.select("node", "registers"), "node").join(texts, "node")
+    return dealt.select("key", "node", "label", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+
+
+def _earlier(held: np.ndarray, key: int) -> np.ndarray:
+    """Each row's keys of the bands before that of ``key``; an empty band's differ from row to row."""
+    keys, told = _bands(held)
+    band = int(np.flatnonzero(told[0] & (keys[0].view(np.int64) == key))[0])
+    return np.where(told, keys, np.arange(len(keys), dtype=np.uint64)[:, None])[:, :band]
+
+
+def near_nodes(rows: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """(key, node, label, n) of the nodes of (key, node, label, n) that have a pair to compare in full.
+
+    The pair's estimate and sizes can be those of a link, it isn't connected, and the bucket is
+    the first one that it shares. n counts the nodes that are left in a bucket.
+    """
+    joined = _in_blocks(rows, NEAR).join(live.select("node", "n_shingles", "registers"), "node")
+    likely = _likely(percent)
+
+    def near(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        label, many = group.column("label").to_numpy(), group.column("n_shingles").to_numpy()
+        held = _registers_of(group.column("registers").chunk(0))
+        earlier = _earlier(held, group.column("key")[0].as_py())
+        chosen = np.zeros(len(label), bool)
+        for i in range(1, len(label)):
+            small, large = np.minimum(many[:i], many[i]), np.maximum(many[:i], many[i])
+            others = np.flatnonzero((label[:i] != label[i]) & (100 * small >= percent * large))
+            others = others[likely(held[others], held[i])]
+            others = others[~(earlier[others] == earlier[i]).any(1)]
+            chosen[others] = True
+            chosen[i] |= len(others) > 0
+        return group.select(["key", "node", "label"]).filter(pa.array(chosen))
+
+    found = joined.groupBy("key", "low", "high").applyInArrow(near, "key long, node long, label long")
+    found = reliable(found.distinct())
+    return found.join(found.groupBy("key").agg(F.count("*").alias("n")), "key")
+
+
+def compared(rows: DataFrame, live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what is linked in each bucket of (key, node, label, n); computed once.
+
+    Nodes of a bucket are compared with each other inside a task, blocks of about BLOCK at
+    a time; pairs that are connected already, or meet in an earlier bucket too, are left
+    out. Only edges leave the task.
+    """
+    joined = _in_blocks(rows, BLOCK).join(live.select("node", "registers"), "node").join(texts, "node")
     likely = _likely(percent)
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         nodes, label = group.column("node").to_numpy(), group.column("label").to_numpy().copy()
-        held = _registers_of(group.column("registers").chunk(0))
         hashes, first = distinct_shingles(W.words(*text_bytes(group.column("text").chunk(0)), W.UNSPACED))
+        held = _registers_of(group.column("registers").chunk(0))
+        earlier = _earlier(held, group.column("key")[0].as_py())
         edges = []
         for i in range(len(nodes)):
             others = np.flatnonzero(label[:i] != label[i])
             x = hashes[first[i] : first[i + 1]]
+            others = others[~(earlier[others] == earlier[i]).any(1)]
             for j in others[likely(held[others], held[i])]:
                 if label[j] != label[i]:
                     y = hashes[first[j] : first[j + 1]]
@@ -313,24 +317,21 @@ def compared(rows: DataFrame, live: DataFrame, texts: DataFrame, percent: int) -
     return reliable(joined.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long"))
 
 
-def _labelled(frame: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+def _labelled(frame: DataFrame, labels: DataFrame) -> DataFrame:
     """The frame with the component of a node, which is the node itself where it has no link."""
-    joined = frame.join(labels.toDF(node, label), node, "left")
-    return joined.withColumn(label, F.coalesce(label, node))
+    return frame.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) to compare, of different components.
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) to compare at first.
 
     In a small bucket that is all pairs, in a larger one each node with the pivot.
     """
-    told = _labelled(rows, labels)
-    first = told.where(f"n <= {SMALL}").select("key", F.col("node").alias("a"), F.col("label").alias("of_a"))
-    small = told.join(first, "key").where("a < node AND of_a <> label")
-    large = _labelled(told.where(f"n > {SMALL}").withColumnRenamed("pivot", "a"), labels, "a", "of_a")
-    pairs = large.where("a <> node AND of_a <> label").select("a", F.col("node").alias("b"))
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return ordered.union(small.select("a", F.col("node").alias("b"))).distinct()
+    first = rows.where(f"n <= {SMALL}").select("key", F.col("node").alias("a"))
+    small = rows.join(first, "key").where("a < node")
+    large = rows.where(f"n > {SMALL} AND pivot <> node")
+    pairs = large.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    return pairs.union(small.select("a", F.col("node").alias("b"))).distinct()
 
 
 def near_duplicates(frame: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -349,8 +350,8 @@ def near_duplicates(frame: DataFrame, doc_id: str = "doc_id", text: str = "text"
     nodes = reliable(
         signed.where("s1 IS NOT NULL")
         .groupBy("s1", "s2")
-        .agg(F.min(place).alias("first"), F.first("registers").alias("registers"))
-        .select("s1", "s2", "first", "first.k1", "first.k2", "registers")
+        .agg(F.min(place).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+        .select("s1", "s2", "first", "first.k1", "first.k2", "n_shingles", "registers")
         .withColumn("node", F.monotonically_increasing_id())
     )
     labels = linked_nodes(nodes, texts, percent)

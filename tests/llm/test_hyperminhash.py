@@ -5,7 +5,16 @@ import numpy as np
 import pytest
 
 from tallyline.llm import words as W
-from tallyline.llm.hyperminhash import BUCKETS, distinct_shingles, keep_one, near_duplicates, registers
+from tallyline.llm.hyperminhash import (
+    BAND,
+    BANDS,
+    BUCKETS,
+    distinct_shingles,
+    keep_one,
+    linked_nodes,
+    near_duplicates,
+    registers,
+)
 from .conftest import union_find
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,3 +116,25 @@ def test_a_large_group_of_copies_keeps_one(spark):
         "id AS doc_id", near + "' of them that differ in nothing but their last word, which is ', id % 5) AS text"
     )
     assert [r.doc_id for r in keep_one(frame).collect()] == [0]
+
+
+def test_all_pairs_of_a_large_bucket_are_compared(spark):
+    """All 600 nodes share one bucket; each is linked to one other, which it meets in no other bucket."""
+    rng = np.random.default_rng(3)
+    nodes, texts = [], []
+    for pair in range(300):
+        held = rng.integers(1, 1 << 16, BUCKETS).astype(np.uint16)
+        held[:BAND] = range(1, BAND + 1)
+        words = [f"p{pair}x{i}" for i in range(60)]
+        for half in range(2):
+            node, own = 2 * pair + half, held.copy()
+            if half:
+                own[np.arange(1, BANDS) * BAND + rng.integers(0, BAND, BANDS - 1)] ^= 1
+            nodes.append((node, node, 0, 56, own.tobytes()))
+            texts.append((node, 0, " ".join(words[:59] + [f"last{half}"])))
+    frame = spark.createDataFrame(nodes, "node long, k1 long, k2 long, n_shingles long, registers binary")
+    labels = linked_nodes(frame, spark.createDataFrame(texts, "k1 long, k2 long, text string"), 80)
+    got = {}
+    for row in labels.collect():
+        got.setdefault(row.label, set()).add(row.node)
+    assert sorted(map(sorted, got.values())) == [[2 * i, 2 * i + 1] for i in range(300)]
