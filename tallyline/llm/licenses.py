@@ -1,6 +1,8 @@
 """License scan: notices by sparse TF-IDF cosine to templates, and inheritance by directory.
 
-A file's text is cut into segments (lines, and sentences in them). A segment's words are
+A file's text is cut into segments: lines and sentences in them, paragraphs of several lines
+(comment marks aside) and sentences that run over lines. Templates are usual notices, header
+paragraphs and whole licence texts (folder license_texts). A segment's words are
 weighed by their count and by how few templates have them (common English words aside), and compared with each template
 by cosine. A file named like a licence file is also compared as a whole. The best
 comparison of a file counts if it reaches ``least``. A file without a licence of its own
@@ -27,6 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,9 @@ from tallyline.llm.frames import col, identity
 LEAST = 0.7
 TEMPLATE_WORDS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SENTENCE_END = r"(?<=[.;!?])\s+"
+#: Lines without letters or digits part paragraphs.
+PARAGRAPH_END = r"\r?\n(?:[^\p{L}\p{N}\n]*\n)+"
 SEGMENT_END = r"\n|(?<=[.;!?])\s+"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
@@ -80,7 +86,47 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
 }
-TEMPLATES = {name: (*texts, f"SPDX-License-Identifier: {name}") for name, texts in NOTICES.items()}
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General"
+    " Public License as published by the Free Software Foundation, either version {n} of the License, or (at your"
+    " option) any later version"
+)
+_GNU_ONLY = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General"
+    " Public License version {n} as published by the Free Software Foundation"
+)
+
+# Header paragraphs as they stand in source files. Paragraphs that are the same
+# for several licences (warranty, "You should have received a copy") tell none and are left out.
+HEADERS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance"
+        " with the License",
+    ),
+    "GPL-2.0": (_GNU.format(kind="", n=2), _GNU_ONLY.format(kind="", n=2)),
+    "GPL-3.0": (_GNU.format(kind="", n=3), _GNU_ONLY.format(kind="", n=3)),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+        " granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "LGPL-3.0": (_GNU.format(kind="Lesser ", n=3), _GNU_ONLY.format(kind="Lesser ", n=3)),
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+        " documentation files (the Software), to deal in the Software without restriction, including without limitation"
+        " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,"
+        " and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was"
+        " not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    ),
+}
+#: Whole licence texts, by SPDX identifier.
+TEXTS = {file.stem: file.read_text(encoding="utf-8") for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+TEMPLATES = {
+    name: (*texts, f"SPDX-License-Identifier: {name}", *HEADERS.get(name, ()), *([TEXTS[name]] if name in TEXTS else []))
+    for name, texts in NOTICES.items()
+}
 
 
 def _words(text: str) -> list[str]:
@@ -117,16 +163,11 @@ class Weights:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """(template, license, token, weight)"""
-        rows = [
-            F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.lit(t).alias("token"), F.lit(w).alias("weight"))
-            for i, n, t, w in self.rows
-        ]
-        return spark.range(1).select(F.inline(F.array(*rows)))
+        return spark.createDataFrame(self.rows, "template int, license string, token string, weight double")
 
     def words(self, spark: SparkSession) -> DataFrame:
         """(token, idf)"""
-        rows = [F.struct(F.lit(t).alias("token"), F.lit(w).alias("idf")) for t, w in self.idf.items()]
-        return spark.range(1).select(F.inline(F.array(*rows)))
+        return spark.createDataFrame(list(self.idf.items()), "token string, idf double")
 
 
 def directory(path: Column) -> Column:
@@ -141,7 +182,16 @@ def own_licenses(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     able = files.where(F.col("text").rlike(weights.needed))
     cut = able.select("k1", "k2", F.posexplode(F.split("text", SEGMENT_END)).alias("segment", "part"))
     whole = able.where(F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAME))
-    parts = cut.where(F.col("part").rlike(weights.needed)).union(whole.select("k1", "k2", F.lit(-1), "text"))
+    paragraphs = F.split("text", PARAGRAPH_END)
+    sentences = F.flatten(F.transform(paragraphs, lambda paragraph: F.split(paragraph, SENTENCE_END)))
+    # Over several lines only: the others are segments of one line.
+    joined = F.array_distinct(F.filter(F.concat(paragraphs, sentences), lambda part: F.trim(part).contains("\n")))
+    several = able.where(F.col("text").contains("\n")).select("k1", "k2", F.posexplode(joined).alias("at", "part"))
+    parts = (
+        cut.union(several.select("k1", "k2", -2 - F.col("at"), "part"))
+        .where(F.col("part").rlike(weights.needed))
+        .union(whole.select("k1", "k2", F.lit(-1), "text"))
+    )
     tokens = F.regexp_extract_all(F.translate("part", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0))
     exploded = parts.select("k1", "k2", "segment", F.explode(tokens).alias("token")).where(~F.col("token").isin(*sorted(COMMON)))
     counted = exploded.groupBy("k1", "k2", "segment", "token")

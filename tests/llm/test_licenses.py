@@ -1,7 +1,7 @@
 import math
 from collections import Counter
 
-from tallyline.llm.licenses import TEMPLATES, Weights, _words, scan
+from tallyline.llm.licenses import TEMPLATES, TEXTS, Weights, _words, scan
 
 
 def cosine(segment):
@@ -78,3 +78,39 @@ def test_no_python_in_the_plan(spark, odd, capsys):
     scan(odd, path="source").explain()
     plan = capsys.readouterr().out
     assert "Join" in plan and not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+GNU = """/*
+ * Copyright (C) 2020 Somebody
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {kind}General Public License as published by
+ * the Free Software Foundation, either version {n} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */
+int main(void) {{ return 0; }}
+"""
+
+
+def test_wrapped_headers_and_whole_texts(spark):
+    rows = [
+        ("GPL-2.0", "a/x.c", GNU.format(kind="", n=2)),
+        ("GPL-3.0", "b/x.c", GNU.format(kind="", n=3)),
+        ("LGPL-3.0", "c/x.c", GNU.format(kind="Lesser ", n=3)),
+        ("ISC", "d/x.py", "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or"
+         " without fee is hereby granted, provided that the above\n# copyright notice and this permission notice appear in"
+         " all copies.\nx = 1"),
+        ("Apache-2.0", "e/x.py", "#\n# Unless required by applicable law or agreed to in writing, software\n# distributed"
+         " under the License is distributed on an AS IS BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either"
+         " express or implied.\n# See the License for the specific language governing permissions and\n# limitations"
+         " under the License.\n\nx = 1"),
+        *((name, f"{name}/LICENSE", f"Copyright 2020 Somebody\n\n{text}") for name, text in TEXTS.items()),
+    ]
+    assert len(TEXTS) >= 9 and {"GPL-2.0", "GPL-3.0", "LGPL-3.0"} < set(TEXTS)
+    frame = spark.createDataFrame(rows, "want string, path string, text string")
+    got = {r.path: (r.license, r.found) for r in scan(frame).collect()}
+    assert got == {path: (want, "own") for want, path, _ in rows}
