@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm import (
     decontaminate,
+    divergence,
     epsilon_grid,
     hyperminhash,
     language_mixture,
@@ -331,3 +332,57 @@ FROM told LEFT JOIN (SELECT * FROM near WHERE n = 1) near ON told.dir = near.dir
 
 ORACLES["op10_licenses"] = _license_sql()
 QUERIES["op10_licenses"] = op10_licenses
+
+
+
+# --- 12: source divergence audit
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two sources of a language with their distance, and each source's own terms."""
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, {}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')".format(_TRANSLATED)
+
+
+def _price_sql(count: str, total: str) -> str:
+    return (
+        f"CAST(1 + (CAST({divergence.SCALE} AS HUGEINT) * ({count} + {divergence.MORE})) "
+        f"// nullif(CAST({total} AS HUGEINT) + {divergence.MORE} * v, 0) AS BIGINT)"
+    )
+
+
+ORACLES["op12_source_divergence"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents
+), t AS (
+  SELECT doc, lang, source, unnest({_TERMS}) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS often FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= {divergence.LEAST}
+), langs AS (
+  SELECT l.lang, count(term) AS v, coalesce(sum(often), 0) AS n FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept USING (lang) GROUP BY l.lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), g AS (
+  SELECT lang, source, coalesce(sum(c.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS times, {_price_sql("coalesce(c.n, 0)", "g.n")} AS p,
+         {_price_sql("kept.often", "langs.n")} AS q
+  FROM g JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), both_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE times > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM both_parts
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+QUERIES["op12_source_divergence"] = op12_source_divergence
