@@ -64,7 +64,7 @@ class Words:
         ]
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -93,7 +93,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     start[cut] |= inside[cut]
     end[cut] |= before[cut]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end)
-    return Words(data, starts, ends, _hashes(data, starts, ends), np.searchsorted(starts, bounds))
+    return Words(data, starts, ends, hashes(data, starts, ends), np.searchsorted(starts, bounds))
 
 
 def shingles(found: Words, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

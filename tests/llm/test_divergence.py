@@ -4,10 +4,16 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyline.llm import divergence as module
-from tallyline.llm.divergence import divergence, joint_values, terms
+from tallyline.llm.divergence import divergence, joint_values
+
+
+def found_terms(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low)
 
 
 def brute_force(rows, least, top):
@@ -15,8 +21,7 @@ def brute_force(rows, least, top):
     times, often, docs, langs = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), defaultdict(set)
     for text, lang, source in rows:
         lang, source = lang or "", source or ""
-        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low)
+        found = found_terms(text)
         langs[lang].add(source)
         times[lang, source].update(found)
         often[lang].update(found)
@@ -48,13 +53,16 @@ def result(frame):
     return found
 
 
-def test_terms_of_any_text(monkeypatch):
+@pytest.mark.parametrize("part", [1, 7, 1000, 1 << 20])
+def test_terms_of_any_text(monkeypatch, part):
+    monkeypatch.setattr(module, "PART", part)
     text = "Ab_cd ÉTÉ-日本 [x]{y}\x00z\x7f9 " * 50
-    want = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
-    for part in (1, 7, 1000, 1 << 20):
-        monkeypatch.setattr(module, "PART", part)
-        assert [t.decode() for some in terms(text.encode()) for t in some] == want
-    assert list(terms(b"")) == []
+    for texts in ([text], [""], ["-"], ["a"], ["x" * 20], [text, "", "b a b", " z\t"]):
+        batch = pa.record_batch([pa.array(["skipped", *texts])], ["text"]).slice(1)
+        terms, row, code, n = module._of_slice(batch)
+        got = {(r, terms[c].as_py()): k for r, c, k in zip(row.tolist(), code.tolist(), n.tolist(), strict=True)}
+        want = Counter((r, t) for r, x in enumerate(texts) for t in found_terms(x))
+        assert got == dict(want)
 
 
 @pytest.mark.parametrize("tile", [1, 3, 16, 2048])
@@ -77,6 +85,7 @@ def test_groups_of_any_kind(spark, monkeypatch):
     rows += [("the " * 20_000, "en", "s1")] * 2
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "text string, lang string, source string, p long, term string").repartition(3)
     monkeypatch.setattr(module, "ENTRIES", 64)
+    monkeypatch.setattr(module, "HELD", 50)
     got = result(divergence(frame, least=20, top=7))
     assert got == brute_force(rows, 20, 7)
     assert ("xx", "a", "pair", "") in got and got["xx", "a", "pair", "b"] == (0, 2)
