@@ -108,6 +108,12 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column, and where each row's begin (one more for the end)."""
     column = column.cast(pa.large_string())

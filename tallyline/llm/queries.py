@@ -11,11 +11,13 @@ from tallyline.llm import (
     decontaminate,
     divergence,
     epsilon_grid,
+    grouping_genetic,
     hyperminhash,
     language_mixture,
     licenses,
     line_dedup,
     packing,
+    shallot,
     token_counts,
     url_filter,
     warc,
@@ -295,9 +297,14 @@ WITH idf(token, idf) AS (VALUES {words}),
 tmpl(template, license, token, weight) AS (VALUES {rows}),
 f AS (SELECT doc_id, {_PATH.format(text="VARCHAR", div="//")} AS path, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM f),
+paras AS (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n([^\\p{{L}}\\p{{N}}\\n]*\\n)+')) AS para FROM f),
 seg AS (
   SELECT row_number() OVER () AS s, doc_id, part FROM (
     SELECT doc_id, unnest(string_split(regexp_replace(line, '([.;!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS part FROM lines
+    UNION ALL SELECT doc_id, para FROM paras WHERE contains(trim(para, ' '), chr(10))
+    UNION ALL SELECT doc_id, part FROM (
+      SELECT doc_id, unnest(string_split(regexp_replace(para, '([.;!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS part FROM paras)
+      WHERE contains(trim(part, ' '), chr(10))
     UNION ALL SELECT doc_id, text FROM f WHERE {file_name})
 ), tok AS (
   SELECT s, doc_id, unnest(regexp_extract_all(translate(part, {_TRANSLATED}), '[a-z0-9]+')) AS token FROM seg
