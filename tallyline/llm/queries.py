@@ -393,3 +393,67 @@ WITH d AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}"""
 
 QUERIES["op12_source_divergence"] = op12_source_divergence
+
+
+# --- 11: centroid clustering
+
+
+def op11_shallot_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable embedding with its one of eight clusters after ten rounds."""
+    return shallot.cluster(table(spark, folder, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h) AS INT) - 1 AS cluster, x AS place FROM (
+    SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, x FROM kept ORDER BY h LIMIT {k})
+)"""]
+    nearest = """, a{0} AS MATERIALIZED (
+  SELECT n, x, cluster, distance FROM (
+    SELECT n, x, cluster, distance, row_number() OVER (PARTITION BY n ORDER BY distance, cluster) AS r FROM (
+      SELECT n, x, cluster, list_sum(list_transform(list_zip(x, place), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+      FROM kept, c{0})) WHERE r = 1
+)"""
+    for i in range(rounds):
+        steps.append(nearest.format(i))
+        steps.append(f""", c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.place, c.place) AS place FROM c{i} c LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % many) + many) % many) // many AS BIGINT) ORDER BY axis) AS place FROM (
+      SELECT cluster, axis, CAST(sum(v) AS HUGEINT) AS s, count(*) AS many
+      FROM (SELECT cluster, unnest(x) AS v, unnest(range(64)) AS axis FROM a{i}) GROUP BY cluster, axis) GROUP BY cluster) m
+  ON c.cluster = m.cluster
+)""")
+    steps.append(nearest.format(rounds))
+    steps.append(f"""
+SELECT kept.vec_id, a.cluster, CAST(a.distance AS BIGINT) AS distance,
+       CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.place, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept ON a.n = kept.n JOIN c{rounds} c ON a.cluster = c.cluster""")
+    return "".join(steps)
+
+
+ORACLES["op11_shallot_clusters"] = _cluster_sql()
+
+QUERIES["op11_shallot_clusters"] = op11_shallot_clusters
+
+
+# --- 13: best-fit packing
+
+
+def op13_grouping_genetic(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens in as few sequences of 4096 as islands of packings find."""
+    documents = table(spark, folder, "documents")
+    pieces = grouping_genetic.cut(documents, tokenizer("word_bpe_49k.json"), end=1, capacity=grouping_genetic.CAPACITY)
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return grouping_genetic.place(pieces, "length").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+QUERIES["op13_grouping_genetic"] = op13_grouping_genetic
