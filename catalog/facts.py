@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from catalog.base import TABLES_SQL, TOKENS_SQL, register, report
 from tallyline.plans import facts, scorecards, sessions
-from tallyline.sources.sample import sample_events
+from tallyline.schemas import EVENT_SCHEMA
+from tallyline.sources.sample import EXPRESSIONS, sample_events
 
 _SHARED = "event_id, event_timestamp, event_date, user_email, session_id, organization_id, terminal_type"
 _PERSON = "full_name, practice, level, location"
@@ -16,6 +17,14 @@ _COLUMNS = {
     "tool_results": ("tool_result", "tool_name, success, duration_ms, tool_result_size_bytes, decision_type, decision_source"),
 }
 
+# Columns of the sample's events; the others are NULL there.
+_THERE = {*EXPRESSIONS, "event_timestamp", "event_date", "outer_timestamp_ms", "prompt_redacted"}
+_EVENT = ", ".join(
+    "round(round(cost_usd, 9), 6) AS cost_usd" if f.name == "cost_usd" else f.name if f.name in _THERE
+    else "FALSE AS is_malformed" if f.name == "is_malformed" else f"NULL AS {f.name}"
+    for f in EVENT_SCHEMA
+)
+
 for _name, (_event, _columns) in _COLUMNS.items():
     report(
         f"fact_{_name}",
@@ -31,8 +40,8 @@ for _name in ("api_requests", "tool_results"):
     )
 report(
     "events_enriched",
-    lambda t, e: facts.enriched(t.select("event_id", "event_name", "user_email"), e),
-    f"SELECT event_id, event_name, user_email, {_PERSON} FROM t LEFT JOIN e ON user_email = email",
+    lambda t, e: facts.enriched(t, e),
+    f"SELECT {_EVENT}, {_PERSON} FROM t LEFT JOIN e ON user_email = email",
 )
 
 # The sample has one user per session; here sessions are days, so that many users share one.

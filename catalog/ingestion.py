@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from catalog.base import TABLES_SQL, register
 from tallyline.functions.parsing import clean_text, to_decimal_number, to_flag, to_utc, to_whole_number
 from tallyline.operators import cleaning, flatten
-from tallyline.pipeline import load_datasets, open_tables, run_pipeline
-from tallyline.schemas import EMPLOYEE_COLUMNS, EVENT_MUST_HAVE, TEXT_COLUMNS
+from tallyline.pipeline import load_datasets, open_tables, run_pipeline, stored_rejects
+from tallyline.schemas import ATTRIBUTE_FIELDS, EMPLOYEE_COLUMNS, EVENT_COLUMNS, EVENT_MUST_HAVE, RESOURCE_FIELDS, SCOPE_FIELDS, TEXT_COLUMNS
 from tallyline.session import shared_folder
 from tallyline.sources.batches import read_lines, read_telemetry_batches
 from tallyline.sources.employees import FILE_ORDER, read_employees_csv
@@ -46,6 +47,81 @@ def _whole_sql(name: str) -> str:
 _SUCCESS_SQL = "CASE WHEN n % 7 IN (3, 4) THEN NULL ELSE success END AS success"
 
 
+def _form_sql(name: str) -> str:
+    """A whole number as raw data has it."""
+    return (
+        f"CASE CAST(n % 9 AS INT) WHEN 1 THEN ' ' || {name} || chr(9) WHEN 2 THEN {name} || '.5' WHEN 3 THEN {name} || '.7'"
+        f" WHEN 4 THEN {name} || 'd' WHEN 5 THEN CASE WHEN {name} IS NOT NULL THEN 'nan' END ELSE CAST({name} AS STRING) END"
+    )
+
+
+_MICROS = "%Y-%m-%dT%H:%M:%S.%f"
+_TIME_TEXT_SQL = f"""CASE WHEN n % 50 = 31 THEN 'junk' WHEN n % 50 = 41 THEN '10:00'
+  WHEN n % 10 = 2 THEN strftime(event_timestamp + INTERVAL 2 HOUR, '{_MICROS}') || '+02:00'
+  WHEN n % 10 = 3 THEN strftime(event_timestamp, '{_MICROS.replace("T", " ")}')
+  ELSE strftime(event_timestamp, '{_MICROS}') || 'Z' END"""
+_FLAG_TEXT_SQL = """CASE CAST(n % 7 AS INT) WHEN 1 THEN CASE WHEN success THEN 'True' ELSE 'False' END
+  WHEN 2 THEN ' ' || upper(CAST(success AS STRING)) || chr(10) WHEN 3 THEN 'yes' WHEN 4 THEN '1' ELSE CAST(success AS STRING) END"""
+#: Each attribute of a message as text, by its key, in the order of the raw documents.
+_ATTRIBUTES_SQL = {
+    "event.timestamp": _TIME_TEXT_SQL,
+    "event.name": "CASE WHEN spot <> 11 THEN event_name END",
+    "organization.id": "organization_id", "session.id": "session_id", "terminal.type": "coalesce(terminal_type, '  ')",
+    "user.email": "user_email", "user.id": "user_id", "prompt": "' ' || prompt || chr(9) || chr(10)",
+    "prompt_length": _form_sql("prompt_length"), "model": "' ' || model || chr(9) || chr(10)", "cost_usd": "cost_usd",
+    "duration_ms": _form_sql("duration_ms"), "input_tokens": _form_sql("input_tokens"), "output_tokens": "output_tokens",
+    "cache_creation_tokens": "cache_creation_tokens", "cache_read_tokens": "cache_read_tokens", "decision": "decision",
+    "source": "source", "tool_name": "tool_name", "decision_source": "decision_source", "decision_type": "decision_type",
+    "success": f"CASE WHEN success IS NOT NULL THEN {_FLAG_TEXT_SQL} END", "tool_result_size_bytes": "tool_result_size_bytes",
+    "status_code": "status_code", "error": "error", "attempt": "attempt",
+}
+_RESOURCE_SQL = {"host.arch": "'arm64'", "user.email": "''", "user.practice": "resource_user_practice"}
+_NUMBERS = ("output_tokens", "tool_result_size_bytes", "attempt")
+
+
+def _object_sql(values: dict[str, str], ordered: bool = False) -> str:
+    """JSON text of an object without its NULLs; parsed ones have their keys in order."""
+    parts = [
+        f"""'"{key}":' || """ + (f"CAST({sql} AS STRING)" if key in _NUMBERS else f"to_json(CAST({sql} AS STRING))")
+        for key, sql in (sorted(values.items()) if ordered else values.items())
+    ]
+    return f"'{{' || concat_ws(',', {', '.join(parts)}) || '}}'"
+
+
+_HEAD = (
+    '{"messageType":"DATA_MESSAGE","owner":"owner-1","logGroup":"/telemetry",'
+    '"logStream":"main","subscriptionFilters":["all"],"year":"2024","month":1,"day":2,'
+)
+# `r` is every source event with its message as text, `lines` every line with its text.
+RAW_SQL = (
+    SOURCE_SQL
+    + f""", p AS (
+  SELECT *, '{{"body":' || to_json('telemetry.' || event_name) || ',"attributes":' || {_object_sql(_ATTRIBUTES_SQL)}
+    || ',"scope":{{"name":"events","version":"1.0"}},"resource":' || {_object_sql(_RESOURCE_SQL)} || '}}' AS plain
+  FROM s
+), r AS (
+  SELECT *, CASE spot WHEN 27 THEN left(plain, 40) WHEN 37 THEN '[1]'
+    WHEN 47 THEN '{{"body":' || to_json('telemetry.' || event_name) || ',"attributes":"none"}}' ELSE plain END AS message
+  FROM p
+), items AS (
+  SELECT line, rule, n, CASE WHEN spot = 7 THEN '5' ELSE
+    '{{' || concat_ws(',', CASE WHEN spot <> 21 THEN '"id":"' || n || '"' END,
+      CASE WHEN spot <> 17 THEN '"timestamp":' || outer_timestamp_ms END,
+      '"message":' || CASE WHEN spot = 17 THEN '12' ELSE to_json(message) END) || '}}' END AS item
+  FROM r
+), listed AS (
+  SELECT line, rule, '{_HEAD}"logEvents":[' || string_agg(item, ',' ORDER BY n) || ']}}' AS whole FROM items GROUP BY line, rule
+), lines AS (
+  SELECT line, rule, CASE rule WHEN 3 THEN left(whole, length(whole) - 5) WHEN 6 THEN '{_HEAD}"logEvents":"none"}}'
+    WHEN 9 THEN '{_HEAD}"logEvents":[]}}' WHEN 12 THEN whole || ' tail' WHEN 15 THEN '' WHEN 18 THEN '[1]' ELSE whole END AS value
+  FROM listed
+)
+"""
+)
+#: What a message that is not text, or none of whose fields can be read, leaves as its raw text.
+EVENT_TEXT_SQL = "CASE spot WHEN 7 THEN '5' WHEN 17 THEN '12' ELSE message END"
+
+
 def raw(spark: SparkSession, folder: str) -> DataFrame:
     return sample_lines(spark, folder).select(
         F.lit("sample").alias("source_file"),
@@ -122,6 +198,28 @@ register(
 )
 
 
+def _required(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines found at several paths: a file's folder, a pattern, and places where nothing is."""
+    path, found = _written_batches(spark, folder), None
+    for kind, name in (("folder", path), ("pattern", f"{path}/part-*"), ("missing", f"{path}-none"), ("missing file", f"{path}/none.jsonl")):
+        try:
+            lines, there = read_lines(spark, name), True
+        except AnalysisException as error:
+            lines, there = spark.createDataFrame([], "value string"), "PATH_NOT_FOUND" not in str(error)
+        rows = lines.agg(F.lit(kind).alias("kind"), F.lit(there).alias("there"), F.count(F.lit(1)).alias("line_count"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+register(
+    "require_input",
+    _required,
+    SOURCE_SQL
+    + """SELECT kind, kind NOT LIKE 'missing%' AS there, CASE WHEN kind LIKE 'missing%' THEN 0 ELSE (SELECT count(DISTINCT line) FROM s) END AS line_count
+    FROM (VALUES ('folder'), ('pattern'), ('missing'), ('missing file')) AS v(kind)""",
+)
+
+
 def _both(spark: SparkSession, folder: str) -> DataFrame:
     telemetry, employees = load_datasets(
         spark, _written_batches(spark, folder), _written_employees(spark, folder)
@@ -185,62 +283,47 @@ register(
       WHEN 27 THEN '{flatten.MESSAGE_UNREADABLE}' WHEN 37 THEN '{flatten.MESSAGE_NOT_OBJECT}' END AS parse_error
     FROM good UNION ALL SELECT line + 1, NULL, NULL, TRUE, line_error FROM bad""",
 )
-def _event_context(spark: SparkSession, folder: str) -> DataFrame:
-    """Each event's own fields; its raw message whole if it is no document, else what that holds."""
-    rows = flat(spark, folder).filter("event_index IS NOT NULL")
-    raw_text = F.col("raw_message")
-    held = {"body": "$.body", "session": "$.attributes['session.id']", "tokens": "$.attributes.output_tokens",
-            "arch": "$.resource['host.arch']", "scope": "$.scope.version"}
-    return rows.select(
-        "line_number", "event_index", "event_id", "outer_timestamp_ms",
-        F.when(F.col("is_malformed"), raw_text).alias("raw_message"),
-        *[F.when(~F.col("is_malformed"), F.get_json_object(raw_text, path)).alias(f"raw_{name}") for name, path in held.items()],
-    )
-
-
 register(
     "event_context",
-    _event_context,
-    SOURCE_SQL
-    + """SELECT line + 1 AS line_number, idx AS event_index, CASE WHEN spot NOT IN (7, 21) THEN event_id END AS event_id,
+    lambda spark, folder: flat(spark, folder)
+    .filter("event_index IS NOT NULL")
+    .select("line_number", "event_index", "event_id", "outer_timestamp_ms", "raw_message"),
+    RAW_SQL
+    + f"""SELECT line + 1 AS line_number, idx AS event_index, CASE WHEN spot NOT IN (7, 21) THEN event_id END AS event_id,
     CASE WHEN spot NOT IN (7, 17) THEN CAST(outer_timestamp_ms AS STRING) END AS outer_timestamp_ms,
-    CASE spot WHEN 7 THEN '5' WHEN 17 THEN '12' WHEN 37 THEN '[1]'
-      WHEN 27 THEN left('{"body":"telemetry.' || event_name || '","attributes":{"event.timestamp":"', 40) END AS raw_message,
-    CASE WHEN r THEN 'telemetry.' || event_name END AS raw_body, CASE WHEN f THEN session_id END AS raw_session,
-    CASE WHEN f THEN CAST(output_tokens AS STRING) END AS raw_tokens, CASE WHEN f THEN 'arm64' END AS raw_arch,
-    CASE WHEN f THEN '1.0' END AS raw_scope
-    FROM (SELECT *, spot NOT IN (7, 17, 27, 37) AS r, spot NOT IN (7, 17, 27, 37, 47) AS f FROM good)""",
+    {EVENT_TEXT_SQL} AS raw_message FROM r WHERE rule NOT IN (3, 6, 9, 12, 15, 18)""",
 )
+_BATCH_SQL = {
+    "message_type": "'DATA_MESSAGE'", "owner": "'owner-1'", "log_group": "'/telemetry'", "log_stream": "'main'",
+    "subscription_filters": """'["all"]'""",
+}
+_KEPT_SQL = {
+    "attributes_json": _object_sql(_ATTRIBUTES_SQL, ordered=True), "resource_json": _object_sql(_RESOURCE_SQL, ordered=True),
+    "raw_message_json": "message",
+}
+_MESSAGE_COLUMNS = [
+    "body", *SCOPE_FIELDS, *ATTRIBUTE_FIELDS, *RESOURCE_FIELDS, *_KEPT_SQL,
+]
+
+
+def _message_sql(name: str) -> str:
+    """A message's field as text; messages of spot 47 have a body only."""
+    if name in ("body", "raw_message_json"):
+        return f"""{"'telemetry.' || event_name" if name == "body" else "message"} AS {name}"""
+    if name in _KEPT_SQL:
+        return f"CASE WHEN spot <> 47 THEN {_KEPT_SQL[name]} ELSE '{{}}' END AS {name}"
+    known = {**{c: _ATTRIBUTES_SQL.get(k) for c, k in ATTRIBUTE_FIELDS.items()}, **{c: _RESOURCE_SQL.get(k) for c, k in RESOURCE_FIELDS.items()},
+             "scope_name": "'events'", "scope_version": "'1.0'"}[name]
+    return f"CASE WHEN spot <> 47 THEN CAST({known or 'NULL'} AS STRING) END AS {name}"
+
+
 register(
     "extract_message_fields",
-    lambda spark, folder: flat(spark, folder)
-    .filter("NOT is_malformed")
-    .select(
-        "line_number", "event_index", "body", "scope_name", "scope_version", "event_name",
-        "organization_id", "session_id", "terminal_type", "user_email", "user_id", "prompt", "model",
-        "output_tokens", "cache_creation_tokens", "cache_read_tokens", "decision", "source",
-        "tool_name", "decision_source", "decision_type", "tool_result_size_bytes", "status_code",
-        "error", "attempt", "host_arch", "host_name", "resource_user_email", "resource_user_practice",
-    ),
-    SOURCE_SQL
-    + """SELECT line + 1 AS line_number, idx AS event_index, 'telemetry.' || event_name AS body,
-    CASE WHEN f THEN 'events' END AS scope_name, CASE WHEN f THEN '1.0' END AS scope_version,
-    CASE WHEN f AND spot <> 11 THEN event_name END AS event_name, CASE WHEN f THEN organization_id END AS organization_id,
-    CASE WHEN f THEN session_id END AS session_id, CASE WHEN f THEN coalesce(terminal_type, '  ') END AS terminal_type,
-    CASE WHEN f THEN user_email END AS user_email, CASE WHEN f THEN user_id END AS user_id,
-    CASE WHEN f THEN ' ' || prompt || chr(9) || chr(10) END AS prompt, CASE WHEN f THEN ' ' || model || chr(9) || chr(10) END AS model,
-    CASE WHEN f THEN CAST(output_tokens AS STRING) END AS output_tokens,
-    CASE WHEN f THEN CAST(cache_creation_tokens AS STRING) END AS cache_creation_tokens,
-    CASE WHEN f THEN CAST(cache_read_tokens AS STRING) END AS cache_read_tokens,
-    CASE WHEN f THEN decision END AS decision, CASE WHEN f THEN source END AS source, CASE WHEN f THEN tool_name END AS tool_name,
-    CASE WHEN f THEN decision_source END AS decision_source, CASE WHEN f THEN decision_type END AS decision_type,
-    CASE WHEN f THEN CAST(tool_result_size_bytes AS STRING) END AS tool_result_size_bytes,
-    CASE WHEN f THEN status_code END AS status_code, CASE WHEN f THEN error END AS error,
-    CASE WHEN f THEN CAST(attempt AS STRING) END AS attempt, CASE WHEN f THEN 'arm64' END AS host_arch,
-    CAST(NULL AS STRING) AS host_name, CASE WHEN f THEN '' END AS resource_user_email,
-    CASE WHEN f THEN resource_user_practice END AS resource_user_practice
-    FROM (SELECT *, spot <> 47 AS f FROM u)""",
-)
+    lambda spark, folder: flat(spark, folder).filter("NOT is_malformed").select("line_number", "event_index", *_MESSAGE_COLUMNS),
+    RAW_SQL
+    + f"""SELECT line + 1 AS line_number, idx AS event_index, {", ".join(map(_message_sql, _MESSAGE_COLUMNS))}
+    FROM r WHERE rule NOT IN (3, 6, 9, 12, 15, 18) AND spot NOT IN (7, 17, 27, 37)""",
+)
 register(
     "safe_object",
     lambda spark, folder: flat(spark, folder)
@@ -259,50 +342,59 @@ register(
 
 # --- cleaning ---
 
-_CLEAN_COLUMNS = [
-    "event_id", "event_timestamp", "event_date", "event_name", "outer_timestamp_ms", "session_id",
-    "terminal_type", "user_email", "user_id", "prompt", "prompt_length", "prompt_redacted", "model",
-    "cost_usd", "duration_ms", "input_tokens", "output_tokens", "cache_creation_tokens",
-    "cache_read_tokens", "decision", "source", "tool_name", "decision_source", "decision_type",
-    "success", "tool_result_size_bytes", "status_code", "error", "attempt", "host_arch",
-    "resource_user_practice", "resource_user_email", "year", "line_number", "event_index",
-]
-_CLEAN_SQL = (
-    SOURCE_SQL
-    + f"""SELECT event_id, event_timestamp, event_date, event_name, outer_timestamp_ms, session_id,
-    terminal_type, user_email, user_id, prompt, {_whole_sql("prompt_length")}, prompt_redacted, model,
-    round(round(cost_usd, 9), 6) AS cost_usd, {_whole_sql("duration_ms")}, {_whole_sql("input_tokens")}, output_tokens,
-    cache_creation_tokens, cache_read_tokens, decision, source, tool_name, decision_source, decision_type,
-    {_SUCCESS_SQL}, tool_result_size_bytes, status_code, error, attempt, 'arm64' AS host_arch,
-    resource_user_practice, CAST(NULL AS STRING) AS resource_user_email, 2024 AS year,
-    line + 1 AS line_number, idx AS event_index FROM c"""
-)
+_CLEAN = {
+    "source_file": "'sample'", "line_number": "line + 1", "event_index": "idx", **_BATCH_SQL,
+    "year": "2024", "month": "1", "day": "2", "raw_message": "message", "body": "'telemetry.' || event_name",
+    "scope_name": "'events'", "scope_version": "'1.0'", "cost_usd": "round(round(cost_usd, 9), 6)",
+    **{c: _whole_sql(c).rsplit(" AS ", 1)[0] for c in ("prompt_length", "duration_ms", "input_tokens")},
+    "success": _SUCCESS_SQL.rsplit(" AS ", 1)[0], "host_arch": "'arm64'", **_KEPT_SQL, "is_malformed": "FALSE",
+    # Never there, or blank, which cleaning makes NULL.
+    **dict.fromkeys(("user_account_uuid", "host_name", "os_type", "os_version", "service_name", "service_version",
+                     "resource_user_email", "resource_user_profile", "resource_user_serial", "parse_error"), "CAST(NULL AS STRING)"),
+}
+_CLEANED = "FROM r WHERE rule NOT IN (3, 6, 9, 12, 15, 18) AND spot NOT IN (7, 17, 27, 37, 47, 11, 21, 31, 41)"
+
+
+def clean_sql(columns: list[str]) -> str:
+    """Columns of the events that cleaning keeps."""
+    return RAW_SQL + f"SELECT {', '.join(f'{_CLEAN.get(c, c)} AS {c}' for c in columns)} {_CLEANED}"
+
+
 register(
     "clean_events",
-    lambda spark, folder: cleaning.clean_events(flat(spark, folder)).select(*_CLEAN_COLUMNS),
-    _CLEAN_SQL,
+    lambda spark, folder: cleaning.clean_events(flat(spark, folder)).select(*EVENT_COLUMNS),
+    clean_sql(EVENT_COLUMNS),
 )
 
+#: Files that Spark writes have names and an order of lines of their own.
+LOADED_COLUMNS = [c for c in EVENT_COLUMNS if c not in ("source_file", "line_number")]
+
 
 def _loaded(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_folder(spark, "tables")
     run_pipeline(spark, root, _written_batches(spark, folder), _written_employees(spark, folder))
     events, employees = open_tables(spark, root)
-    known = employees.select(F.col("email").alias("user_email"), "level")
-    wanted = [c for c in _CLEAN_COLUMNS if c != "line_number"]
-    return events.select(*wanted).join(known, "user_email", "left").select(*wanted, "level")
+    known = employees.select(F.col("email").alias("user_email"), "full_name", "practice", "level", "location")
+    placed = F.col("source_file").contains("/part-") & (F.col("line_number") > 0)
+    return events.join(known, "user_email", "left").select(
+        *LOADED_COLUMNS, placed.alias("has_place"), "full_name", "practice", "level", "location"
+    )
 
 
 register(
     "full_load",
     _loaded,
-    "WITH x AS ("
-    + _CLEAN_SQL
-    + f"), y AS ({TABLES_SQL} SELECT * FROM e)"
-    + f" SELECT {', '.join('x.' + c for c in _CLEAN_COLUMNS if c != 'line_number')}, y.level AS level"
-    + " FROM x LEFT JOIN y ON x.user_email = y.email",
+    f"WITH x AS ({clean_sql(LOADED_COLUMNS)}), y AS ({TABLES_SQL} SELECT * FROM e)"
+    " SELECT x.*, TRUE AS has_place, y.full_name, y.practice, y.level, y.location FROM x LEFT JOIN y ON x.user_email = y.email",
 )
 
+
+def _stored_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    root = shared_folder(spark, "tables")
+    run_pipeline(spark, root, _written_batches(spark, folder), _written_employees(spark, folder))
+    return stored_rejects(spark, root).drop("source_file", "line_number")
+
+
 register(
     "drop_malformed",
     lambda spark, folder: cleaning.drop_malformed(flat(spark, folder)).select("line_number", "event_index"),

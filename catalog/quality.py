@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import register, report
-from catalog.ingestion import SOURCE_SQL, flat, raw
+from catalog.ingestion import EVENT_TEXT_SQL, LOADED_COLUMNS, RAW_SQL, SOURCE_SQL, _stored_rejects, clean_sql, flat, raw
 from tallyline.operators import flatten
 from tallyline.operators.storage import load_table
 from tallyline.plans import quality
@@ -17,42 +17,45 @@ from tallyline.streaming.incremental import incremental_load
 
 register(
     "raw_log_batches",
-    lambda spark, folder: quality.raw_log_batches(raw(spark, folder)).select(
-        "batch_id", "line_number", "message_type", "owner", "log_group", "log_stream", "subscription_filters",
-        "year", "month", "day", "event_count", F.substring_index("raw_json", "logEvents", 1).alias("raw_head"),
-    ),
-    SOURCE_SQL
-    + f"""SELECT sha256('sample:' || (line + 1)) AS batch_id, line + 1 AS line_number,
+    lambda spark, folder: quality.raw_log_batches(raw(spark, folder)),
+    RAW_SQL
+    + """SELECT sha256('sample:' || (l.line + 1)) AS batch_id, 'sample' AS source_file, l.line + 1 AS line_number,
     CASE WHEN ok THEN 'DATA_MESSAGE' END AS message_type, CASE WHEN ok THEN 'owner-1' END AS owner,
     CASE WHEN ok THEN '/telemetry' END AS log_group, CASE WHEN ok THEN 'main' END AS log_stream,
-    CASE WHEN ok THEN '["all"]' END AS subscription_filters,
-    CASE rule WHEN 15 THEN '' WHEN 18 THEN '[1]' ELSE '{{"messageType":"DATA_MESSAGE","owner":"owner-1","logGroup":"/telemetry",'
-      || '"logStream":"main","subscriptionFilters":["all"],"year":"2024","month":1,"day":2,"' END AS raw_head,
+    CASE WHEN ok THEN '["all"]' END AS subscription_filters, value AS raw_json,
     CASE WHEN ok THEN 2024 END AS year, CASE WHEN ok THEN 1 END AS month, CASE WHEN ok THEN 2 END AS day,
-    CASE WHEN rule = 9 THEN 0 WHEN ok AND rule <> 6 THEN c END AS event_count
-    FROM (SELECT line, rule, CAST(count(*) AS INT) AS c, rule NOT IN (3, 12, 15, 18) AS ok FROM s GROUP BY line, rule)""",
+    CASE WHEN l.rule = 9 THEN 0 WHEN ok AND l.rule <> 6 THEN c END AS event_count
+    FROM lines l JOIN (SELECT line, CAST(count(*) AS INT) AS c, any_value(rule) NOT IN (3, 12, 15, 18) AS ok FROM s GROUP BY line) b
+    ON l.line = b.line""",
 )
 _REASONS_SQL = f"""CASE spot WHEN 7 THEN '{flatten.ITEM_NOT_OBJECT}' WHEN 17 THEN '{flatten.MESSAGE_NOT_TEXT}'
   WHEN 27 THEN '{flatten.MESSAGE_UNREADABLE}' WHEN 37 THEN '{flatten.MESSAGE_NOT_OBJECT}'
   WHEN 47 THEN 'Missing required values: event_timestamp, event_name, user_email, session_id'
   WHEN 11 THEN 'Missing required values: event_name' WHEN 21 THEN 'Missing required values: event_id'
   WHEN 31 THEN 'Unusable event_timestamp: junk' WHEN 41 THEN 'Unusable event_timestamp: 10:00' END"""
-_REJECTS_SQL = (
-    SOURCE_SQL
-    + f"""SELECT line + 1 AS line_number, idx AS event_index, message,
+#: The text of a line that parses, but has no list of events: its keys in order.
+_NO_LIST = """{"day":2,"logEvents":"none","logGroup":"/telemetry","logStream":"main","messageType":"DATA_MESSAGE","month":1,"owner":"owner-1","subscriptionFilters":["all"],"year":"2024"}"""
+
+
+def _rejects_sql(place: str, line_place: str) -> str:
+    return (
+        RAW_SQL
+        + f"""SELECT {place} idx AS event_index, CASE WHEN spot NOT IN (7, 21) THEN event_id END AS event_id,
+    {EVENT_TEXT_SQL} AS raw_text, reason AS message,
     CASE WHEN spot = 7 THEN 'event_item' WHEN spot IN (17, 27, 37) THEN 'event_message'
       WHEN spot IN (11, 21, 47) THEN 'missing_required' ELSE 'type_conversion' END AS category
-    FROM (SELECT *, {_REASONS_SQL} AS message FROM good) WHERE message IS NOT NULL
-    UNION ALL SELECT line + 1, NULL, line_error,
-    CASE WHEN line_error = '{flatten.NO_EVENT_LIST}' THEN 'log_events' ELSE 'top_level_json' END FROM bad"""
-)
+    FROM (SELECT *, {_REASONS_SQL} AS reason FROM r WHERE rule NOT IN (3, 6, 9, 12, 15, 18)) WHERE reason IS NOT NULL
+    UNION ALL SELECT {line_place} NULL, NULL, CASE WHEN lines.rule = 6 THEN '{_NO_LIST}' ELSE value END, line_error,
+    CASE WHEN line_error = '{flatten.NO_EVENT_LIST}' THEN 'log_events' ELSE 'top_level_json' END FROM bad JOIN lines USING (line)"""
+    )
+
+
 register(
     "reject_rows",
-    lambda spark, folder: quality.reject_rows(flat(spark, folder)).select(
-        "line_number", "event_index", "message", "category"
-    ),
-    _REJECTS_SQL,
+    lambda spark, folder: quality.reject_rows(flat(spark, folder)),
+    _rejects_sql("'sample' AS source_file, line + 1 AS line_number,", "'sample', line + 1,"),
 )
+register("stored_rejects", _stored_rejects, _rejects_sql("", ""))
 register(
     "data_quality",
     lambda spark, folder: quality.data_quality(flat(spark, folder), sample_employees(spark, folder)),
@@ -145,24 +148,22 @@ report(
 
 def _in_two_steps(spark: SparkSession, folder: str) -> tuple[str, str]:
     """Load even lines, then all lines again as further files: each event is stored once."""
-    lines, root, memory = (shared_folder(spark, n) for n in ("incoming", "tables", "progress"))
+    lines, root = (shared_folder(spark, n) for n in ("incoming", "tables"))
     source = sample_lines(spark, folder)
     source.filter("line_id % 2 = 0").select("value").write.text(lines)
-    incremental_load(spark, lines, root, memory).awaitTermination()
+    incremental_load(spark, lines, root)
     source.select("value").write.mode("append").text(lines)
-    incremental_load(spark, lines, root, memory).awaitTermination()
+    incremental_load(spark, lines, root)
     return root, lines
 
 
 def _incremental(spark: SparkSession, folder: str) -> DataFrame:
     root, _ = _in_two_steps(spark, folder)
-    return load_table(spark, root, TELEMETRY_EVENTS).select(
-        "event_id", "event_name", "event_timestamp", "user_email", "output_tokens"
-    )
+    return load_table(spark, root, TELEMETRY_EVENTS).select(*LOADED_COLUMNS)
 
 
 register(
     "incremental_load",
     _incremental,
-    SOURCE_SQL + "SELECT event_id, event_name, event_timestamp, user_email, output_tokens FROM c",
+    clean_sql(LOADED_COLUMNS),
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import TOKENS_SQL, report
+from catalog.base import ORACLES, TOKENS_SQL, register, report, sample_tables
 from tallyline.operators.filters import EventFilters
 from tallyline.plans import kpis, models, trends, users
 from tallyline.plans.overview import overview_report
@@ -116,10 +116,14 @@ report(
         F.array_join("practices", "|").alias("practices"),
         F.array_join("models", "|").alias("models"),
     ),
-    f"""SELECT min(event_date) AS min_date, max(event_date) AS max_date,
-    array_to_string(list(DISTINCT e.practice ORDER BY e.practice) FILTER (WHERE e.practice IS NOT NULL), '|') AS practices,
-    array_to_string(list(DISTINCT model ORDER BY model) FILTER (WHERE model IS NOT NULL), '|') AS models
-    FROM {JOINED}""",
+    """SELECT first_day AS min_date, last_day AS max_date, nullif(practices, '') AS practices, nullif(models, '') AS models
+    FROM span, of_practice, of_model""",
+    """span AS (SELECT min(event_date) AS first_day, max(event_date) AS last_day FROM t
+    ), of_practice AS (
+      SELECT coalesce(string_agg(practice, '|' ORDER BY practice), '') AS practices
+      FROM (SELECT DISTINCT practice FROM e WHERE email IN (SELECT user_email FROM t))
+    ), of_model AS (
+      SELECT coalesce(string_agg(model, '|' ORDER BY model), '') AS models FROM (SELECT DISTINCT model FROM t))""",
 )
 
 # --- by model and practice ---
@@ -236,45 +240,43 @@ report(
 
 # --- the overview bundle, one row per figure ---
 
+# What names a row of each part, its numbers, and its texts.
+OVERVIEW = {
+    "kpi_summary": ("'all'", ("total_users", "total_sessions", "total_events", "total_cost_usd", "total_tokens", "average_session_duration_ms"), ()),
+    "requests_per_day": ("event_date", ("request_count",), ()),
+    "token_usage_per_model": ("model", ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "total_tokens"), ()),
+    "cost_per_practice": ("practice", ("request_count", "active_users", "cost_usd", "cost_per_active_user"), ()),
+    "top_active_users": ("user_email", ("event_count", "session_count", "prompt_count", "api_request_count", "cost_usd"),
+                         ("full_name", "practice", "level", "location")),
+    "top_used_tools": ("tool_name", ("tool_result_count", "successful_tool_results", "success_rate", "average_duration_ms"), ()),
+}
+
 
 def _overview(t, e):
-    """All six results of one overview, each as (part, label, amount)."""
-    parts = overview_report(t, e, FILTER_CASES["_by_all"][0].through("2024-01-19"), limit=10)
-    shown = {
-        "kpi_summary": ("total_events", F.lit("events")),
-        "requests_per_day": ("request_count", F.col("event_date").cast("string")),
-        "token_usage_per_model": ("total_tokens", F.col("model")),
-        "cost_per_practice": ("request_count", F.col("practice")),
-        "top_active_users": ("event_count", F.col("user_email")),
-        "top_used_tools": ("tool_result_count", F.col("tool_name")),
-    }
-    rows = [
-        parts[part].select(
-            F.lit(part).alias("part"), label.alias("label"), F.col(amount).cast("bigint").alias("amount")
-        )
-        for part, (amount, label) in shown.items()
-    ]
-    out = rows[0]
-    for other in rows[1:]:
-        out = out.unionByName(other)
+    """All six results of one overview, each column of each row as (part, label, figure, amount, told)."""
+    parts = overview_report(t, e, FILTER_CASES["_by_all"][0], limit=5)
+    out = None
+    for part, (label, numbers, texts) in OVERVIEW.items():
+        cells = [F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("amount"), F.lit(None).cast("string").alias("told")) for c in numbers]
+        cells += [F.struct(F.lit(c).alias("figure"), F.lit(None).cast("double").alias("amount"), F.col(c).alias("told")) for c in texts]
+        rows = parts[part].select(F.lit(part).alias("part"), F.expr(label).cast("string").alias("label"), F.inline(F.array(*cells)))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-_OVER = "t.event_timestamp >= TIMESTAMP '2024-01-05' AND t.event_timestamp < TIMESTAMP '2024-01-20'"
-_DIRECT = f"FROM {JOINED} WHERE {_OVER} AND {BUILDING_SQL} AND t.model = 'model-1' AND t.event_name = 'api_request'"
-_WIDE = f"FROM {JOINED} WHERE {_OVER} AND {BUILDING_SQL} AND {SESSION_SQL}"
-report(
-    "overview_report",
-    _overview,
-    f"""SELECT 'kpi_summary' AS part, 'events' AS label, count(*) AS amount {_WIDE}
-    UNION ALL SELECT 'requests_per_day', CAST(t.event_date AS STRING), count(*) {_DIRECT} GROUP BY t.event_date
-    UNION ALL SELECT 'token_usage_per_model', t.model, CAST(sum({TOKENS_SQL}) AS BIGINT) {_DIRECT} GROUP BY t.model
-    UNION ALL SELECT 'cost_per_practice', coalesce(e.practice, t.resource_user_practice, 'Unknown'), count(*) {_DIRECT}
-      GROUP BY coalesce(e.practice, t.resource_user_practice, 'Unknown')
-    UNION ALL (SELECT 'top_active_users', t.user_email, count(*) AS c {_WIDE} GROUP BY t.user_email ORDER BY c DESC, t.user_email LIMIT 10)
-    UNION ALL (SELECT 'top_used_tools', t.tool_name, count(*) AS c {_WIDE} AND t.event_name = 'tool_result' AND t.tool_name IS NOT NULL
-      GROUP BY t.tool_name ORDER BY c DESC, t.tool_name LIMIT 10)""",
-)
+def _overview_sql() -> str:
+    selects = []
+    for part, (label, numbers, texts) in OVERVIEW.items():
+        of_part = ORACLES[f"{part}_by_all"].replace("LIMIT 10", "LIMIT 5")
+        for c in (*numbers, *texts):
+            amount, told = (f"CAST({c} AS DOUBLE)", "CAST(NULL AS STRING)") if c in numbers else ("CAST(NULL AS DOUBLE)", c)
+            selects.append(
+                f"SELECT '{part}' AS part, CAST({label} AS STRING) AS label, '{c}' AS figure, {amount} AS amount, {told} AS told FROM ({of_part})"
+            )
+    return " UNION ALL ".join(selects)
+
+
+register("overview_report", lambda spark, folder: _overview(*sample_tables(spark, folder)), _overview_sql())
 
 # --- each filter on its own, over the events themselves ---
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from catalog.base import TABLES_SQL, register, report
 from tallyline.operators import storage, validation
-from tallyline.schemas import EMPLOYEES, EVENT_SCHEMA, NOT_NULL, TELEMETRY_EVENTS
+from tallyline.schemas import EMPLOYEES, EVENT_SCHEMA, KEY, NOT_NULL, SCHEMA, TELEMETRY_EVENTS
 from tallyline.session import shared_folder
 from tallyline.sources import tables
-from tallyline.sources.sample import sample_employees, sample_events, table
+from tallyline.sources.sample import EXPRESSIONS, sample_employees, sample_events, table
 
 _SHOWN = ["event_id", "event_timestamp", "event_name", "user_email", "cost_usd", "success"]
 _SHOWN_SQL = "event_id, event_timestamp, event_name, user_email, round(round(cost_usd, 9), 6) AS cost_usd, success"
@@ -249,6 +249,93 @@ outcome(
     lambda spark, folder: storage.save_events(_with_gaps(sample_events(spark, folder)), shared_folder(spark, "tables")),
     TABLES_SQL + f"SELECT 'telemetry_events has NULL in NOT NULL columns: ' || {_GAPS_SQL} AS outcome",
 )
+
+
+def _limited(spark: SparkSession, folder: str) -> DataFrame:
+    """What a scan gives for several limits; those that are no numbers of rows are refused."""
+    events, found = sample_events(spark, folder), None
+    for limit in (0, -1, 7, None):
+        try:
+            scanned = tables.scan_events(events, event_name="api_error", limit=limit)
+            rows, refused = scanned.agg(F.count(F.lit(1)).alias("row_count")), False
+        except ValueError:
+            rows, refused = events.where("false").agg(F.count(F.lit(1)).alias("row_count")), True
+        told = rows.select(F.lit(str(limit)).alias("asked"), F.lit(refused).alias("refused"), "row_count")
+        found = told if found is None else found.unionByName(told)
+    return found
+
+
+register(
+    "validate_limit",
+    _limited,
+    TABLES_SQL
+    + """, x AS (SELECT count(*) AS n FROM t WHERE event_name = 'api_error')
+    SELECT '0' AS asked, TRUE AS refused, 0 AS row_count UNION ALL SELECT '-1', TRUE, 0
+    UNION ALL SELECT '7', FALSE, least(n, 7) FROM x UNION ALL SELECT 'None', FALSE, n FROM x""",
+)
+
+
+def _defined(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored tables as they are defined, next to what a load of them holds."""
+    root, found = shared_folder(spark, "tables"), None
+    storage.save_employees(sample_employees(spark, folder), root)
+    storage.save_events(sample_events(spark, folder), root)
+    for name, schema in SCHEMA.items():
+        stored = storage.load_table(spark, root, name)
+        columns = [
+            F.struct(
+                F.lit(name).alias("table_name"), F.lit(at).cast("int").alias("position"), F.lit(f.name).alias("column_name"),
+                F.lit(stored.schema[f.name].dataType.simpleString()).alias("kind"), F.lit(f.name in NOT_NULL[name]).alias("needed"),
+                F.lit(KEY[name] == f.name).alias("is_key"), F.col(f"n{at}").alias("filled"),
+            )
+            for at, f in enumerate(schema)
+        ]
+        counted = stored.agg(*[F.count(f.name).alias(f"n{at}") for at, f in enumerate(schema)])
+        rows = counted.select(F.inline(F.array(*columns)))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+# The stored tables' columns and types, as SQL would create them.
+_TABLES = {
+    "employees": ("e", "email string, full_name string, practice string, level string, location string"),
+    "telemetry_events": ("t", """event_id string, source_file string, line_number int, event_index int, message_type string,
+      owner string, log_group string, log_stream string, subscription_filters string, year int, month int, day int,
+      outer_timestamp_ms bigint, raw_message string, body string, scope_name string, scope_version string,
+      event_timestamp timestamp, event_date date, event_name string, organization_id string, session_id string,
+      terminal_type string, user_account_uuid string, user_email string, user_id string, prompt string, prompt_length bigint,
+      prompt_redacted boolean, model string, cost_usd double, duration_ms bigint, input_tokens bigint, output_tokens bigint,
+      cache_creation_tokens bigint, cache_read_tokens bigint, decision string, source string, tool_name string,
+      decision_source string, decision_type string, success boolean, tool_result_size_bytes bigint, status_code string,
+      error string, attempt int, host_arch string, host_name string, os_type string, os_version string, service_name string,
+      service_version string, resource_user_email string, resource_user_practice string, resource_user_profile string,
+      resource_user_serial string, attributes_json string, resource_json string, raw_message_json string,
+      is_malformed boolean, parse_error string"""),
+}
+_NEEDED = {"employees": "email full_name practice level location", "telemetry_events": "event_id event_timestamp event_name user_email session_id"}
+_IDS = {"employees": "email", "telemetry_events": "event_id"}
+_THERE = {*EXPRESSIONS, "event_timestamp", "event_date", "outer_timestamp_ms", "prompt_redacted"}
+
+
+def _defined_sql() -> str:
+    rows = []
+    for name, (source, columns) in _TABLES.items():
+        for at, pair in enumerate(columns.split(",")):
+            column, kind = pair.split()
+            if column == "is_malformed":
+                filled = f"(SELECT count(*) FROM {source})"
+            else:
+                filled = f"(SELECT count({column}) FROM {source})" if source == "e" or column in _THERE else "0"
+            rows.append(
+                f"SELECT '{name}' AS table_name, {at} AS position, '{column}' AS column_name, '{kind}' AS kind,"
+                f" {column in _NEEDED[name].split()} AS needed, {column == _IDS[name]} AS is_key, {filled} AS filled"
+            )
+    return TABLES_SQL + " UNION ALL ".join(rows)
+
+
+register("define_tables", _defined, _defined_sql())
+
+
 def issues(name: str, rules: validation.Rules, spoil: Callable[[DataFrame], DataFrame], sql: str) -> None:
     """A query whose rows are the issues of a sample table that ``spoil`` has changed."""
 

@@ -55,3 +55,19 @@ report(
     ),
     _chain_sql(3, "CASE WHEN uid % 3 = 0 THEN 'hot' ELSE session_id END"),
 )
+# A third of all users in one session, and all of that in one hour.
+report(
+    "tool_chains_hot_hour",
+    lambda t, e: tools.tool_chains(
+        t.withColumn("session_id", F.when(F.col("user_id").cast("int") % 3 == 0, F.lit("hot")).otherwise(F.col("session_id"))).withColumn(
+            "event_timestamp",
+            F.when(F.col("session_id") == "hot", F.expr("timestamp_micros(1704067200000000 + (unix_micros(event_timestamp) - 1704067200000000) div 1000)"))
+            .otherwise(F.col("event_timestamp")),
+        ),
+        2,
+    ),
+    _chain_sql(2, "CASE WHEN uid % 3 = 0 THEN 'hot' ELSE session_id END").replace(
+        "ORDER BY event_timestamp",
+        "ORDER BY CASE WHEN uid % 3 = 0 THEN (epoch_us(event_timestamp) - 1704067200000000) // 1000 ELSE epoch_us(event_timestamp) END",
+    ),
+)

@@ -16,7 +16,7 @@ Moment = str | date | datetime
 
 def require_positive(limit: int) -> int:
     if limit <= 0:
-        raise ValueError("limit must be a positive integer")
+        raise ValueError(f"a positive number of rows is needed, not {limit}")
     return limit
 
 

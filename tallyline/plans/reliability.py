@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.measures import is_event, ratio
 from tallyline.operators import rollup as R
 from tallyline.operators.filters import NO_FILTERS, EventFilters
-from tallyline.operators.quantiles import exact_percentiles
+from tallyline.operators.quantiles import COUNT, SUM, exact_percentiles
 from tallyline.plans.dimensions import by_dimension
 from tallyline.schemas import API_ERROR, API_REQUEST, TOOL_RESULT
 
@@ -93,27 +93,15 @@ def latency_summary(events: DataFrame, dimension: str = "event_name", slow_ms: i
     calls = events.filter(
         F.col("event_name").isin(API_REQUEST, TOOL_RESULT) & F.col("duration_ms").isNotNull()
     )
-    counts = calls.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("call_count"),
-        F.avg("duration_ms").alias("average_duration_ms"),
-        F.count(F.when(F.col("duration_ms") > slow_ms, 1)).alias("slow"),
-    )
-    marks = exact_percentiles(calls, keys, "duration_ms", {"p95_duration_ms": 0.95})
-    marks = marks.select(*[F.col(k).alias(f"_{k}") for k in keys], "p95_duration_ms")
-    same = F.lit(True)
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
-    return (
-        counts.join(marks, same)
-        .select(
-            *keys,
-            "call_count",
-            "average_duration_ms",
-            "p95_duration_ms",
-            ratio(F.col("slow"), F.col("call_count")).alias("slow_rate"),
-        )
-        .orderBy(*[F.asc_nulls_last(k) for k in keys])
-    )
+    slow = {"_slow": (F.col("duration_ms") > slow_ms).cast("int")}
+    marks = exact_percentiles(calls, keys, "duration_ms", {"p95_duration_ms": 0.95}, slow)
+    return marks.select(
+        *keys,
+        F.col(COUNT).alias("call_count"),
+        (F.col(SUM) / F.col(COUNT)).alias("average_duration_ms"),
+        "p95_duration_ms",
+        ratio(F.col("_slow"), F.col(COUNT)).alias("slow_rate"),
+    ).orderBy(*[F.asc_nulls_last(k) for k in keys])
 
 
 def retry_patterns(events: DataFrame) -> DataFrame:

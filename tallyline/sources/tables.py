@@ -65,7 +65,7 @@ def scan_events_enriched(
 def count_rows(tables: dict[str, DataFrame], table: str) -> DataFrame:
     """Number of rows of one of the two stored tables."""
     if table not in (EMPLOYEES, TELEMETRY_EVENTS):
-        raise ValueError(f"Unsupported table name: {table}")
+        raise ValueError(f"there is no table {table!r}, only {EMPLOYEES} and {TELEMETRY_EVENTS}")
     return tables[table].agg(F.count(F.lit(1)).alias("row_count"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyline.operators import rollup
 from tallyline.operators.filters import EventFilters
 from tallyline.operators.quantiles import exact_percentiles
+from tallyline.schemas import EVENT_SCHEMA
 from tallyline.plans import adoption, costs, facts, kpis, models, quality, reliability, scorecards, sessions, tools, trends, users
 from tallyline.plans.dimensions import by_dimension, value_counts
 from tallyline.plans.overview import overview_report
@@ -135,7 +136,7 @@ def test_kpi_summary_scans_once(mixed, employees, spark, folder):
 @pytest.mark.parametrize("limit", [0, -1])
 def test_limits(mixed, employees, limit):
     for call in (users.top_active_users, users.top_used_tools):
-        with pytest.raises(ValueError, match="limit must be a positive integer"):
+        with pytest.raises(ValueError, match="positive number of rows"):
             call(mixed, employees, limit=limit)
     with pytest.raises(ValueError):
         sessions.high_cost(mixed, "user_email", limit)
@@ -162,6 +163,40 @@ def test_percentiles_of_a_large_group(spark):
     assert overall == pytest.approx(frame.selectExpr("percentile(v, 0.5)").first()[0])
 
 
+def test_sums_and_percentiles_come_from_one_scan(spark, folder):
+    values = [0, -1, 5, 1 << 40, -(1 << 45), (1 << 62), 70_000, 70_000, 65_535, 65_536, -65_536, None]
+    rows = [(k, v, i) for k in ("a", None) for i, v in enumerate(values)] + [("empty", None, 4)]
+    spark.createDataFrame(rows, "k string, v bigint, i int").write.parquet(f"{folder}/t")
+    frame = spark.read.parquet(f"{folder}/t")
+    shares = {f"p{n}": n / 10 for n in range(11)}
+    got = exact_percentiles(frame, ["k"], "v", shares, {"all": F.lit(1), "i": F.col("i")})
+    rows = {r["k"]: r for r in dicts(got)}
+    assert rows["a"]["all"] == rows[None]["all"] == 12 and rows["a"]["i"] == 66 and rows["a"]["_count"] == 11
+    held = sorted(v for v in values if v is not None)
+    assert [rows[None][f"p{n}"] for n in range(11)] == [float(v) for v in held]
+    assert (rows["a"]["_least"], rows["a"]["_greatest"], rows["a"]["_sum"]) == (held[0], held[-1], sum(held))
+    assert rows["empty"]["p5"] is None and (rows["empty"]["_count"], rows["empty"]["all"]) == (0, 1)
+    for report in (tools.tool_reliability, tools.tool_result_sizes, reliability.latency_summary):
+        stored = spark.createDataFrame([], EVENT_SCHEMA)
+        stored.write.parquet(f"{folder}/{report.__name__}")
+        found = report(spark.read.parquet(f"{folder}/{report.__name__}"))
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        initial = plan.split("== Initial Plan ==")[-1]
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") >= 1
+        assert "hashpartitioning(_k0" in initial and "SinglePartition" not in initial
+
+
+def test_percentiles_scan_events_once(spark, folder):
+    """Both uses of the counted values read one exchange."""
+    frame = spark.range(1000).selectExpr("id % 7 AS k", "id * 37 AS v")
+    frame.write.parquet(f"{folder}/t")
+    found = exact_percentiles(spark.read.parquet(f"{folder}/t"), ["k"], "v", {"m": 0.5}, {"n": F.lit(1)})
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
 def _chains(rows, length):
     """Brute force: per session, in order of time and id."""
     found, by_session = {}, {}
@@ -187,6 +222,28 @@ def test_tool_chains_cross_hours(events, length):
     assert got == _chains(rows, length)
 
 
+@pytest.mark.parametrize("slices", [1, 7, 40, 200])
+def test_tool_chains_over_slices_of_one_hot_hour(spark, events, slices):
+    """Two thirds of all results in one hour of one session; slices down to a single row."""
+    rows = [
+        {"event_name": "tool_result", "event_id": f"{i:03}", "tool_name": "ABCDE"[(i * i * 7) % 5],
+         "session_id": "hot" if i % 3 else f"s{i % 4}", "event_timestamp": f"2026-01-05 10:{i // 4 % 60:02}:00"}
+        for i in range(150)
+    ]
+    frame = events(*rows)
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(slices))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for length in (2, 3, 5):
+            got = {r["chain"]: r["occurrences"] for r in dicts(tools.tool_chains(frame, length))}
+            assert got == _chains(rows, length)
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_sessions(events):
     frame = events(
         {"user_email": "b", "organization_id": "o2"},

@@ -4,8 +4,8 @@ import pytest
 from conftest import batch, dicts, event
 
 from tallyline.operators.cleaning import clean_employees
-from tallyline.sources import tables
-from tallyline.sources.batches import read_lines, read_telemetry_batches
+from tallyline.sources import batches, tables
+from tallyline.sources.batches import most_splits, read_lines, read_telemetry_batches, with_position
 from tallyline.sources.employees import FILE_ORDER, read_employees_csv
 
 
@@ -63,6 +63,25 @@ def test_text_is_never_exchanged_to_number_lines(spark, folder):
     assert not any("value" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
 
 
+def test_lines_of_many_splits_are_numbered_without_a_broadcast(spark, folder, split_bytes, monkeypatch):
+    for name in "abc":
+        write(folder, f"{name}.jsonl", "".join(f"{i + 1}:{'x' * (i % 60)}\n" for i in range(700)))
+    split_bytes(4096)
+    text = spark.read.text(folder)
+    assert text.rdd.getNumPartitions() > 10
+    splits = with_position(text).select("source_file", "_split").distinct().count()
+    assert splits <= most_splits(text) < 3000
+    monkeypatch.setattr(batches, "BROADCAST_SPLITS", splits - 1)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = read_lines(spark, folder)
+        assert "BroadcastHashJoin" not in lines._jdf.queryExecution().executedPlan().toString()
+        assert all(int(r["value"].split(":")[0]) == r["line_number"] for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_read_batches_with_blank_lines_and_crlf(spark, folder):
     path = write(folder, "a.jsonl", batch(event(1)) + "\r\n\n" + batch(event(2), event(3)))
     rows = dicts(read_telemetry_batches(spark, path).orderBy("line_number", "event_index"))
@@ -121,5 +140,5 @@ def test_limit_has_to_be_positive(events, employees, limit):
 def test_count_rows(events, employees):
     known = {"employees": employees, "telemetry_events": events({}, {})}
     assert tables.count_rows(known, "telemetry_events").first()["row_count"] == 2
-    with pytest.raises(ValueError, match="Unsupported table"):
+    with pytest.raises(ValueError, match="no table 'other'"):
         tables.count_rows(known, "other")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from tallyline.operators import storage
 from tallyline.operators.storage import ConstraintError, load_table, save_employees, save_events
 from tallyline.operators.validation import ValidationError, validate_employees, validate_events
-from tallyline.pipeline import open_tables, run_pipeline
+from tallyline.pipeline import open_tables, run_pipeline, stored_rejects
 from tallyline.plans.kpis import total_events
 from tallyline.schemas import EMPLOYEE_COLUMNS, EVENT_COLUMNS, EVENT_SCHEMA
-from tallyline.streaming.incremental import incremental_load
+from tallyline.streaming.incremental import Loaded, incremental_load, loaded_files
 
 
 def ids(spark, root):
@@ -191,13 +191,13 @@ def test_pipeline_with_duplicate_ids_keeps_employees_only(spark, folder):
 
 def test_incremental_load(spark, folder):
     write_inputs(folder, batch(event(1), event(2)), "broken")
-    args = (spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress")
-    incremental_load(*args).awaitTermination()
+    args = (spark, f"{folder}/in", f"{folder}/out")
+    assert incremental_load(*args) == Loaded(1, 2)
     assert ids(spark, f"{folder}/out") == ["e1", "e2"]
     with open(f"{folder}/in/b.jsonl", "w") as file:
         file.write(batch(event(2), event(3), event(4, user_email=" ")) + "\n")
-    incremental_load(*args).awaitTermination()
-    incremental_load(*args).awaitTermination()
+    assert incremental_load(*args) == Loaded(1, 1)
+    assert incremental_load(*args) == Loaded(0, 0)
     assert ids(spark, f"{folder}/out") == ["e1", "e2", "e3"]
     rejects = dicts(spark.read.parquet(f"{folder}/out/rejects").orderBy("batch"))
     assert [(r["batch"], r["line_number"], r["category"]) for r in rejects] == [(0, 2, "top_level_json"), (1, 1, "missing_required")]
@@ -212,20 +212,95 @@ def test_incremental_load_of_old_files_and_bad_values(spark, folder):
             file.write(batch(event(number, duration_ms="1e30", success="perhaps")) + "\n")
         then = os.stat(path).st_mtime - days * 86400
         os.utime(path, (then, then))
-    incremental_load(spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress", files_per_batch=1).awaitTermination()
+    assert incremental_load(spark, f"{folder}/in", f"{folder}/out", files_per_batch=1) == Loaded(4, 4)
     assert ids(spark, f"{folder}/out") == ["e1", "e2", "e3", "e4"]
     path = f"{folder}/in/5.jsonl"
     with open(path, "w") as file:
         file.write(batch(event(5)) + "\n")
     os.utime(path, (1_000_000_000, 1_000_000_000))
-    incremental_load(spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress").awaitTermination()
+    incremental_load(spark, f"{folder}/in", f"{folder}/out")
     assert ids(spark, f"{folder}/out") == ["e1", "e2", "e3", "e4", "e5"]
-    assert not os.path.exists(f"{folder}/out/_flat")
+    assert not [n for n in os.listdir(f"{folder}/out") if n.startswith("_flat")]
+    batches = {os.path.basename(r["path"]): r["batch"] for r in loaded_files(spark, f"{folder}/out").collect()}
+    assert batches == {"4.jsonl": 0, "3.jsonl": 1, "2.jsonl": 2, "a.jsonl": 3, "5.jsonl": 4}
 
 
 def test_incremental_batch_repeated_after_failure(spark, folder):
-    """A lost checkpoint repeats every file; stored events are left out by their id."""
-    write_inputs(folder, batch(event(1)))
-    for progress in ("p1", "p2"):
-        incremental_load(spark, f"{folder}/in", f"{folder}/out", f"{folder}/{progress}").awaitTermination()
+    """A batch that never reached the ledger is repeated; stored events are left out by their id."""
+    write_inputs(folder, batch(event(1)), "broken")
+    incremental_load(spark, f"{folder}/in", f"{folder}/out")
+    storage.remove(spark, f"{folder}/out/files")
+    assert incremental_load(spark, f"{folder}/in", f"{folder}/out") == Loaded(1, 0)
     assert ids(spark, f"{folder}/out") == ["e1"]
+    assert stored_rejects(spark, f"{folder}/out").count() == 1
+
+
+def test_incremental_load_of_changed_files_odd_names_and_two_roots(spark, folder):
+    write_inputs(folder, batch(event(1)))
+    os.rename(f"{folder}/in/a.jsonl", f"{folder}/in/a [1],{{x}}*.jsonl")
+    for root in ("one", "two"):
+        assert incremental_load(spark, f"{folder}/in", f"{folder}/{root}") == Loaded(1, 1)
+    with open(f"{folder}/in/a [1],{{x}}*.jsonl", "a") as file:
+        file.write(batch(event(2)) + "\n")
+    assert incremental_load(spark, f"{folder}/in", f"{folder}/one") == Loaded(1, 1)
+    assert ids(spark, f"{folder}/one") == ["e1", "e2"] and ids(spark, f"{folder}/two") == ["e1"]
+    assert loaded_files(spark, f"{folder}/one").count() == 2
+    with pytest.raises(ValueError, match="positive"):
+        incremental_load(spark, f"{folder}/in", f"{folder}/one", files_per_batch=0)
+
+
+def test_pipeline_stores_rejects(spark, folder):
+    write_inputs(folder, batch(event(1), event(2, event_name=...)), "broken", batch(event(3, event_timestamp="soon")))
+    assert stored_rejects(spark, f"{folder}/out").count() == 0
+    run_pipeline(spark, f"{folder}/out", f"{folder}/in", f"{folder}/e.csv")
+    rejects = dicts(stored_rejects(spark, f"{folder}/out").orderBy("line_number"))
+    assert [(r["line_number"], r["event_index"], r["category"]) for r in rejects] == [
+        (1, 1, "missing_required"), (2, None, "top_level_json"), (3, 0, "type_conversion"),
+    ]
+    assert rejects[1]["raw_text"] == "broken" and '"session.id":"s1"' in rejects[0]["raw_text"].replace(" ", "")
+    assert not [n for n in os.listdir(f"{folder}/out") if n.startswith("_flat")]
+
+
+def test_appends_read_keys_only_of_loads_that_may_hold_them(spark, folder, events):
+    for load in range(4):
+        save_events(events(*[{"event_id": f"k{load}{i:03}"} for i in range(50)]), folder, replace=False)
+    table = "telemetry_events"
+    loads = storage.published_loads(spark, folder, table)
+
+    def asked(*names):
+        staged = storage.stage(events(*[{"event_id": n} for n in names]), table, folder)
+        held, keys = storage.loads_with_keys(staged, loads, storage._write_index(staged))
+        found = [loads.index(x) for x in held], sorted(r["event_id"] for r in keys.collect())
+        staged.discard()
+        return found
+
+    assert asked("a", "z")[0] == []  # inside all ranges, in no index
+    assert asked("k1500", "k1", "k2049") == ([2], ["k2049"])
+    assert asked("k0000", "k3049", "k") == ([0, 3], ["k0000", "k3049"])
+    # A table from before there were indexes: every load may hold any key.
+    storage.remove(spark, f"{folder}/{table}/_ranges")
+    assert asked("x")[0] == [0, 1, 2, 3]
+    with pytest.raises(ConstraintError, match="not unique"):
+        save_events(events({"event_id": "k1001"}), folder, replace=False)
+    assert save_events(events({"event_id": "x"}), folder, replace=False) == 1
+    assert len(ids(spark, folder)) == 201
+
+
+def test_a_repeated_id_writes_one_small_list(spark, folder, events):
+    rows = [{"event_id": f"e{i}", "source_file": "f", "line_number": i, "event_index": 0} for i in range(200)]
+    rows.append({**rows[7], "line_number": 300})
+    assert save_events(events(*rows), folder, on_duplicate="first") == 200
+    (load,) = storage.published_loads(spark, folder, "telemetry_events")
+    table = f"{folder}/telemetry_events"
+    assert len([n for n in os.listdir(table) if n.startswith("load=")]) == 1
+    assert spark.read.parquet(f"{table}/{load.folder}").count() == 201
+    assert spark.read.parquet(f"{table}/_hidden/{load.hidden}").count() == 1
+    assert [r["line_number"] for r in storage.recorded_repeats(spark, folder).collect()] == [300]
+    # A load of known ids only is no load; hidden rows are no keys of a later one.
+    assert save_events(events(*rows[:3]), folder, replace=False, on_duplicate="first") == 0
+    assert save_events(events(rows[7], {"event_id": "new"}), folder, replace=False, on_duplicate="first") == 1
+    assert len(ids(spark, folder)) == 201
+    assert save_events(load_table(spark, folder, "telemetry_events"), folder) == 201
+    assert storage.remove_unlisted_loads(spark, folder, "telemetry_events") == 2
+    assert os.listdir(f"{table}/_hidden") == [] and len(os.listdir(f"{table}/_keys")) == 1
+    assert len(ids(spark, folder)) == 201
