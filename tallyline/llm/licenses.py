@@ -10,8 +10,11 @@ takes that of the licence file in its nearest directory upwards.
 
 Only segments that can reach ``least`` are weighed: for each template, words are taken, short
 ones last, until those left have less than ``least`` of its length. By the inequality of
-Cauchy and Schwarz, a segment with none of the taken words can't reach ``least``. One
-regular expression over these words, made from the templates, is asked first.
+Cauchy and Schwarz, a segment with none of the taken words can't reach ``least``; texts, and
+then segments, without them go first. Nor can a segment whose words of any template have less
+than ``least`` of its length; this is told inside the row, from how often its words stand
+there. Of the segments that are left, only words of templates are shuffled: the other words
+add to the length alone, with one number.
 
 Directories are joined, not files: distinct directories meet those of their ancestors that
 have licence files, and the nearest wins. Templates are settings and their size is checked.
@@ -158,8 +161,8 @@ class Weights:
                     break
                 needed.add(word)
                 left -= (w / length) ** 2
-        #: Fits every text with a segment that can reach ``least``.
-        self.needed = rf"(?i)(?<![a-zA-Z0-9])({'|'.join(sorted(needed))})(?![a-zA-Z0-9])" if needed else "(?!)"
+        #: Every segment that can reach ``least`` has one of them.
+        self.needed = sorted(needed)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """(template, license, token, weight)"""
@@ -175,42 +178,67 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def _tokens(text: Column) -> Column:
+    """Words of a text, A-Z in lower case; an empty one where it begins or ends with something else."""
+    return F.transform(F.split(text, "[^a-zA-Z0-9]+"), F.lower)
+
+
+def _squares(words: Column) -> Column:
+    """The sum of the squares of how often each word stands in a list."""
+    nothing = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(so_far: Column, word: Column) -> Column:
+        run = F.when(so_far["word"] == word, so_far["run"] + 1).otherwise(F.lit(1).cast("long"))
+        # The n-th of equal words adds n * n - (n - 1) * (n - 1).
+        return F.struct(word.alias("word"), run.alias("run"), (so_far["sum"] + 2 * run - 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(words), nothing, step, lambda x: x["sum"])
+
+
+def segments(text: Column, path: Column) -> Column:
+    """Lines and sentences in them, paragraphs and sentences over several lines, and a licence file as a whole."""
+    paragraphs = F.split(text, PARAGRAPH_END)
+    sentences = F.flatten(F.transform(paragraphs, lambda paragraph: F.split(paragraph, SENTENCE_END)))
+    # Over several lines only: the others are segments of one line.
+    several = F.array_distinct(F.filter(F.concat(paragraphs, sentences), lambda part: F.trim(part).contains("\n")))
+    whole = F.when(F.regexp_extract(path, "[^/]*$", 0).rlike(FILE_NAME), F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.split(text, SEGMENT_END), several, F.coalesce(whole, F.array().cast("array<string>")))
+
+
 def own_licenses(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     """(k1, k2, license, cosine) of the files (k1, k2, path, text) that have a licence themselves."""
     spark = files.sparkSession
-    # Rows equal in path and text count all words as often, which leaves cosines as they are.
-    able = files.where(F.col("text").rlike(weights.needed))
-    cut = able.select("k1", "k2", F.posexplode(F.split("text", SEGMENT_END)).alias("segment", "part"))
-    whole = able.where(F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAME))
-    paragraphs = F.split("text", PARAGRAPH_END)
-    sentences = F.flatten(F.transform(paragraphs, lambda paragraph: F.split(paragraph, SENTENCE_END)))
-    # Over several lines only: the others are segments of one line.
-    joined = F.array_distinct(F.filter(F.concat(paragraphs, sentences), lambda part: F.trim(part).contains("\n")))
-    several = able.where(F.col("text").contains("\n")).select("k1", "k2", F.posexplode(joined).alias("at", "part"))
-    parts = (
-        cut.union(several.select("k1", "k2", -2 - F.col("at"), "part"))
-        .where(F.col("part").rlike(weights.needed))
-        .union(whole.select("k1", "k2", F.lit(-1), "text"))
-    )
-    tokens = F.regexp_extract_all(F.translate("part", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0))
-    exploded = parts.select("k1", "k2", "segment", F.explode(tokens).alias("token")).where(~F.col("token").isin(*sorted(COMMON)))
-    counted = exploded.groupBy("k1", "k2", "segment", "token")
-    vocabulary, templates = weights.words(spark), weights.frame(spark)
-    weighed = counted.count().join(F.broadcast(vocabulary), "token", "left").select(
-        "k1", "k2", "segment", "token", (F.col("count") * F.coalesce("idf", F.lit(weights.unknown))).alias("w")
+    needed = F.array(*map(F.lit, weights.needed)).cast("array<string>")
+
+    def able(words: Column) -> Column:
+        return F.arrays_overlap(words, needed)
+
+    # Each row of its own: equal ones have equal keys.
+    texts = files.where(able(_tokens(F.col("text")))).withColumn("row", F.monotonically_increasing_id())
+    found = F.filter(F.transform(segments(F.col("text"), F.col("path")), _tokens), able)
+    parts = texts.select("k1", "k2", "row", F.posexplode(found).alias("segment", "words"))
+    known = parts.select(
+        "k1", "k2", "row", "segment",
+        F.filter("words", lambda w: w.isin(list(weights.idf))).alias("known"),
+        (_squares(F.filter("words", lambda w: ~w.isin(["", *COMMON, *weights.idf]))) * F.lit(weights.unknown**2)).alias("rest"),
     )
-    # One aggregation gives both length and products: template -1 is the segment with itself.
-    itself = F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("weight"))
+    # Words of templates weigh this much at most; they alone can add to a cosine.
+    most = _squares(F.col("known")) * F.lit(max(weights.idf.values(), default=0.0) ** 2)
+    known = known.where(most * (1 - least**2) + 1e-6 >= F.col("rest") * least**2)
+    counted = known.select("k1", "k2", "row", "segment", "rest", F.explode("known").alias("token"))
+    counted = counted.groupBy("k1", "k2", "row", "segment", "rest", "token").count()
+    vocabulary, templates = weights.words(spark), weights.frame(spark)
     of_token = templates.groupBy("token").agg(F.collect_list(F.struct("template", "license", "weight")).alias("held"))
+    itself = F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("weight"))
+    # One aggregation gives both length and products: template -1 is the segment with itself.
     products = (
-        weighed.join(F.broadcast(of_token), "token", "left")
-        .withColumn("held", F.concat(F.array(itself), F.coalesce("held", F.array().cast("array<struct<template:int,license:string,weight:double>>"))))
-        .select("k1", "k2", "segment", "w", F.inline("held"))
-        .groupBy("k1", "k2", "segment", "template", "license")
+        counted.join(F.broadcast(vocabulary.join(of_token, "token")), "token")
+        .select("k1", "k2", "row", "segment", "rest", (F.col("count") * F.col("idf")).alias("w"), F.inline(F.concat(F.array(itself), "held")))
+        .groupBy("k1", "k2", "row", "segment", "rest", "template", "license")
         .agg(F.sum(F.col("w") * F.coalesce("weight", "w")).alias("product"))
-    )
-    length = F.sqrt(F.max(F.when(F.col("template") == -1, F.col("product"))))
-    by_segment = products.groupBy("k1", "k2", "segment").agg(
+    )
+    length = F.sqrt(F.col("rest") + F.max(F.when(F.col("template") == -1, F.col("product"))))
+    by_segment = products.groupBy("k1", "k2", "row", "segment", "rest").agg(
         length.alias("length"),
         F.min(F.when(F.col("template") >= 0, F.struct((-F.round("product", 9)).alias("less"), "license"))).alias("best"),
     )
