@@ -7,9 +7,11 @@ imbalance are merged, the fullest windows of one with the emptiest of the other,
 is left. k starts at the least number that can hold the items and rises while a window
 exceeds its capacity; where two percent more don't help, long items are cut in halves.
 
-Groups are formed inside a task from the rows it reads, at most GROUP items and
-GROUP_TOKENS tokens each, so that nothing is shuffled or gathered. A group wastes less than
-about one window of some hundreds.
+Full groups are formed inside a task from the rows it reads, at most GROUP items and
+GROUP_TOKENS tokens each; such a group wastes less than about one window of some hundreds.
+What a task has left over for no full group is dealt to groups of that size over all tasks,
+the only rows that are shuffled: less than one group a task, however rows are split. The
+last group of a small table may be less than full.
 
 Defined results: a null or empty text has the end id only. Every row is a document of its
 own, also with an equal or null id; other columns are left out. An empty table gives no
@@ -27,13 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tallyline.llm.frames import col, sent, slices
+from tallyline.llm.frames import col, reliable, sent, slices
 from tallyline.llm.tokenizing import Encoder, packed
 
 CAPACITY = 4096
 GROUP = 1024
 GROUP_TOKENS = 1_500_000
+#: Sequences of what tasks leave over have numbers from here on.
+_REST = 1 << 62
 _NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
@@ -114,6 +119,12 @@ class _Packer:
         if len(self.items) >= GROUP or self.tokens >= GROUP_TOKENS:
             yield from self.flush()
 
+    def rest(self) -> Iterator[tuple]:
+        """What is in no full group, without a sequence."""
+        for doc, start, ids, many in self.items:
+            yield doc, start, len(ids) // 4, many, None, None, ids
+        self.items, self.tokens = [], 0
+
     def flush(self) -> Iterator[tuple]:
         if not self.items:
             return
@@ -136,19 +147,19 @@ def pack(
     ``end`` is put after each document. ids are four bytes each, little-endian.
     """
     kind = frame.schema[doc_id].dataType.simpleString()
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     shared = frame.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
     last = packed([end]) if end is not None else b""
 
+    def told(pieces: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        kinds = [id_type, *[pa.int64()] * 5, pa.binary()]
+        columns = list(zip(*pieces, strict=True)) if pieces else [[]] * 7
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _NAMES)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         packer = _Packer(capacity, TaskContext.get().partitionId() << 36)
         id_type = None
-
-        def told(pieces: list[tuple]) -> pa.RecordBatch:
-            kinds = [id_type, *[pa.int64()] * 5, pa.binary()]
-            columns = list(zip(*pieces, strict=True)) if pieces else [[]] * 7
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _NAMES)
-
         for batch in slices(batches, "text"):
             ids_of = batch.column("doc_id")
             id_type = ids_of.type
@@ -156,10 +167,24 @@ def pack(
             pieces = []
             for doc, ids in zip(ids_of.to_pylist(), encoder.encode(texts), strict=True):
                 pieces += packer.add(doc, ids + last)
-            yield told(pieces)
+            yield told(pieces, id_type)
         if id_type is not None:
-            yield told(list(packer.flush()))
+            yield told(list(packer.rest()), id_type)
+
+    def work_rest(group: pa.Table) -> pa.Table:
+        number = group.column("group")[0].as_py()
+        packer = _Packer(capacity, _REST + (number << 32))
+        ids_of = group.column("doc_id")
+        columns = (ids_of, *(group.column(c) for c in ("start", "ids", "doc_tokens")))
+        packer.items = list(zip(*(c.to_pylist() for c in columns), strict=True))
+        return pa.Table.from_batches([told(list(packer.flush()), ids_of.type)])
 
     texts = sent(frame).select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return texts.mapInArrow(work, schema)
+    made = reliable(texts.mapInArrow(work, schema))
+    rest = made.where("sequence_id IS NULL")
+    many, tokens = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, -(-many // GROUP), -(-tokens // GROUP_TOKENS))
+    # Rows are dealt by what they are and where they stand, so that equal ones part.
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "start"), F.lit(groups)).alias("group")
+    placed = rest.select("*", dealt).groupBy("group").applyInArrow(work_rest, schema)
+    return made.where("sequence_id IS NOT NULL").unionByName(placed)
