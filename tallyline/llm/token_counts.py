@@ -1,13 +1,12 @@
 """Token counts of whole texts by a two-tier lookup, without shuffling pre-tokens.
 
-First tier: the lengths, in tokens, of the corpus's most frequent pre-tokens, in a table of
-bounded size that every worker gets. Second tier: a worker's own cache; what is in neither
-is encoded once by the library. No pre-token leaves its task.
-
-The frequent pre-tokens are those of all texts: each task keeps a summary of bounded size
-(the least frequent are let go whenever it is full, as in lossy counting), and only these
-summaries meet. They decide how often the library is asked, never a result. A table made
-earlier can be given instead, which saves that pass.
+First tier: lengths, in tokens, of frequent pre-tokens, in a table of bounded size that every
+worker gets. The tokenizer's own vocabulary says which these are: its entries are what was
+most frequent where it was trained, and those that are whole pre-tokens make the table, so
+that no pass over the corpus is needed. Another table can be given instead, for a corpus of
+another kind. Second tier: a worker's own cache; what is in neither is encoded once by the
+library. No pre-token leaves its task. The table decides how often the library is asked,
+never a result.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens. Special tokens' strings
 count as the library counts them. Rows stay as they are, repeated ones too; input columns
@@ -16,7 +15,6 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -28,29 +26,18 @@ from pyspark.sql import functions as F
 from tallyline.llm.frames import col, sent, slices
 from tallyline.llm.tokenizing import Encoder
 
-#: Entries of the broadcast table (about 100 bytes each), and of a task's summary.
+#: Entries of the broadcast table (about 100 bytes each).
 FREQUENT = 65_536
-SUMMARY = 262_144
 LIMIT = 512
 
 
-def frequent_lengths(texts: DataFrame, tokenizer: str, size: int = FREQUENT) -> dict[str, int]:
-    """Lengths of at most ``size`` of the pre-tokens that are most frequent in a column of texts."""
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(tokenizer), Counter()
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                seen.update(encoder.pieces(text or "") or ())
-            if len(seen) > SUMMARY:
-                seen = Counter(dict(seen.most_common(SUMMARY // 2)))
-        top = seen.most_common(SUMMARY // 16)
-        yield pa.record_batch([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
-
-    counts = texts.mapInArrow(summarise, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = [r.piece for r in counts.orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()]
-    encoder = Encoder(tokenizer, value=len, join=sum)
-    return {piece: encoder.of_piece(piece) for piece in top}
+def frequent_lengths(tokenizer: str, size: int = FREQUENT) -> dict[str, int]:
+    """Lengths of at most ``size`` pre-tokens of a tokenizer's vocabulary, those with the least ids."""
+    encoder, found = Encoder(tokenizer, value=len, join=sum), {}
+    for piece in encoder.vocabulary():
+        if len(found) < size and encoder.pieces(piece) == [piece]:
+            found[piece] = encoder.of_piece(piece)
+    return found
 
 
 def count_tokens(
@@ -61,9 +48,8 @@ def count_tokens(
     ``tokenizer_file`` is a tokenizer in JSON that the driver can read; workers get its content.
     """
     tokenizer = Path(tokenizer_file).read_text(encoding="utf-8")
-    texts = sent(frame).select(col(text).cast("string").alias("text"))
-    table = frequent_lengths(texts, tokenizer) if known is None else known
-    shared = frame.sparkSession.sparkContext.broadcast((tokenizer, table))
+    table = frequent_lengths(tokenizer) if known is None else known
+    shared = sent(frame).sparkSession.sparkContext.broadcast((tokenizer, table))
 
     @F.pandas_udf("long")
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

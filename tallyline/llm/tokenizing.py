@@ -1,10 +1,10 @@
 """Token ids of whole texts, from a cache of pre-tokens, exactly as the library gives them.
 
 A byte-pair tokenizer cuts a text into pre-tokens and encodes each alone. Texts whose
-characters all lie in ranges where Python's `re` and the library agree (a test compares
-every one of them) are cut here, and only pre-tokens not met before are encoded by the
-library. All other texts, and those with a special token's string, the library encodes
-whole.
+characters are all such that Python's `re` and the library agree (of any script; a test
+compares every one of them) are cut here, and only pre-tokens not met before are encoded by
+the library. All other texts (with combining marks, or letters of young scripts), and those
+with a special token's string, the library encodes whole.
 """
 
 from __future__ import annotations
@@ -14,24 +14,35 @@ import os
 import re
 import struct
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 from typing import Any
 
 import tokenizers
 
-#: Code points of the ranges that are cut here: Latin, Greek, Cyrillic, punctuation.
-RANGES = ((0x0000, 0x0300), (0x0370, 0x0530), (0x2000, 0x2061))
+#: Code points of the ranges that are cut here: all scripts but for joined Korean letters
+#: (Jamo), which make up others, and what lies beyond the emoji.
+RANGES = ((0x0000, 0x1100), (0x1200, 0xD800), (0xF900, 0x20000))
 #: A worker forgets the older half of its cache beyond so many pre-tokens (about 200 bytes each).
 CACHED = 300_000
 
 
 def _plain(code: int) -> bool:
-    """A character that is its own normal form, and one character in lower case, other than sigma."""
+    """A character that stands alone: its own normal form, one character in lower case, no mark, no sigma.
+
+    A letter, number or space has to be as old as Unicode 3.2, so that every library knows
+    it; a younger symbol is the same to a tokenizer as a character it doesn't know. The same
+    holds for what it is in lower case.
+    """
     c = chr(code)
+    kind = unicodedata.category(c)
+    if kind[0] in "LNZ" and unicodedata.ucd_3_2_0.category(c)[0] != kind[0]:
+        return False
     if len(c.lower()) != 1 or not any(low <= ord(c.lower()) < high for low, high in RANGES):
         return False
-    return unicodedata.normalize("NFC", c) == c and c != "Σ" and unicodedata.category(c) != "Cn"
+    if c.lower() != c and not _plain(ord(c.lower())):
+        return False
+    return unicodedata.normalize("NFC", c) == c and c != "Σ" and kind != "Cn" and kind[0] != "M"
 
 
 def _ranges(codes: Iterable[int]) -> str:
@@ -41,13 +52,13 @@ def _ranges(codes: Iterable[int]) -> str:
             found[-1][1] = code
         else:
             found.append([code, code])
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in found)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
 
 
 SAFE = [c for low, high in RANGES for c in range(low, high) if _plain(c)]
 _LETTERS = _ranges(c for c in SAFE if unicodedata.category(chr(c))[0] == "L")
 _DIGITS = _ranges(c for c in SAFE if unicodedata.category(chr(c))[0] == "N")
-_SPACE = r"\t-\r\x20\x85\xa0 -     "
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNSAFE = re.compile(f"[^{_ranges(SAFE)}]")
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Pre-tokens of a byte-level tokenizer, and of one with word ends (fixed patterns of these formats).
@@ -117,10 +128,20 @@ class Encoder:
         settings = json.loads(content)
         self.library = tokenizers.Tokenizer.from_str(content)
         self.cut = _cutter(settings)
+        self.suffix = settings["model"].get("end_of_word_suffix") or ""
         self.special = [t["content"] for t in settings["added_tokens"]]
         self.known, self.value, self.join, self.cached = known or {}, value, join, cached
         self.cache = _Values(self._of_piece)
 
+    def vocabulary(self) -> Iterator[str]:
+        """Texts of the vocabulary's entries that are texts, by id."""
+        byte_of = {ord(name): byte for byte, name in _NAMES.items()}
+        for name in sorted(self.library.get_vocab(), key=self.library.token_to_id):
+            try:
+                yield bytes(byte_of[ord(c)] for c in name.removesuffix(self.suffix)).decode()
+            except (KeyError, UnicodeDecodeError):
+                continue
+
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens of a text; None if the library has to encode it whole."""
         if self.cut is None or _UNSAFE.search(text) or any(s in text for s in self.special):

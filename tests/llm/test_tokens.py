@@ -45,10 +45,26 @@ def test_counts(spark, odd, none):
     assert count_tokens(none, tokenizer(FILES[0])).collect() == []
 
 
-def test_the_table_has_the_most_frequent_pieces(spark):
-    frame = spark.createDataFrame([(" the" * 50 + " qzxv" * 40 + f" rare{i}",) for i in range(20)], "text string")
+def test_texts_of_other_scripts_are_counted_through_the_tables(spark):
+    texts = ["東京都は日本の首都です。人口は約1400万人", "مرحبا بالعالم، كيف حالك؟", "שלום עולם 12", "한국어 문장입니다 😀🎉", "ภาษาไทย"]
+    library = Tokenizer.from_file(tokenizer(FILES[0]))
+    encoder = Encoder(open(tokenizer(FILES[0]), encoding="utf-8").read())
+    assert all(encoder.pieces(t) is not None for t in texts)
+    got = count_tokens(spark.createDataFrame([(t,) for t in texts], "text string"), tokenizer(FILES[0])).collect()
+    assert {r.text: r.n_tokens for r in got} == {t: len(library.encode(t).ids) for t in texts}
+
+
+def test_the_table_has_pieces_of_the_vocabulary():
     content = open(tokenizer(FILES[0]), encoding="utf-8").read()
-    assert set(frequent_lengths(frame, content, 2)) == {" the", " qzxv"}
+    library, found = Tokenizer.from_file(tokenizer(FILES[0])), frequent_lengths(content, 20_000)
+    assert len(found) == 20_000 and {" the", "ing", ",", "\n"} < set(found)
+    assert all(len(library.encode(piece).ids) == many for piece, many in found.items())
+    assert "hello" in frequent_lengths(open(tokenizer(FILES[1]), encoding="utf-8").read())
+
+
+def test_no_pre_token_is_shuffled(spark, odd, capsys):
+    count_tokens(odd, tokenizer(FILES[0])).explain()
+    assert "Exchange" not in capsys.readouterr().out
 
 
 def test_differencing():
@@ -95,3 +111,13 @@ def test_pieces_are_the_documents_ids(spark, odd, none):
         len(library.encode(r.text or "").ids) + 1 for r in odd.collect()
     )
     assert pack(none, tokenizer(FILES[1])).collect() == []
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 64])
+def test_windows_are_full_however_rows_are_split(spark, partitions):
+    texts = [f"some words of number {i} " * (7 * i % 190 + 1) for i in range(200)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(partitions)
+    rows = pack(frame, tokenizer(FILES[1])).collect()
+    tokens = sum(r.length for r in rows)
+    assert tokens / 4096 / len({r.sequence_id for r in rows}) > 0.95
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
