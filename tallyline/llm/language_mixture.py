@@ -6,8 +6,9 @@ ends), from all labelled texts, in a hashed table with a fixed number of places.
 Inference: a document is a mixture. Each word comes from one of the languages, with the
 likelihood of its trigrams. Expectation-maximisation estimates the proportions. Sets of
 languages are then compared by penalised likelihood: the document's single best language,
-then the languages of greatest proportion, two, three and so on, where each further
-language has to gain ``PENALTY / 2 * ln(words)``. The prediction is the language with the
+then the languages of greatest proportion, two, three and so on up to all, where each
+further language has to gain ``PENALTY / 2 * ln(words)``; sizes end where even all languages
+together could not pay for one more. The prediction is the language with the
 greatest proportion in the chosen set, its proportion is the score.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and no
@@ -34,7 +35,6 @@ PLACES = 1 << 16
 SMOOTHING = 0.5
 PENALTY = 8.0
 ROUNDS = 15
-MOST_IN_SET = 4
 #: The model has PLACES numbers of four bytes for each language.
 MOST_LANGUAGES = 500
 
@@ -139,7 +139,7 @@ def judge(logs: np.ndarray, first: np.ndarray) -> np.ndarray:
     value = alone.max(1)
     # No set does better than all languages together; who can't gain from a second one is done.
     open_ = most - step > value
-    for size in range(2, min(MOST_IN_SET, kinds) + 1):
+    for size in range(2, kinds + 1):
         if not open_.any():
             break
         at = np.flatnonzero(open_)

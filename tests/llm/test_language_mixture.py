@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tallyline.llm.language_mixture import held_out, identify, judge, keep_identified, learn
+from tallyline.llm.language_mixture import PENALTY, held_out, identify, judge, keep_identified, learn, mixture
 from tallyline.llm.queries import op6_language_mixture
 
 SYLLABLES = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["krz", "szy", "owt", "chn"], "cc": ["æl", "øx", "jeg", "åp"]}
@@ -42,6 +42,44 @@ def test_shares_maximise_the_likelihood():
     assert abs(share[0] - best) < 0.02 or share.max() == 1
 
 
+def test_as_many_languages_as_there_are():
+    """Six languages with equal shares, each with words of its own."""
+    rng = np.random.default_rng(1)
+    logs = np.log(rng.uniform(0.001, 0.05, (600, 8)))
+    logs[np.arange(600), np.arange(600) % 6] = 0
+    (shares,) = judge(logs, np.array([0, 600]))
+    assert (shares[:6] > 0.15).all() and shares[6:].max() < 0.01
+
+
+def _all_shares(logs, first):
+    (shares,), _ = mixture(np.exp(logs), first, np.full((1, logs.shape[1]), 1 / logs.shape[1]))
+    return shares
+
+
+def test_the_set_is_the_best_of_all_sets():
+    """On two to four languages, no other set is better by as much as one language costs.
+
+    Only sets of the languages with the greatest proportions are compared, not all of them.
+    """
+    rng = np.random.default_rng(2)
+    for kinds in (2, 3, 4):
+        for truth in range(1, kinds + 1):
+            many = int(rng.integers(80, 300))
+            logs = np.log(rng.uniform(0.01, 0.3, (many, kinds)))
+            logs[np.arange(many), rng.integers(0, truth, many)] = 0
+            first = np.array([0, many])
+            value = {}
+            for some in range(1, 1 << kinds):
+                held = np.array([some >> k & 1 for k in range(kinds)], float)
+                _, found = mixture(np.exp(logs), first, (held / held.sum())[None])
+                value[some] = found[0] - (held.sum() - 1) * PENALTY / 2 * np.log(many)
+            (shares,) = judge(logs, first)
+            chosen = sum(1 << k for k in range(kinds) if shares[k] > 0)
+            assert value[chosen] >= max(value.values()) - PENALTY / 2 * np.log(many)
+            nested = [sum(1 << k for k in np.argsort(-_all_shares(logs, first))[:size]) for size in range(2, kinds + 1)]
+            assert value[chosen] >= max(value[some] for some in (*nested, *(1 << k for k in range(kinds)))) - 0.05
+
+
 def test_held_out_accuracy(spark):
     rows = op6_language_mixture(spark, "/root/testdata/sf0.01").collect()
     labels = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
