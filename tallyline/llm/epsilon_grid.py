@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.components import components
-from tallyline.llm.frames import col, identity, reliable, sent
+from tallyline.llm.frames import col, evenly_joined, identity, reliable, sent
 
 COSINE = 0.95
 #: Vectors of a block, leading axes with cells, and those with boxes.
@@ -301,14 +301,14 @@ def near_vectors(
     of_label = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     told = linked.join(of_label, "label").select("c1", "c2", "links", "component_id")
     of_class = classes.select("c1", "c2", "first", "n").join(told, ["c1", "c2"], "left").select(
-        "c1", "c2",
+        "c1", "c2", "n",
         (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("component_id", "first").alias("component_id"),
-        F.lit(True).alias("valid"),
     )
-    ids = keyed.select("vec_id", "c1", "c2", "valid")
-    return ids.join(of_class, ["c1", "c2", "valid"], "left").select(
+    # Vectors that can't link have no class.
+    ids = keyed.select("vec_id", F.when(F.col("valid"), F.col("c1")).otherwise(F.xxhash64("vec_id")).alias("c1"), "c2", "valid")
+    return evenly_joined(ids, reliable(of_class), ["c1", "c2"], "n").select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("valid"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
         F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

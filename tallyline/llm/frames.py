@@ -87,6 +87,35 @@ def reliable(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: A key with this share of all rows or more is a heavy one; there can be no more of them.
+HEAVY = 1000
+
+
+def evenly_joined(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` left-joined with the other columns of ``table``, which has a row for each key.
+
+    ``count`` names the column that says how many rows a key has. Heavy keys, HEAVY at most,
+    are broadcast, and their rows are dealt to any task, so that copies of one thing don't
+    meet in one. The table should be a stored one, as it is read three times.
+    """
+    values = [c for c in table.columns if c not in (*keys, count)]
+    told = F.struct(*[F.col(quoted(c)) for c in values])
+    least = (table.agg(F.sum(count)).first()[0] or 0) / HEAVY
+    name, other, light = unused(rows, "held", "other", "light")
+    heavy = table.where(F.col(count) >= least).select(*keys, told.alias(name))
+    first = rows.join(F.broadcast(heavy), keys, "left")
+    free = F.xxhash64(F.monotonically_increasing_id())
+    kinds = dict(table.dtypes)
+    # A row that is served already gets keys that lead anywhere, and a flag that fits none.
+    dealt = {f"{light}{i}": F.when(F.col(name).isNull(), F.col(k)).otherwise(free.cast(kinds[k])) for i, k in enumerate(keys)}
+    dealt[light] = F.col(name).isNull()
+    rest = table.where(F.col(count) < least).select(
+        *[F.col(k).alias(f"{light}{i}") for i, k in enumerate(keys)], F.lit(True).alias(light), told.alias(other)
+    )
+    joined = first.withColumns(dealt).join(rest, list(dealt), "left").withColumn(name, F.coalesce(name, other))
+    return joined.select(*[col(c) for c in rows.columns], *[F.col(name)[c].alias(c) for c in values])
+
+
 #: Rows that go to a worker at once where whole texts do; Spark's default is for short rows.
 TEXTS_AT_ONCE = 1000
 

@@ -36,12 +36,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.frames import col, reliable, sent
+from tallyline.llm.frames import col, evenly_joined, reliable, sent
 
 #: A new file is begun beyond so many bytes of records.
 FILE_BYTES = 128_000_000
-#: Copies of the list of repeated payloads, so that one payload's records meet in several tasks.
-SALTS = 8
 CHUNK = 1 << 20
 _DATE = "1970-01-01T00:00:00Z"
 _MANIFEST = "path string, records long, bytes long"
@@ -63,13 +61,11 @@ def marked(frame: DataFrame, page_id: str, payload: str, min_revisit: int = 0) -
         F.coalesce(col(payload).cast("string"), F.lit("")).alias("payload"),
     ).withColumn("same", F.sha2("payload", 256))
     large = F.octet_length("payload") >= min_revisit
-    repeated = (
-        told.where(large).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("same", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    salted = told.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    repeated = reliable(
+        told.where(large).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    )
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return salted.join(repeated, ["same", "salt"], "left").select(
+    return evenly_joined(told, repeated, ["same"], "n").select(
         "page_id", "url", "payload", F.when(other, F.col("first")).alias("refers_to")
     )
 
