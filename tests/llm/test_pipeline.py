@@ -60,3 +60,32 @@ def test_stages(spark):
     assert joined == {
         i: np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes() for i, t in texts.items()
     }
+
+
+def test_stages_on_odd_documents(spark, odd, none):
+    """Nulls, empty texts, repeated rows, clashing names and empty tables, stage by stage."""
+    clashing = odd.selectExpr("*", "2 AS n_removed", "3 AS N_Lines", "4 AS kept", "5 AS spans", "6 AS found", "7 AS item")
+    texts = {
+        "language_id": lambda t: t and any(c.isalpha() for c in t),
+        "line_dedup": lambda t: True, "minhash_near_dedup": lambda t: True, "decontamination": lambda t: True,
+    }
+    for docs in (odd, clashing, none, clashing.where("false")):
+        rows = docs.collect()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, FOLDER)
+            assert got.columns == docs.columns and got.schema.fieldNames() == docs.schema.fieldNames()
+            kept = got.collect()
+            left = {(r.doc_id, r.text) for r in kept}
+            want = {(r.doc_id, r.text) for r in rows if texts[name](r.text)}
+            if name == "minhash_near_dedup":
+                want -= {(7, "the same words stand in each of these rows today")}
+                assert len(kept) == len(want)
+            elif name == "line_dedup":
+                # The second document with the same line has nothing left.
+                want -= {(7, "the same words stand in each of these rows today")}
+            assert left == want
+            if rows and "kept" in docs.columns:
+                assert {(r.n_removed, r.N_Lines, r.kept, r.spans, r.found, r.item) for r in kept} == {(2, 3, 4, 5, 6, 7)}
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in rows}
+    assert corpus_pipeline.lines(spark, odd.drop("n_chars"), FOLDER).columns == odd.drop("n_chars").columns
