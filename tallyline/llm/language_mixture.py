@@ -35,6 +35,8 @@ PLACES = 1 << 16
 SMOOTHING = 0.5
 PENALTY = 8.0
 ROUNDS = 15
+#: Bytes of text that are judged at once; each takes some hundred bytes of a worker's memory.
+JUDGED_BYTES = 200_000
 #: The model has PLACES numbers of four bytes for each language.
 MOST_LANGUAGES = 500
 
@@ -195,7 +197,7 @@ def prediction(frame: DataFrame, model: Model, text: str) -> Column:
         names = shared.value.languages
         for part in parts:
             rows = []
-            for batch in slices(iter([pa.RecordBatch.from_arrays([part], ["text"])]), "text"):
+            for batch in slices(iter([pa.RecordBatch.from_arrays([part], ["text"])]), "text", JUDGED_BYTES):
                 for shares in _shares(batch, shared.value):
                     order = [int(i) for i in np.argsort(-shares, kind="stable") if shares[i] > 0]
                     held = [{"lang": names[i], "share": float(shares[i])} for i in order]
