@@ -54,8 +54,9 @@ BAND = 5
 BANDS = BUCKETS // BAND
 #: Buckets of at most so many nodes are compared in full at once; a node of a larger one with its pivot.
 SMALL = 8
-#: Nodes of a block: where registers are compared, and where full sets are.
-NEAR, BLOCK = 1024, 256
+#: Nodes of a block: where registers are compared, and where full sets are; there, a block has
+#: SHINGLES shingles at most for each node that it may have, so that long texts make small blocks.
+NEAR, BLOCK, SHINGLES = 1024, 256, 4096
 #: Chance collisions of registers, at most: 0.17 * 2^(p - r) for 2^p buckets and r bits.
 COLLISIONS = 0.17 * BUCKETS / (1 << MANTISSA)
 #: Up to so many nodes (24 bytes each) a list of nodes is broadcast; beyond, it is shuffled.
@@ -258,7 +259,8 @@ def near_nodes(rows: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     """(key, node, label, n) of the nodes of (key, node, label, n) that have a pair to compare in full.
 
     The pair's estimate and sizes can be those of a link, it isn't connected, and the bucket is
-    the first one that it shares. n counts the nodes that are left in a bucket.
+    the first one that it shares. n counts the nodes that are left in a bucket, more if they
+    have more than SHINGLES shingles each.
     """
     joined = _in_blocks(rows, NEAR).join(live.select("node", "n_shingles", "registers"), "node")
     likely = _likely(percent)
@@ -276,11 +278,12 @@ def near_nodes(rows: DataFrame, live: DataFrame, percent: int) -> DataFrame:
             others = others[~(earlier[others] == earlier[i]).any(1)]
             chosen[others] = True
             chosen[i] |= len(others) > 0
-        return group.select(["key", "node", "label"]).filter(pa.array(chosen))
+        return group.select(["key", "node", "label", "n_shingles"]).filter(pa.array(chosen))
 
-    found = joined.groupBy("key", "low", "high").applyInArrow(near, "key long, node long, label long")
+    found = joined.groupBy("key", "low", "high").applyInArrow(near, "key long, node long, label long, n_shingles long")
     found = reliable(found.distinct())
-    return found.join(found.groupBy("key").agg(F.count("*").alias("n")), "key")
+    size = F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / SHINGLES)).alias("n")
+    return found.drop("n_shingles").join(found.groupBy("key").agg(size), "key")
 
 
 def compared(rows: DataFrame, live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tallyline.llm import hyperminhash
 from tallyline.llm import words as W
 from tallyline.llm.hyperminhash import (
     BAND,
@@ -118,8 +119,13 @@ def test_a_large_group_of_copies_keeps_one(spark):
     assert [r.doc_id for r in keep_one(frame).collect()] == [0]
 
 
-def test_all_pairs_of_a_large_bucket_are_compared(spark):
-    """All 600 nodes share one bucket; each is linked to one other, which it meets in no other bucket."""
+@pytest.mark.parametrize("shingles", [4096, 8])
+def test_all_pairs_of_a_large_bucket_are_compared(spark, monkeypatch, shingles):
+    """All 600 nodes share one bucket; each is linked to one other, which it meets in no other bucket.
+
+    With 8 shingles a node, these are long texts: seven times as many blocks.
+    """
+    monkeypatch.setattr(hyperminhash, "SHINGLES", shingles)
     rng = np.random.default_rng(3)
     nodes, texts = [], []
     for pair in range(300):
