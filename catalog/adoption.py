@@ -16,6 +16,15 @@ for _name, _period in {"daily": "day", "weekly": "week", "monthly": "month"}.ite
         f"""SELECT CAST(date_trunc('{_period}', event_date) AS DATE) AS period_start,
         count(DISTINCT user_email) AS active_users FROM t GROUP BY 1""",
     )
+report(
+    "active_users_of_periods",
+    lambda t, e: adoption.active_users_of_periods(t),
+    " UNION ALL ".join(
+        f"""SELECT '{p}' AS period, CAST(date_trunc('{p}', event_date) AS DATE) AS period_start,
+        count(DISTINCT user_email) AS active_users FROM t GROUP BY ALL"""
+        for p in adoption.PERIODS
+    ),
+)
 report(
     "active_user_rate",
     adoption.active_user_rate,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.measures import UNKNOWN, is_event, ratio
@@ -12,10 +14,20 @@ from tallyline.plans.dimensions import EMPLOYEE_DIMENSIONS, by_dimension
 from tallyline.schemas import API_REQUEST, TOOL_RESULT, USER_PROMPT
 
 
+# Periods that users are counted in.
+PERIODS = ("day", "week", "month")
+#: Users are dealt to so many parts before they are numbered; each meets in one task.
+USER_PARTS = 4096
+
+
+def _require_period(period: str) -> None:
+    if period not in PERIODS:
+        raise ValueError(f"Unsupported period: {period}")
+
+
 def active_users(events: DataFrame, period: str) -> DataFrame:
     """Users per ``day``, ``week`` (from Monday) or ``month``, labelled by its first day."""
-    if period not in ("day", "week", "month"):
-        raise ValueError(f"Unsupported period: {period}")
+    _require_period(period)
     start = F.to_date(F.date_trunc(period, F.col("event_date").cast("timestamp")))
     return (
         events.filter(F.col("user_email").isNotNull())
@@ -25,6 +37,36 @@ def active_users(events: DataFrame, period: str) -> DataFrame:
     )
 
 
+def user_bitmaps(events: DataFrame, parts: int = USER_PARTS) -> DataFrame:
+    """(event_date, part, block, users): the users of each day as bits of bitmaps.
+
+    Users are dealt to ``parts`` by hash and numbered inside theirs, in order of their
+    e-mail; a block has 32,768 of them. The bitmaps of one result can be put together for any
+    set of days, and counted, without seeing a user again.
+    """
+    pairs = events.filter(F.col("user_email").isNotNull()).select("event_date", "user_email").distinct()
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("user_email"), F.lit(parts)))
+    number = F.dense_rank().over(Window.partitionBy("part").orderBy("user_email")).cast("bigint")
+    numbered = dealt.select("event_date", "part", number.alias("_number"))
+    return numbered.groupBy("event_date", "part", F.bitmap_bucket_number("_number").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_number")).alias("users")
+    )
+
+
+def active_users_of_periods(events: DataFrame, periods: Sequence[str] = PERIODS) -> DataFrame:
+    """Users of every day, week and month at once: (period, period_start, active_users).
+
+    Events are read once; weeks and months are put together from the bitmaps of their days.
+    """
+    for period in periods:
+        _require_period(period)
+    day = F.col("event_date")
+    starts = [F.struct(F.lit(p).alias("period"), F.to_date(F.date_trunc(p, day.cast("timestamp"))).alias("period_start")) for p in periods]
+    spread = user_bitmaps(events).select("part", "block", "users", F.inline(F.array(*starts)))
+    whole = spread.groupBy("period", "period_start", "part", "block").agg(F.bitmap_or_agg("users").alias("users"))
+    return whole.groupBy("period", "period_start").agg(F.sum(F.bitmap_count("users")).alias("active_users")).orderBy("period", "period_start")
+
+
 def active_user_rate(events: DataFrame, employees: DataFrame) -> DataFrame:
     """Employees with events among all employees, overall (practice NULL) and by practice."""
     active = events.select(F.col("user_email").alias("email")).distinct().withColumn("is_active", F.lit(1))

@@ -299,6 +299,27 @@ def test_adoption_and_quality(mixed, employees):
         costs.cost_breakdown(mixed, employees, "raw_message")
 
 
+def test_users_of_all_periods_from_one_scan(spark, folder):
+    """More users than a block has bits, in few parts; days of several weeks and months, and nulls."""
+    rows = spark.range(150_000).selectExpr(
+        "if(id % 1000 = 7, null, 'u' || id % 70001) AS user_email", "date_add(date'2026-01-20', int(id % 31)) AS event_date"
+    )
+    rows.write.parquet(f"{folder}/t")
+    frame = spark.read.parquet(f"{folder}/t")
+    for parts in (1, 3):
+        days = adoption.user_bitmaps(frame, parts).groupBy("event_date").agg(F.sum(F.bitmap_count("users")).alias("n"))
+        want = frame.groupBy("event_date").agg(F.countDistinct("user_email").alias("n"))
+        assert sorted(map(tuple, days.collect())) == sorted(map(tuple, want.collect()))
+    got = adoption.active_users_of_periods(frame)
+    found = {(r["period"], r["period_start"]): r["active_users"] for r in got.collect()}
+    for period in adoption.PERIODS:
+        want = {(period, r["period_start"]): r["active_users"] for r in adoption.active_users(frame, period).collect()}
+        assert {k: v for k, v in found.items() if k[0] == period} == want
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") == 1
+    with pytest.raises(ValueError, match="Unsupported period"):
+        adoption.active_users_of_periods(frame, ["year"])
+
+
 def test_no_python_functions_in_any_report(mixed, employees):
     for frame in overview_report(mixed, employees, EventFilters(practice="Data", model="m1")).values():
         assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
