@@ -56,7 +56,7 @@ BANDS = BUCKETS // BAND
 SMALL = 8
 #: Nodes of a block: where registers are compared, and where full sets are; there, a block has
 #: SHINGLES shingles at most for each node that it may have, so that long texts make small blocks.
-NEAR, BLOCK, SHINGLES = 1024, 256, 4096
+NEAR, BLOCK, SHINGLES = 1024, 1024, 1024
 #: Chance collisions of registers, at most: 0.17 * 2^(p - r) for 2^p buckets and r bits.
 COLLISIONS = 0.17 * BUCKETS / (1 << MANTISSA)
 #: Up to so many nodes (24 bytes each) a list of nodes is broadcast; beyond, it is shuffled.

@@ -119,7 +119,7 @@ def test_a_large_group_of_copies_keeps_one(spark):
     assert [r.doc_id for r in keep_one(frame).collect()] == [0]
 
 
-@pytest.mark.parametrize("shingles", [4096, 8])
+@pytest.mark.parametrize("shingles", [1024, 8])
 def test_all_pairs_of_a_large_bucket_are_compared(spark, monkeypatch, shingles):
     """All 600 nodes share one bucket; each is linked to one other, which it meets in no other bucket.
 
