@@ -56,33 +56,45 @@ def _ranges(codes: Iterable[int]) -> str:
 
 
 SAFE = [c for low, high in RANGES for c in range(low, high) if _plain(c)]
-_LETTERS = _ranges(c for c in SAFE if unicodedata.category(chr(c))[0] == "L")
-_DIGITS = _ranges(c for c in SAFE if unicodedata.category(chr(c))[0] == "N")
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNSAFE = re.compile(f"[^{_ranges(SAFE)}]")
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Pre-tokens of a byte-level tokenizer, and of one with word ends (fixed patterns of these formats).
-BYTE_LEVEL = re.compile(
-    rf" ?[{_LETTERS}]+|{_ENDINGS}| ?[{_DIGITS}]+| ?[^{_SPACE}{_LETTERS}{_DIGITS}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-)
-WORD_ENDS = re.compile(rf"[{_LETTERS}]+|{_ENDINGS}|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
 
 
-def _cutter(settings: dict) -> Callable[[str], list[str]] | None:
-    """How texts are cut for a tokenizer's settings; None if that isn't known here."""
+def _patterns(codes: list[int]) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """What no text of the given characters has, and pre-tokens of a byte-level tokenizer and of
+    one with word ends (fixed patterns of these formats) in texts of them."""
+    letters = _ranges(c for c in codes if unicodedata.category(chr(c))[0] == "L")
+    digits = _ranges(c for c in codes if unicodedata.category(chr(c))[0] == "N")
+    byte_level = re.compile(
+        rf" ?[{letters}]+|{_ENDINGS}| ?[{digits}]+| ?[^{_SPACE}{letters}{digits}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+    )
+    word_ends = re.compile(rf"[{letters}]+|{_ENDINGS}|[{digits}]|[^{_SPACE}{letters}{digits}]+")
+    return re.compile(f"[^{_ranges(codes)}]"), byte_level, word_ends
+
+
+_UNSAFE, BYTE_LEVEL, WORD_ENDS = _patterns(SAFE)
+#: For texts without characters of other planes: a character outside of a class of `re` is
+#: compared with each of its ranges there, so that each word's end takes as long as a word.
+_FAR, BYTE_LEVEL_NEAR, WORD_ENDS_NEAR = _patterns([c for c in SAFE if c < 0x10000 and ord(chr(c).lower()) < 0x10000])
+
+
+def _cutter(settings: dict, near: bool = False) -> Callable[[str], list[str]] | None:
+    """How texts are cut for a tokenizer's settings, or only ``near`` ones (without characters
+    of other planes); None if that isn't known here."""
     cut, normal = settings["pre_tokenizer"] or {}, settings["normalizer"] or {}
     if settings["model"]["type"] != "BPE" or settings["post_processor"] or settings["truncation"] or settings["padding"]:
         return None
     if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in settings["added_tokens"]):
         return None
     if cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not normal:
-        return BYTE_LEVEL.findall
+        return (BYTE_LEVEL_NEAR if near else BYTE_LEVEL).findall
     steps = [s["type"] for s in cut.get("pretokenizers", ())], [s["type"] for s in normal.get("normalizers", ())]
     if steps == (["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"]):
         split, last = cut["pretokenizers"]
         known = rf"{_ENDINGS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
         if split["pattern"] == {"Regex": known} and split["invert"] and not last["use_regex"]:
-            return lambda text: WORD_ENDS.findall(text.lower())
+            found = (WORD_ENDS_NEAR if near else WORD_ENDS).findall
+            return lambda text: found(text.lower())
     return None
 
 
@@ -127,7 +139,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         settings = json.loads(content)
         self.library = tokenizers.Tokenizer.from_str(content)
-        self.cut = _cutter(settings)
+        self.cut, self.cut_near = _cutter(settings), _cutter(settings, near=True)
         self.suffix = settings["model"].get("end_of_word_suffix") or ""
         self.special = [t["content"] for t in settings["added_tokens"]]
         self.known, self.value, self.join, self.cached = known or {}, value, join, cached
@@ -144,9 +156,11 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens of a text; None if the library has to encode it whole."""
-        if self.cut is None or _UNSAFE.search(text) or any(s in text for s in self.special):
+        if self.cut is None or any(s in text for s in self.special):
             return None
-        return self.cut(text)
+        if not _FAR.search(text):
+            return self.cut_near(text)
+        return None if _UNSAFE.search(text) else self.cut(text)
 
     def _of_piece(self, piece: str) -> Any:
         if piece in self.known:

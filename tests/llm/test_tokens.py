@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from tallyline.llm import tokenizing
 from tallyline.llm.packing import arranged, differencing, pack
 from tallyline.llm.queries import tokenizer
 from tallyline.llm.token_counts import count_tokens, frequent_lengths
@@ -121,3 +122,15 @@ def test_windows_are_full_however_rows_are_split(spark, partitions):
     tokens = sum(r.length for r in rows)
     assert tokens / 4096 / len({r.sequence_id for r in rows}) > 0.95
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_near_texts_are_cut_as_others():
+    near = "".join(map(chr, (c for c in tokenizing.SAFE if c < 0x10000 and ord(chr(c).lower()) < 0x10000)))
+    mixed = " ".join(near[i : i + 7] for i in range(0, len(near), 7)) + " it's  we'll 12ab,\n\n x"
+    for text in (near, mixed, near[::-1], mixed[::-1]):
+        assert tokenizing._FAR.search(text) is None
+        assert tokenizing.BYTE_LEVEL_NEAR.findall(text) == tokenizing.BYTE_LEVEL.findall(text)
+        lower = text.lower()
+        assert tokenizing._FAR.search(lower) is None
+        assert tokenizing.WORD_ENDS_NEAR.findall(lower) == tokenizing.WORD_ENDS.findall(lower)
+    assert tokenizing._FAR.search("a \U0001d400") and tokenizing._FAR.search("é")
