@@ -3,9 +3,12 @@ import json
 import pytest
 from conftest import batch, dicts, event, message
 
+from pyspark.sql import functions as F
+
 from tallyline.operators import flatten
 from tallyline.operators.flatten import flatten_batches, parse_batch_lines
 from tallyline.schemas import EVENT_COLUMNS
+from tallyline.session import prepare
 
 
 def flat(frame):
@@ -154,3 +157,11 @@ def test_line_errors_without_exploding(lines):
     rows = dicts(parse_batch_lines(lines(batch(), "x")).select("line_number", "line_error"))
     assert [r["line_error"] for r in rows] == [None, flatten.LINE_UNREADABLE]
     assert message() in batch(event(1)).encode().decode("unicode_escape")
+
+
+def test_wide_rows_are_no_single_generated_method(spark, folder):
+    frame = spark.range(1).selectExpr(*[f"CAST(id AS STRING) AS c{i}" for i in range(60)])
+    frame.write.parquet(f"{folder}/wide")
+    wide = prepare(spark).read.schema(frame.schema).parquet(f"{folder}/wide").select(*[F.upper(c).alias(c) for c in frame.columns])
+    assert "*(" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert "*(" in wide.select("c1")._jdf.queryExecution().executedPlan().toString()
