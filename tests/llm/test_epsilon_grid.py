@@ -1,7 +1,11 @@
+import os
+import threading
+from contextlib import suppress
+
 import numpy as np
 import pytest
 
-from tallyline.llm.epsilon_grid import near_vectors
+from tallyline.llm.epsilon_grid import _edges, near_vectors
 from .conftest import union_find
 
 
@@ -52,3 +56,50 @@ def test_odd_rows(spark):
     assert told(spark, rows) == brute_force(rows, 0.95)
     assert told(spark, [], kind="double") == []
     assert told(spark, rows[:6], kind="double") == brute_force(rows[:6], 0.95)
+
+
+def test_bytes_on_disk_do_not_grow_with_the_pairs_of_blocks(spark):
+    """Vectors spread alike in all axes leave nearly all pairs of blocks to compare."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(4000, 64))
+    vectors[:800] = vectors[0] + rng.normal(size=(800, 64)) * 0.05
+    vectors[800:1000] = vectors[1000:1200] + rng.normal(size=(200, 64)) * 0.1
+    vectors = np.float32(vectors)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = union_find(range(4000), zip(*map(np.ndarray.tolist, np.nonzero(np.triu(near))), strict=True))
+
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    seen, over = [], threading.Event()
+
+    def watch():
+        while not seen or not over.wait(0.05):
+            files = [os.path.join(at, f) for folder in folders for at, _, names in os.walk(folder) for f in names if f.startswith("shuffle_")]
+            with suppress(FileNotFoundError):  # Spark deletes some meanwhile
+                seen.append(sum(map(os.path.getsize, files)))
+
+    watcher = threading.Thread(target=watch)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, "-1")
+    try:
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(4)
+        watcher.start()
+        rows = sorted(near_vectors(frame, size=64).collect())
+    finally:
+        over.set()
+        spark.conf.unset(name)
+    watcher.join()
+    assert max(seen) - seen[0] < 8 * vectors.nbytes
+    assert [(r.vec_id, r.n_links, r.component_id) for r in rows] == [(i, near[i].sum(), label[i]) for i in range(4000)]
+
+
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.6, 1])
+def test_edges_connect_what_the_mask_does(share):
+    rng = np.random.default_rng(1)
+    mask = np.zeros((40, 60), bool)
+    mask[:30, :45] = rng.random((30, 45)) < share
+    mask[30:, 50:] = rng.random((10, 10)) < share
+    rows, columns = np.arange(40), np.arange(100, 160)
+    want = union_find([*rows, *columns], zip(*(x.tolist() for x in (rows[np.nonzero(mask)[0]], columns[np.nonzero(mask)[1]])), strict=True))
+    assert union_find([*rows, *columns], zip(*map(np.ndarray.tolist, _edges(mask, rows, columns)), strict=True)) == want
